@@ -1,0 +1 @@
+"""Empty on purpose: the work this engine covers is batch only, so there is no stream to read or write."""
