@@ -34,7 +34,9 @@ def top_n_unseen(
     queries = _vectors(users, "user_idx", user_ids)
     candidates = _vectors(items, "item_idx", item_ids)
     hidden = seen.select(F.col("user_idx").alias("qid"), F.col("item_idx").alias("cid"))
-    found = block_top_k(queries, candidates, n, hidden=hidden, keep_hidden=mode == "pad")
+    item_side = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("dim")).first()
+    shape = (users.count(), item_side["n"], item_side["dim"] or 1)
+    found = block_top_k(queries, candidates, n, hidden=hidden, keep_hidden=mode == "pad", shape=shape)
     names = []
     if user_ids is not None:
         names.append(F.col("qlabel").alias(user_ids.id_col))

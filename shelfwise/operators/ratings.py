@@ -13,7 +13,7 @@ from shelfwise.operators.indexing import IndexTable
 
 RATING_KEY = ("user_idx", "item_idx", "interaction_type")
 
-_PREFIX_STEP = 4
+_MAX_PREFIX_STEP = 4
 _SMALL_BUCKET = 10_000
 
 
@@ -63,24 +63,26 @@ def split_ratings(
     if n_test >= total:
         raise ValueError(f"{total} ratings are too few to hold out a share of {ratio}")
     digest = F.md5(F.concat_ws("|", *keys, F.lit(str(seed))))
-    last = _row_at(ratings.select(digest.alias("_h"), *keys), n_test, keys)
-    last_key = F.struct(*[F.lit(last[k]).cast(ratings.schema[k].dataType).alias(k) for k in keys])
-    in_test = (digest < last["_h"]) | ((digest == last["_h"]) & (F.struct(*keys) <= last_key))
+    last = _row_at(ratings.select(digest.alias("_h"), *keys), total, n_test, keys)
+    bound = [F.lit(last["_h"]), *[F.lit(last[k]).cast(ratings.schema[k].dataType) for k in keys]]
+    in_test = F.struct(digest, *keys) <= F.struct(*bound)
     return Split(ratings.where(~in_test), ratings.where(in_test), total - n_test, n_test)
 
 
-def _row_at(hashed: DataFrame, position: int, keys: tuple[str, ...]) -> Row:
-    """Row number ``position`` (1-based) of ``hashed`` in the order of ``_h`` and ``keys``."""
-    prefix = ""
+def _row_at(hashed: DataFrame, total: int, position: int, keys: tuple[str, ...]) -> Row:
+    """Row number ``position`` (1-based) of ``hashed``, which has ``total`` rows, in the order of ``_h`` and ``keys``."""
+    prefix, expected = "", total
     while True:
+        digits = min(_MAX_PREFIX_STEP, max(1, math.ceil(math.log(max(expected, 2) / _SMALL_BUCKET * 10, 16))))
         scope = hashed.where(F.col("_h").startswith(prefix))
-        step = F.substring("_h", len(prefix) + 1, _PREFIX_STEP)
+        step = F.substring("_h", len(prefix) + 1, digits)
         for row in scope.groupBy(step.alias("p")).count().orderBy("p").collect():
             if position <= row["count"]:
                 break
             position -= row["count"]
         prefix += row["p"]
-        if row["count"] <= _SMALL_BUCKET or len(prefix) >= 32:
+        expected = row["count"]
+        if expected <= _SMALL_BUCKET or len(prefix) >= 32:
             break
     if row["count"] > _SMALL_BUCKET:
         raise ValueError(f"the columns {', '.join(keys)} do not identify a row")

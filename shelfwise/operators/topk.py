@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.operators.scoring import TILE, RunningTopK
+from shelfwise.operators import scoring
+from shelfwise.operators.scoring import MISSING, TILE, RunningTopK
 from shelfwise.session import lookup_join, materialize, parallelism
 
+# Task functions travel with their code, so executors need numpy and pyarrow but not this package.
+for _module in (scoring, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_module)
+
 # Bounds of one cell (a block of queries against a run of candidates).
 _MAX_QUERIES = 8192
 _MIN_QUERIES = 256
@@ -20,12 +29,19 @@ _MAX_STATE_BYTES = 64 << 20
 _MAX_CELL_BYTES = 256 << 20
 _MIN_CELL_PAIRS = 1 << 20
 _CELLS_PER_CORE = 3
+# Vectors that travel in one row.
+_PACK_ROWS = 1024
+_PACK_BYTES = 1 << 20
 # Candidates held in memory at a time within a cell.
 _BLOCK = 4 * TILE
 
-_CELL = ["g1", "g2", "qb", "vb"]
+_GRID = ["q_blocks", "v_blocks", "subs"]
 _RESULT = "qid bigint, qlabel bigint, cid bigint, clabel bigint, score double, rank int"
+# Kinds of rows in the order a task needs them within a sub-block; queries come before all sub-blocks.
 _QUERY, _CANDIDATE, _HIDDEN = 0, 1, 2
+_KINDS = 3
+_PAYLOAD = ["step", "owner", "ids", "labels", "vectors"]
+_BEFORE_ALL = -1
 
 
 def block_top_k(
@@ -35,6 +51,7 @@ def block_top_k(
     hidden: DataFrame | None = None,
     keep_hidden: bool = False,
     skip_self: bool = False,
+    shape: tuple[int, int, int] | None = None,
 ) -> DataFrame:
     """The ``k`` candidates with the largest inner product for every query.
 
@@ -42,7 +59,8 @@ def block_top_k(
     then a query meets only candidates of its own group. ``label`` is carried along. ``hidden`` holds
     ``(qid, cid)`` pairs to leave out, or with ``keep_hidden`` to rank last by id; it cannot be combined
     with groups. ``skip_self`` leaves out the candidate with the query's own id. Order: score
-    descending, rows without a vector last, then candidate id. Ids must be unique.
+    descending, rows without a vector last, then candidate id. Ids must be unique. ``shape`` is the
+    number of queries, of candidates and of vector elements, if known; it only decides the blocks.
 
     Queries and candidates are hashed into blocks, and a cell is one query block against one run of
     candidates. Its task streams the candidates past the block and keeps k rows per query, so no pair is
@@ -54,53 +72,62 @@ def block_top_k(
     grouped = "g1" in candidates.columns
     if grouped and hidden is not None:
         raise ValueError("hidden pairs cannot be combined with groups")
+    spark = queries.sparkSession
+    if grouped:
+        dim = _dimension(candidates)
+    else:
+        nq, nv, dim = shape or (queries.count(), candidates.count(), _dimension(candidates))
     queries, candidates = (_normalise(df, grouped) for df in (queries, candidates))
-    dim = _dimension(candidates)
-    groups, totals = _plan_cells(queries, candidates, dim, k)
-    if not totals["n_groups"]:
-        return queries.sparkSession.createDataFrame([], _RESULT)
-
     if grouped:
-        q = lookup_join(queries, groups.drop("nv"), ["g1", "g2"], "nq", totals["n_groups"], totals["nq"])
-        c = lookup_join(candidates, groups.drop("nq"), ["g1", "g2"], "nv", totals["n_groups"], totals["nv"])
+        groups, totals = _plan_groups(queries, candidates, dim, k)
+        if not totals["n_groups"]:
+            return spark.createDataFrame([], _RESULT)
+        by_group = [*_GRID, "g1", "g2"]
+        q = lookup_join(queries, groups.select(*by_group, "nq"), ["g1", "g2"], "nq", totals["n_groups"], totals["nq"])
+        c = lookup_join(candidates, groups.select(*by_group, "nv"), ["g1", "g2"], "nv", totals["n_groups"], totals["nv"])
+        n_parts = max(_CELLS_PER_CORE * parallelism(spark), math.ceil(totals["bytes"] / (128 << 20)))
+        n_runs = totals["v_blocks"]
+        q, c = q.withColumn("qb", _query_block()), c.withColumns(_candidate_slot("id")).withColumn("sub", F.lit(0))
     else:
-        one = groups.drop("nq", "nv", "g1", "g2").first()
-        q, c = (df.withColumns({name: F.lit(one[name]) for name in one.asDict()}) for df in (queries, candidates))
-    parts = [
-        _place_queries(q),
-        _place_candidates(c, F.col("id"), hidden is not None).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))
-        ).withColumn("kind", F.lit(_CANDIDATE)),
+        if not nq or not nv:
+            return spark.createDataFrame([], _RESULT)
+        limits = _Limits.of(spark, nq * nv, dim, k)
+        grid = dict(zip(_GRID, limits.grid(nq, nv, math.ceil, max, min)))
+        grid_columns = {name: F.lit(n) for name, n in grid.items()}
+        q, c = queries.withColumns(grid_columns), candidates.withColumns(grid_columns)
+        q, c = q.withColumn("qb", _query_block()), c.withColumns(_candidate_slot("id"))
+        n_parts = grid["q_blocks"] * grid["v_blocks"]
+        n_runs = grid["v_blocks"]
+
+    keys = ["g1", "g2", "cell"] if grouped else ["cell"]
+    if grouped:
+        q, c = (_singles(df) for df in (q, c))
+        if totals["q_blocks"] > 1:
+            # Spread the rows of cut groups before they are copied to their query blocks.
+            c = c.repartition(n_parts, "id")
+    else:
+        q = _packs(q, ["qb"], max(nq // grid["q_blocks"], 1), grid["q_blocks"], dim, grid_columns)
+        c = _packs(c, ["vb", "sub"], _BLOCK, grid["v_blocks"] * grid["subs"], dim, grid_columns)
+    every_q_block = F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))
+    every_run = F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1))
+    placed = [
+        q.withColumns({"vb": every_run, "sub": F.lit(_BEFORE_ALL), "kind": F.lit(_QUERY)}),
+        c.withColumns({"qb": every_q_block, "kind": F.lit(_CANDIDATE)}),
     ]
     if hidden is not None:
-        pairs = hidden.select(F.col("qid").cast("bigint").alias("id"), F.col("cid").cast("bigint").alias("label"))
-        pairs = pairs.withColumns({name: F.lit(one[name]) for name in one.asDict()})
-        pairs = _place_candidates(pairs, F.col("label"), True).withColumns(
-            {
-                "qb": _block(F.col("id"), F.col("q_blocks")),
-                "kind": F.lit(_HIDDEN),
-                "vector": F.lit(None).cast("array<float>"),
-                "g1": F.lit(0).cast("bigint"),
-                "g2": F.lit(0).cast("bigint"),
-            }
-        )
-        parts.append(pairs)
+        placed.append(_hidden_sets(hidden, grid_columns).withColumn("kind", F.lit(_HIDDEN)))
 
-    columns = [*_CELL, "sub", "kind", "id", "label", "vector"]
     cell = F.col("qb") * F.col("v_blocks") + F.col("vb")
-    n_parts = totals["cells"]
-    if grouped:
-        n_parts = max(_CELLS_PER_CORE * parallelism(queries.sparkSession), math.ceil(totals["bytes"] / (128 << 20)))
-        cell = F.pmod(F.xxhash64("g1", "g2") + cell, F.lit(n_parts))
-    placed = [df.select(cell.cast("int").alias("cell"), *columns) for df in parts]
-    rows = placed[0]
-    for df in placed[1:]:
-        rows = rows.unionByName(df)
-    rows = rows.repartitionById(n_parts, "cell").sortWithinPartitions(*_CELL, "sub", "kind")
+    part = F.pmod(F.xxhash64("g1", "g2") + cell, F.lit(n_parts)) if grouped else cell
+    step = F.col("sub").cast("bigint") * _KINDS + F.col("kind")
+    names = {"part": part.cast("int"), "cell": cell.cast("bigint"), "step": step}
+    columns = [*keys, *_PAYLOAD]
+    placed = [df.withColumns(names).select("part", *columns) for df in placed]
+    # Without groups a partition is one cell, and a single long is all there is to sort by.
+    order = [*keys, "step"] if grouped else ["step"]
+    rows = reduce(DataFrame.unionByName, placed).repartitionById(n_parts, "part").sortWithinPartitions(*order)
     found = rows.select(*columns).mapInArrow(_score_cells(k, hidden is not None, keep_hidden, skip_self), _RESULT)
-    if totals["max_v_blocks"] > 1:
-        found = _best_of_runs(found, k)
-    return found
+    return found if n_runs == 1 else _best_of_runs(found, k)
 
 
 def _best_of_runs(found: DataFrame, k: int) -> DataFrame:
@@ -126,65 +153,112 @@ def _dimension(vectors: DataFrame) -> int:
     return first["d"] if first else 1
 
 
-def _plan_cells(queries: DataFrame, candidates: DataFrame, dim: int, k: int) -> tuple[DataFrame, dict]:
-    """How many query blocks and candidate runs each group gets, from its two counts alone."""
-    spark = queries.sparkSession
+@dataclass(frozen=True)
+class _Limits:
+    """Largest query block, longest candidate run and intended pairs of a cell."""
+
+    queries: int
+    run: int
+    pairs: float
+
+    @classmethod
+    def of(cls, spark: SparkSession, total_pairs: float, dim: int, k: int) -> _Limits:
+        return cls(
+            max(1, min(_MAX_QUERIES, _MAX_STATE_BYTES // (24 * k + 8 * dim))),
+            max(_BLOCK, _MAX_CELL_BYTES // (4 * dim + 32)),
+            max(total_pairs / (_CELLS_PER_CORE * parallelism(spark)), _MIN_CELL_PAIRS),
+        )
+
+    def grid(self, nq, nv, ceil, largest, smallest):
+        """``(query blocks, candidate runs, sub-blocks per run)`` of a group, on numbers or on columns."""
+        by_work = smallest(ceil(nq * nv / self.pairs), ceil(nq / _MIN_QUERIES))
+        q_blocks = largest(ceil(nq / self.queries), by_work)
+        by_work = smallest(ceil(nq * nv / q_blocks / self.pairs), ceil(nv / _BLOCK))
+        v_blocks = largest(ceil(nv / self.run), by_work)
+        return q_blocks, v_blocks, ceil(nv / v_blocks / _BLOCK)
+
+
+def _plan_groups(queries: DataFrame, candidates: DataFrame, dim: int, k: int) -> tuple[DataFrame, Row]:
+    """Blocks of every group, from its two counts alone, and their totals."""
     nq = queries.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("nq"))
     nv = candidates.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("nv"))
     counts = materialize(nq.join(nv, ["g1", "g2"]), "groups")
-    work = F.col("nq").cast("double") * F.col("nv")
-    total = counts.agg(F.sum(work)).first()[0] or 0.0
-    cell_pairs = F.lit(max(total / (_CELLS_PER_CORE * parallelism(spark)), _MIN_CELL_PAIRS))
-    max_queries = max(1, min(_MAX_QUERIES, _MAX_STATE_BYTES // (24 * k + 8 * dim)))
-    max_run = max(_BLOCK, _MAX_CELL_BYTES // (4 * dim + 32))
-    one = F.lit(1.0)
-    q_blocks = F.greatest(
-        one,
-        F.ceil(F.col("nq") / max_queries).cast("double"),
-        F.least(F.ceil(work / cell_pairs), F.ceil(F.col("nq") / _MIN_QUERIES)).cast("double"),
-    )
-    v_blocks = F.greatest(
-        one,
-        F.ceil(F.col("nv") / max_run).cast("double"),
-        F.least(F.ceil(work / F.col("q_blocks") / cell_pairs), F.ceil(F.col("nv") / _BLOCK)).cast("double"),
-    )
-    groups = (
-        counts.withColumn("q_blocks", q_blocks.cast("int"))
-        .withColumn("v_blocks", v_blocks.cast("int"))
-        .withColumn("subs", F.ceil(F.col("nv") / F.col("v_blocks") / _BLOCK).cast("int"))
-    )
+    nq, nv = F.col("nq").cast("double"), F.col("nv").cast("double")
+    pairs = counts.agg(F.sum(nq * nv)).first()[0] or 0.0
+    limits = _Limits.of(queries.sparkSession, pairs, dim, k)
+    grid = limits.grid(nq, nv, F.ceil, F.greatest, F.least)
+    groups = counts.withColumns({name: n.cast("int") for name, n in zip(_GRID, grid)})
     copies = F.col("nq") * F.col("v_blocks") + F.col("nv") * F.col("q_blocks")
     totals = groups.agg(
         F.count(F.lit(1)).alias("n_groups"),
         F.sum("nq").alias("nq"),
         F.sum("nv").alias("nv"),
-        F.sum(F.col("q_blocks") * F.col("v_blocks")).alias("cells"),
-        F.max("v_blocks").alias("max_v_blocks"),
+        F.max("q_blocks").alias("q_blocks"),
+        F.max("v_blocks").alias("v_blocks"),
         F.sum(copies * (4 * dim + 64)).alias("bytes"),
-    ).first()
-    return groups, totals.asDict()
+    )
+    return groups, totals.first()
 
 
-def _block(key: Column, blocks: Column) -> Column:
+def _block(key: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(key), blocks).cast("int")
 
 
-def _place_queries(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            "qb": _block(F.col("id"), F.col("q_blocks")),
-            "vb": F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)),
-            "sub": F.lit(-1),
-            "kind": F.lit(_QUERY),
-        }
-    )
+def _query_block() -> Column:
+    return _block("id", F.col("q_blocks"))
 
 
-def _place_candidates(df: DataFrame, key: Column, in_subs: bool) -> DataFrame:
-    """Candidate run and, where hidden pairs must meet their candidates, the sub-block within it."""
+def _candidate_slot(key: str) -> dict[str, Column]:
+    """Candidate run and the sub-block within it, where hidden pairs must meet their candidates."""
     slot = _block(key, F.col("v_blocks") * F.col("subs"))
-    vb = F.floor(slot / F.col("subs")).cast("int")
-    return df.withColumns({"vb": vb, "sub": F.pmod(slot, F.col("subs")) if in_subs else F.lit(0)})
+    return {"vb": F.floor(slot / F.col("subs")).cast("int"), "sub": F.pmod(slot, F.col("subs"))}
+
+
+def _payload(rows: Column) -> dict[str, Column]:
+    """Columns a task reads: ``owner`` is the query of a hidden set, the arrays are parallel."""
+    return {
+        "owner": F.lit(0).cast("bigint"),
+        "ids": rows.getField("id"),
+        "labels": rows.getField("label"),
+        "vectors": rows.getField("vector"),
+    }
+
+
+def _singles(df: DataFrame) -> DataFrame:
+    return df.withColumns(_payload(F.array(F.struct("id", "label", "vector"))))
+
+
+def _packs(df: DataFrame, slot: list[str], slot_rows: int, slots: int, dim: int, grid: dict[str, Column]) -> DataFrame:
+    """Rows of a slot gathered into packs of bounded size, which are cheap to copy to many cells.
+
+    The number of partitions is set by hand: packs are small, but each is copied many times later.
+    """
+    pack_rows = max(1, min(_PACK_ROWS, _PACK_BYTES // (4 * dim + 16)))
+    per_slot = math.ceil(slot_rows / pack_rows)
+    pack = F.pmod(F.xxhash64("id", F.lit("pack")), F.lit(per_slot))
+    n_parts = min(slots * per_slot, parallelism(df.sparkSession))
+    packed = (
+        df.withColumn("pack", pack)
+        .repartition(n_parts, *slot, "pack")
+        .groupBy(*slot, "pack")
+        .agg(F.collect_list(F.struct("id", "label", "vector")).alias("rows"))
+    )
+    return packed.withColumns(grid).withColumns(_payload(F.col("rows")))
+
+
+def _hidden_sets(hidden: DataFrame, grid: dict[str, Column]) -> DataFrame:
+    """Hidden candidates per query and sub-block: each set is distinct and no larger than a sub-block."""
+    pairs = hidden.select(F.col("qid").cast("bigint").alias("id"), F.col("cid").cast("bigint").alias("cid"))
+    pairs = pairs.withColumns(grid).withColumns(_candidate_slot("cid"))
+    sets = pairs.groupBy("id", "vb", "sub").agg(F.collect_set("cid").alias("ids")).withColumns(grid)
+    return sets.withColumns(
+        {
+            "qb": _query_block(),
+            "owner": F.col("id"),
+            "labels": F.lit(None).cast("array<bigint>"),
+            "vectors": F.lit(None).cast("array<array<float>>"),
+        }
+    )
 
 
 def _score_cells(k: int, has_hidden: bool, keep_hidden: bool, skip_self: bool):
@@ -205,18 +279,23 @@ def _score_cells(k: int, has_hidden: bool, keep_hidden: bool, skip_self: bool):
 
 
 def _runs(batches: Iterator[pa.RecordBatch]):
-    """Cut Arrow batches where the cell, the sub-block or the kind of row changes."""
+    """Cut Arrow batches where the cell or the step changes, and unfold the packed arrays of each run."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
-        ids, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in (6, 7))
+        n_keys = batch.num_columns - len(_PAYLOAD) + 1
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)])
         cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
-            key = tuple(int(x) for x in keys[:4, start])
-            sub, kind = (int(x) for x in keys[4:, start])
-            vectors = batch.column(8).slice(start, stop - start)
-            yield key, kind, sub, ids[start:stop], labels[start:stop], vectors
+            *cell, step = (int(x) for x in keys[:, start])
+            sub, kind = divmod(step, _KINDS)
+            owner, ids, labels, vectors = (batch.column(n_keys + i).slice(start, stop - start) for i in range(4))
+            unfolded = ids.flatten().to_numpy(zero_copy_only=False)
+            if kind == _HIDDEN:
+                sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
+                yield cell, kind, sub, np.repeat(owner.to_numpy(zero_copy_only=False), sizes), unfolded, None
+            else:
+                yield cell, kind, sub, unfolded, labels.flatten().to_numpy(zero_copy_only=False), vectors.flatten()
 
 
 class _CellScorer:
@@ -264,8 +343,7 @@ class _CellScorer:
         at = np.searchsorted(self.qid, qid)
         known = at < len(self.qid)
         known[known] = self.qid[at[known]] == qid[known]
-        pairs = np.unique(np.c_[at[known], hidden[known]], axis=0)
-        return pairs[:, 0], pairs[:, 1]
+        return at[known], hidden[known]
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         self.flush()
@@ -280,7 +358,7 @@ def _result_batch(top: RunningTopK, qid, qlabel) -> pa.RecordBatch:
         "qlabel": pa.array(qlabel[row], pa.int64()),
         "cid": pa.array(cid, pa.int64()),
         "clabel": pa.array(clabel, pa.int64()),
-        "score": pa.array(score, pa.float64(), mask=np.isneginf(score)),
+        "score": pa.array(score, pa.float64(), mask=score == MISSING),
         "rank": pa.array(rank, pa.int32()),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -335,7 +413,7 @@ def nearest_to(candidates: DataFrame, query: list[float] | None, k: int) -> Data
                 cid, label, v, missing = _stack([(ids, ids, batch.column(1))])
                 top.push(cid, label, _fit(v, missing, matrix.shape[1]), missing)
         _, cid, _, score, _ = top.results()
-        distance = pa.array(0.0 - score, pa.float64(), mask=np.isneginf(score))
+        distance = pa.array(0.0 - score, pa.float64(), mask=score == MISSING)
         yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), distance], names=["id", "distance"])
 
     scan = candidates.select(

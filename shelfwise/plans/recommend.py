@@ -61,6 +61,11 @@ def prepare(
         interactions = materialize(build(), "interactions")
     else:
         interactions = read_through(spark, snapshot_path(snapshot_root, cfg, as_of), build)
+    return index_and_rate(interactions, cfg)
+
+
+def index_and_rate(interactions: DataFrame, cfg: RunConfig) -> Prepared:
+    """Indices and ratings of stored interactions."""
     users, items = user_index(interactions), item_index(interactions)
     ratings = materialize(to_ratings(interactions, users, items, cfg.interaction_weights), "ratings")
     return Prepared(interactions, users, items, ratings)
