@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.vectors import has_bad_element
 from shelfwise.schemas import PRODUCT_EMBEDDINGS
+from shelfwise.session import materialize
 
 
 def check_vectors(updates: DataFrame) -> None:
@@ -30,9 +31,9 @@ def upsert_embeddings(target: DataFrame, updates: DataFrame) -> DataFrame:
 
     ``updates`` has the target's columns and ``seq``, its order in the batch, unique per id. An update
     replaces status, both categories and vector. Nothing is returned, and so nothing can be written, if
-    the batch holds a bad vector.
+    the batch holds a bad vector. The winning updates are stored once and read on both sides of the result.
     """
     check_vectors(updates)
     names = PRODUCT_EMBEDDINGS.names
-    new = last_updates(updates.select(*names, "seq"))
+    new = materialize(last_updates(updates.select(*names, "seq")), "updates")
     return target.select(*names).join(new, "id", "left_anti").unionByName(new.select(*names))

@@ -1,0 +1,51 @@
+import json
+
+import pytest
+
+from shelfwise.config import DEFAULT_WEIGHTS, INTERACTION_PRIORITY, RunConfig, Thresholds
+
+from conftest import AS_OF
+
+
+def test_missing_thresholds_keep_their_defaults():
+    assert Thresholds.from_flat({}) == Thresholds((3, 6, 10), (3, 6, 10))
+    assert Thresholds.from_flat({"view1": 1, "impression3": 7}) == Thresholds((1, 6, 10), (3, 6, 7))
+
+
+def test_load_flat_json(tmp_path):
+    settings = {
+        "max_iter": 4, "rank": 3, "days": 7, "split_test_data": True, "test_ratio": 0.1, "db_type": "mysql",
+        "interaction_weights": DEFAULT_WEIGHTS,
+        "interaction_thresholds": {"view1": 1, "view2": 4, "view3": 7, "impression1": 1, "impression2": 4,
+                                   "impression3": 7},
+    }
+    path = tmp_path / "settings.json"
+    path.write_text(json.dumps(settings))
+    cfg = RunConfig.load(str(path))
+    assert (cfg.max_iter, cfg.rank, cfg.days, cfg.nonnegative) == (4, 3, 7, False)
+    assert cfg.interaction_thresholds == Thresholds((1, 4, 7), (1, 4, 7))
+    assert cfg.echo()["db_type"] == "mysql"
+
+
+def test_unknown_setting_is_refused():
+    with pytest.raises(ValueError, match="topn"):
+        RunConfig.from_dict({"topn": 5})
+
+
+def test_every_type_needs_a_weight():
+    weights = {t: 1.0 for t in INTERACTION_PRIORITY if t != "cart"}
+    with pytest.raises(ValueError, match="cart"):
+        RunConfig(interaction_weights=weights)
+
+
+def test_one_seed_for_split_and_model_unless_overridden():
+    assert RunConfig(random_seed=7).model_seed == 7
+    assert RunConfig(random_seed=7, als_seed=0).model_seed == 0
+
+
+def test_snapshot_key_follows_thresholds_and_days():
+    a = RunConfig()
+    assert a.snapshot_key(AS_OF) == RunConfig(rank=99).snapshot_key(AS_OF)
+    assert a.snapshot_key(AS_OF) != RunConfig(days=11).snapshot_key(AS_OF)
+    changed = RunConfig(interaction_thresholds=Thresholds(view=(1, 2, 3)))
+    assert a.snapshot_key(AS_OF) != changed.snapshot_key(AS_OF)

@@ -1,0 +1,84 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
+from shelfwise.config import RunConfig
+from shelfwise.operators import factors as als
+from shelfwise.operators.evaluation import regression_metrics
+from shelfwise.operators.ranking import top_n_unseen
+
+from conftest import rows
+
+CFG = RunConfig(rank=4, max_iter=5, reg_param=0.1)
+
+
+@pytest.fixture(scope="module")
+def train(spark):
+    rng = random.Random(5)
+    data = [(rng.randrange(30), rng.randrange(40), rng.choice([-1.0, 2.0, 5.0, 10.0])) for _ in range(400)]
+    return spark.createDataFrame(data + data[:40], "user_idx int, item_idx int, rating double").cache()
+
+
+@pytest.fixture(scope="module")
+def model(train):
+    return als.fit_als(train, CFG, 440)
+
+
+def as_dict(df):
+    return {r[0]: np.array(r[1]) for r in df.collect()}
+
+
+def test_user_factors_solve_their_normal_equations(train, model):
+    """Repeated pairs count as often as they occur, in the sums and in the regularisation."""
+    u, v = as_dict(als.user_factors(model)), as_dict(als.item_factors(model))
+    for user, x in u.items():
+        mine = [r for r in train.collect() if r["user_idx"] == user]
+        lhs = sum(np.outer(v[r["item_idx"]], v[r["item_idx"]]) for r in mine) + CFG.reg_param * len(mine) * np.eye(4)
+        rhs = sum(r["rating"] * v[r["item_idx"]] for r in mine)
+        assert np.abs(lhs @ x - rhs).max() < 1e-3
+
+
+def test_dimensions(train, model):
+    users = train.select("user_idx").distinct().count()
+    items = train.select("item_idx").distinct().count()
+    assert rows(als.factor_dims(model)) == [("item", items, 4), ("user", users, 4)]
+
+
+def test_same_seed_same_factors(train, model):
+    a, b = as_dict(als.user_factors(model)), as_dict(als.user_factors(als.fit_als(train, CFG, 440)))
+    assert max(np.abs(a[i] - b[i]).max() for i in a) < 1e-6
+
+
+def test_nonnegative(train):
+    cfg = RunConfig(rank=3, max_iter=3, nonnegative=True)
+    model = als.fit_als(train.where("rating > 0"), cfg)
+    assert min(x.min() for x in as_dict(als.user_factors(model)).values()) >= 0
+
+
+def test_unseen_pairs_predict_nan_and_are_not_scored(spark, model):
+    test = spark.createDataFrame([(0, 0, 5.0), (999, 0, 5.0), (0, 999, 5.0)],
+                                 "user_idx int, item_idx int, rating double")
+    predicted = als.predict(model, test)
+    assert sorted(math.isnan(r["prediction"]) for r in predicted.collect()) == [False, True, True]
+    assert regression_metrics(predicted).first()["n"] == 1
+
+
+def test_metrics(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (3.0, 5.0), (9.0, float("nan")), (9.0, None)],
+                               "rating double, prediction double")
+    n, mae, rmse = regression_metrics(df).first()
+    assert (n, mae) == (3, 1.0) and abs(rmse - math.sqrt(5 / 3)) < 1e-12
+    assert tuple(regression_metrics(df.where("isnan(prediction)")).first()) == (0, None, None)
+
+
+def test_recommendations_of_a_fitted_model_against_all_scores(train, model):
+    u, v = as_dict(als.user_factors(model)), as_dict(als.item_factors(model))
+    seen = {(r["user_idx"], r["item_idx"]) for r in train.collect()}
+    got = {}
+    for r in top_n_unseen(als.user_factors(model), als.item_factors(model), train, 7).orderBy("rank").collect():
+        got.setdefault(r["user_idx"], []).append(r["item_idx"])
+    for user, x in u.items():
+        scored = sorted((-float(x @ y), i) for i, y in v.items() if (user, i) not in seen)
+        assert got[user] == [i for _, i in scored[:7]]
