@@ -29,13 +29,13 @@ def page(rows: DataFrame, limit: int, batch_no: int) -> DataFrame:
     start = batch_no * limit
     if start + limit <= _SORTED_HEAD:
         return rows.orderBy("id").offset(start).limit(limit)
-    numbered, _ = dense_index(rows, ["id"], "_row")
+    numbered, _, _ = dense_index(rows, ["id"], "_row")
     return numbered.where((F.col("_row") >= start) & (F.col("_row") < start + limit)).drop("_row")
 
 
 def page_numbers(rows: DataFrame, limit: int) -> DataFrame:
     """Every row with its ``batch_no``: all pages of a sweep at once instead of one query per page."""
-    numbered, _ = dense_index(rows, ["id"], "_row")
+    numbered, _, _ = dense_index(rows, ["id"], "_row")
     return numbered.withColumn("batch_no", F.floor(F.col("_row") / limit)).drop("_row")
 
 

@@ -38,8 +38,12 @@ class IndexTable:
         )
 
 
-def dense_index(keys: DataFrame, order: list[str], idx_col: str) -> tuple[DataFrame, int]:
-    """Number the rows of ``keys`` 0, 1, 2, ... by ``order``, which must be unique, and count them.
+def dense_index(
+    keys: DataFrame, order: list[str], idx_col: str, weight: str | None = None
+) -> tuple[DataFrame, int, int]:
+    """Number the rows of ``keys`` 0, 1, 2, ... by ``order``, which must be unique.
+
+    Returns the numbered rows, their count and the sum of their ``weight`` column.
 
     The rows are range-partitioned, sorted within partitions and written with their place in the
     partition; the start of each partition is a running sum over one count per partition. No step puts
@@ -53,21 +57,22 @@ def dense_index(keys: DataFrame, order: list[str], idx_col: str) -> tuple[DataFr
         .withColumn("_pos", spot.bitwiseAND(F.lit((1 << 33) - 1)))
     )
     placed = materialize(placed, idx_col)
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    total = F.sum(weight) if weight else F.lit(0)
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), total.alias("w")).collect()
+    counts = sorted(counts, key=lambda r: r["_part"])
     ends = list(accumulate(r["n"] for r in counts))
     size = ends[-1] if ends else 0
     starts = [(r["_part"], end - r["n"]) for r, end in zip(counts, ends)]
     offsets = keys.sparkSession.createDataFrame(starts, "_part int, _start bigint")
     indexed = placed.join(F.broadcast(offsets), "_part").withColumn(idx_col, F.col("_start") + F.col("_pos"))
-    return indexed.drop("_part", "_pos", "_start"), size
+    return indexed.drop("_part", "_pos", "_start"), size, sum(r["w"] for r in counts)
 
 
 def _as_table(keys: DataFrame, order: list[str], id_col: str, idx_col: str) -> IndexTable:
-    indexed, size = dense_index(keys, order, idx_col)
+    indexed, size, total = dense_index(keys, order, idx_col, "n_rows")
     if size > MAX_INDEX:
         raise ValueError(f"{size} distinct values of {id_col} exceed the integer range of ALS ids")
     df = indexed.select(id_col, F.col(idx_col).cast("int").alias(idx_col), "n_rows")
-    total = df.agg(F.sum("n_rows")).first()[0] or 0
     return IndexTable(df, id_col, idx_col, size, total)
 
 

@@ -29,6 +29,7 @@ _MAX_STATE_BYTES = 64 << 20
 _MAX_CELL_BYTES = 256 << 20
 _MIN_CELL_PAIRS = 1 << 20
 _CELLS_PER_CORE = 3
+_PARTITION_BYTES = 128 << 20
 # Vectors that travel in one row.
 _PACK_ROWS = 1024
 _PACK_BYTES = 1 << 20
@@ -85,7 +86,8 @@ def block_top_k(
         by_group = [*_GRID, "g1", "g2"]
         q = lookup_join(queries, groups.select(*by_group, "nq"), ["g1", "g2"], "nq", totals["n_groups"], totals["nq"])
         c = lookup_join(candidates, groups.select(*by_group, "nv"), ["g1", "g2"], "nv", totals["n_groups"], totals["nv"])
-        n_parts = max(_CELLS_PER_CORE * parallelism(spark), math.ceil(totals["bytes"] / (128 << 20)))
+        n_parts = min(_CELLS_PER_CORE * parallelism(spark), totals["cells"])
+        n_parts = max(n_parts, math.ceil(totals["bytes"] / _PARTITION_BYTES))
         n_runs = totals["v_blocks"]
         q, c = q.withColumn("qb", _query_block()), c.withColumns(_candidate_slot("id")).withColumn("sub", F.lit(0))
     else:
@@ -193,6 +195,7 @@ def _plan_groups(queries: DataFrame, candidates: DataFrame, dim: int, k: int) ->
         F.count(F.lit(1)).alias("n_groups"),
         F.sum("nq").alias("nq"),
         F.sum("nv").alias("nv"),
+        F.sum(F.col("q_blocks") * F.col("v_blocks")).alias("cells"),
         F.max("q_blocks").alias("q_blocks"),
         F.max("v_blocks").alias("v_blocks"),
         F.sum(copies * (4 * dim + 64)).alias("bytes"),

@@ -24,7 +24,7 @@ def test_first_appearance_order(spark):
 def test_dense_and_ordered_over_many_partitions(spark):
     ids = random.Random(1).sample(range(10**9), 5000)
     df = spark.createDataFrame([(i,) for i in ids], "k bigint").repartition(13)
-    numbered, size = indexing.dense_index(df, ["k"], "n")
+    numbered, size, _ = indexing.dense_index(df, ["k"], "n")
     assert size == 5000
     assert rows(numbered, "n", "k") == sorted(enumerate(sorted(ids)), key=repr)
 

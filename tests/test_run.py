@@ -1,7 +1,9 @@
 import dataclasses
+import json
 
 import pytest
 
+from shelfwise.__main__ import main
 from shelfwise.config import RunConfig
 from shelfwise.plans import recommend
 from shelfwise.session import materialize, shared_root
@@ -64,3 +66,23 @@ def test_shared_folder_is_the_session_setting(spark):
     if root:
         assert shared_root(spark).startswith(root)
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_command_line(spark, tmp_path, capsys):
+    logs = testdata.event_logs(spark, SMALL)
+    for name in ("product_impression", "product_view", "action_log", "purchased_product"):
+        getattr(logs, name).write.parquet(f"{tmp_path}/logs/{name}")
+    settings = {
+        "rank": 3, "max_iter": 2, "top_n": 5, "days": 10, "split_test_data": True, "test_ratio": 0.1,
+        "interaction_thresholds": {"view1": 1, "view2": 2, "view3": 3, "impression1": 1, "impression2": 2,
+                                   "impression3": 3},
+    }
+    (tmp_path / "settings.json").write_text(json.dumps(settings))
+    report = main([
+        str(tmp_path / "settings.json"), "--logs", f"{tmp_path}/logs", "--results", f"{tmp_path}/out",
+        "--snapshots", f"{tmp_path}/cache", "--as-of", "2024-01-31",
+    ])
+    assert report["interactions"]["n_interactions"] == 297
+    assert json.loads(capsys.readouterr().out)["settings"]["top_n"] == 5
+    out = spark.read.option("header", True).csv(f"{tmp_path}/out")
+    assert out.count() == 15 and all(len(r["recommended_items"].split(",")) == 5 for r in out.collect())
