@@ -148,7 +148,7 @@ def q_als_topn_counts(spark, sf_dir):
 
 
 def q_als_metrics(spark, sf_dir):
-    return recommend.evaluate(_trained(spark, sf_dir))
+    return recommend.evaluate(_prepared(spark, sf_dir), _trained(spark, sf_dir))
 
 
 def q_als_normal_equations(spark, sf_dir):

@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.config import RunConfig
-from shelfwise.session import shared_root
+from shelfwise.functions.vectors import inner_product
+from shelfwise.operators.indexing import IndexTable
+from shelfwise.session import lookup_join, shared_root
 
 _RATINGS_PER_BLOCK = 5_000_000
 _DEFAULT_BLOCKS = 10
+_CHECKPOINT_INTERVAL = 5
 
 
 def fit_als(train: DataFrame, cfg: RunConfig, n_train: int | None = None) -> ALSModel:
     """Fit on ``(user_idx, item_idx, rating)``, repeated pairs counting as often as they occur.
 
     Blocks grow with the ratings (``n_train``), from the library's default of ten. Long lineages are cut
-    every ten iterations by checkpoints in the shared folder. ``train`` should be a stored table, so that
+    every few iterations by checkpoints in the shared folder. ``train`` should be a stored table, so that
     a lost executor re-reads the same rows.
     """
     shared_root(train.sparkSession)
@@ -37,7 +40,7 @@ def fit_als(train: DataFrame, cfg: RunConfig, n_train: int | None = None) -> ALS
         seed=cfg.model_seed,
         numUserBlocks=blocks,
         numItemBlocks=blocks,
-        checkpointInterval=10,
+        checkpointInterval=_CHECKPOINT_INTERVAL,
     )
     return als.fit(train.select("user_idx", "item_idx", "rating"))
 
@@ -47,6 +50,24 @@ def predict(model: ALSModel, pairs: DataFrame) -> DataFrame:
     return model.transform(pairs)
 
 
+def predict_stored(
+    users: DataFrame, items: DataFrame, pairs: DataFrame, user_ids: IndexTable, item_ids: IndexTable
+) -> DataFrame:
+    """Add ``prediction`` to indexed ``pairs`` from stored factor tables; NULL where a side was not trained.
+
+    Unlike ``predict`` it does not depend on the model's cached blocks, and a user or item with very many
+    pairs is spread over tasks.
+    """
+    rank = items.select(F.size("features").alias("rank")).first()
+    row_bytes = 64 + 4 * (rank["rank"] if rank else 0)
+    for idx_col, factors, ids in (("user_idx", users, user_ids), ("item_idx", items, item_ids)):
+        vectors = factors.select(idx_col, F.col("features").alias(f"_{idx_col}"))
+        dim = ids.df.select(idx_col, "n_rows").join(vectors, idx_col, "left")
+        pairs = lookup_join(pairs, dim, [idx_col], "n_rows", ids.size, ids.total_rows, row_bytes)
+    score = inner_product(F.col("_user_idx"), F.col("_item_idx"))
+    return pairs.withColumn("prediction", score).drop("_user_idx", "_item_idx")
+
+
 def user_factors(model: ALSModel) -> DataFrame:
     """``(user_idx, features)``, one row per trained user. Sort by ``user_idx`` only for an export."""
     return model.userFactors.select(F.col("id").alias("user_idx"), "features")

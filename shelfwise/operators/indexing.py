@@ -8,7 +8,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.session import BROADCAST_ROWS, lookup_join, materialize
+from shelfwise.session import fits_broadcast, lookup_join, materialize
 
 MAX_INDEX = 2**31 - 1
 
@@ -30,7 +30,7 @@ class IndexTable:
     def attach_id(self, facts: DataFrame) -> DataFrame:
         """Index to id. ``facts`` may hold any number of rows per index and is counted if the table is large."""
         names = self.df.select(self.idx_col, self.id_col)
-        if self.size <= BROADCAST_ROWS:
+        if fits_broadcast(self.size):
             return facts.join(F.broadcast(names), self.idx_col)
         load = facts.groupBy(self.idx_col).agg(F.count(F.lit(1)).alias("n_rows"))
         return lookup_join(

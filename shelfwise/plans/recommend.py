@@ -99,11 +99,14 @@ def recommend(prepared: Prepared, trained: Trained, n: int, mode: str = "strict"
     )
 
 
-def evaluate(trained: Trained) -> DataFrame | None:
+def evaluate(prepared: Prepared, trained: Trained) -> DataFrame | None:
     """``(n, mae, rmse)`` on the held-out rows, or None when nothing was held out."""
     if trained.split.test is None:
         return None
-    return regression_metrics(als.predict(trained.model, trained.split.test))
+    predicted = als.predict_stored(
+        trained.user_factors, trained.item_factors, trained.split.test, prepared.users, prepared.items
+    )
+    return regression_metrics(predicted)
 
 
 def run(
@@ -127,7 +130,7 @@ def run(
     prepared = prepare(logs, cfg, as_of, snapshot_root)
     trained = train(prepared.ratings, cfg)
     recommendations = materialize(recommend(prepared, trained, cfg.top_n, mode), "recommendations")
-    metrics = evaluate(trained)
+    metrics = evaluate(prepared, trained)
     report = {"settings": cfg.echo(), "as_of": as_of.isoformat()}
     report["interactions"] = interaction_stats(prepared.interactions).first().asDict()
     report["interaction_types"] = {

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A lookup side is broadcast only when its counted rows, about 24-40 bytes each, stay below this.
-BROADCAST_ROWS = 250_000
+# A lookup side is broadcast only when its counted rows, times the size of a row, stay below this.
+BROADCAST_BYTES = 16 << 20
+ROW_BYTES = 64
 # A key with more than 1/HOT_PARTS of all rows is hot, so there are at most HOT_PARTS hot keys.
 HOT_PARTS = 200
 SALTS = 64
@@ -52,14 +53,20 @@ def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], load: str, dim_rows: int, total: int) -> DataFrame:
+def fits_broadcast(rows: int, row_bytes: int = ROW_BYTES) -> bool:
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
+def lookup_join(
+    facts: DataFrame, dim: DataFrame, on: list[str], load: str, dim_rows: int, total: int, row_bytes: int = ROW_BYTES
+) -> DataFrame:
     """Inner join of ``facts`` to ``dim``, whose key ``on`` is unique, level even if one key holds most facts.
 
     ``load`` is the column of ``dim`` with the number of fact rows of the key, ``total`` their sum and
-    ``dim_rows`` the counted size of ``dim``. A small ``dim`` is broadcast. Otherwise the at most
+    ``dim_rows`` the counted rows of ``dim``. A small ``dim`` is broadcast. Otherwise the at most
     ``HOT_PARTS`` hot keys are spread over ``SALTS`` partitions each, and all others are joined as usual.
     """
-    if dim_rows <= BROADCAST_ROWS:
+    if fits_broadcast(dim_rows, row_bytes):
         return facts.join(F.broadcast(dim.drop(load)), on)
     is_hot = F.col(load) * HOT_PARTS > total
     hot = dim.where(is_hot).select(*on, F.lit(True).alias("_hot"))

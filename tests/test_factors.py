@@ -4,10 +4,13 @@ import random
 import numpy as np
 import pytest
 
+from shelfwise import session
 from shelfwise.config import RunConfig
 from shelfwise.operators import factors as als
 from shelfwise.operators.evaluation import regression_metrics
+from shelfwise.operators.indexing import item_index, user_index
 from shelfwise.operators.ranking import top_n_unseen
+from shelfwise.operators.ratings import to_ratings
 
 from conftest import rows
 
@@ -82,3 +85,21 @@ def test_recommendations_of_a_fitted_model_against_all_scores(train, model):
     for user, x in u.items():
         scored = sorted((-float(x @ y), i) for i, y in v.items() if (user, i) not in seen)
         assert got[user] == [i for _, i in scored[:7]]
+
+
+def test_stored_factors_predict_like_the_model(spark, monkeypatch):
+    """With and without broadcast; half of the pairs are one member's, and one pair was never trained."""
+    data = [(7, p, "like") for p in range(60)] + [(m, m % 9, "cart") for m in range(60) if m != 7]
+    df = spark.createDataFrame(data, "member_id bigint, product_id bigint, interaction_type string")
+    users, items = user_index(df), item_index(df)
+    rated = to_ratings(df, users, items, CFG.interaction_weights).cache()
+    model = als.fit_als(rated.where("user_idx != 0"), CFG)
+    want = {(r["user_idx"], r["item_idx"]): r["prediction"] for r in als.predict(model, rated).collect()}
+    for limit in (16 << 20, 0):
+        monkeypatch.setattr(session, "BROADCAST_BYTES", limit)
+        got = als.predict_stored(als.user_factors(model), als.item_factors(model), rated, users, items).collect()
+        assert len(got) == len(data)
+        for r in got:
+            expected = want[r["user_idx"], r["item_idx"]]
+            assert (r["prediction"] is None) == math.isnan(expected)
+            assert r["prediction"] is None or abs(r["prediction"] - expected) < 1e-4

@@ -52,11 +52,10 @@ def test_counting_rows_uses_no_single_partition_sort(spark):
     assert "rangepartitioning" in plan_of(placed) and "SinglePartition" not in plan_of(placed)
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("limit", [16 << 20, 0])
 def test_lookups_both_ways_with_a_hot_member(spark, monkeypatch, limit):
     """Half of all rows are one member's; with limit 0 nothing is broadcast and hot keys are salted."""
-    monkeypatch.setattr(session, "BROADCAST_ROWS", limit)
-    monkeypatch.setattr(indexing, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", limit)
     pairs = [(7, p) for p in range(400)] + [(m, m % 11) for m in range(400) if m != 7]
     df = interactions(spark, pairs)
     users, items = indexing.user_index(df), indexing.item_index(df)
@@ -67,7 +66,7 @@ def test_lookups_both_ways_with_a_hot_member(spark, monkeypatch, limit):
 
 
 def test_salting_spreads_the_hot_key(spark, monkeypatch):
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     df = interactions(spark, [(7, p) for p in range(2000)] + [(m, 0) for m in range(100, 400)])
     joined = indexing.user_index(df).attach_index(df)
     plan = plan_of(joined)

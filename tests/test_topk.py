@@ -91,9 +91,9 @@ def test_hidden_pairs_with_a_hot_query(spark, cells, keep):
         same(got[i], want)
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("limit", [16 << 20, 0])
 def test_groups_with_one_holding_most_rows(spark, cells, monkeypatch, limit):
-    monkeypatch.setattr(session, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", limit)
     v = dict(enumerate(vectors(5, 160)))
     group = {i: (1, 1) if i % 3 else (i % 4, i % 5) for i in v}
     group[7] = (None, 1)
