@@ -23,7 +23,7 @@ for _module in (scoring, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(_module)
 
 # Bounds of one cell (a block of queries against a run of candidates).
-_MAX_QUERIES = 8192
+_MAX_QUERIES = 32_768
 _MIN_QUERIES = 256
 _MAX_STATE_BYTES = 64 << 20
 _MAX_CELL_BYTES = 256 << 20
