@@ -19,6 +19,15 @@ from shelfwise.plans import recommend
 from shelfwise.session import lookup_join
 from shelfwise.sources import testdata
 
+try:
+    from shelfwise.llm import queries as corpus_queries
+except ImportError:
+    corpus_queries = None
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+
 DOMAIN = "img.example.com"
 CONFIG = RunConfig(interaction_thresholds=testdata.LOW_TIERS, split_test_data=True, test_ratio=0.1, top_n=10)
 
@@ -312,7 +321,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
+    found = {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
+    if corpus_queries:
+        found |= corpus_queries.queries()
+    if corpus_pipeline:
+        found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 # --- SQL twins --------------------------------------------------------------------------------------------
@@ -437,7 +451,7 @@ def oracle_sql() -> dict[str, str]:
     priority = ", ".join(f"'{t}'" for t in INTERACTION_PRIORITY)
     named = "strict JOIN users USING (user_idx) JOIN items USING (item_idx) WHERE rank <= 10"
     listed = "string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY rank)"
-    return {
+    found = {
         "interactions": f"{base} SELECT * FROM interactions",
         "order_interactions": f"{orders} SELECT * FROM interactions",
         "interactions_ordered": f"""{base} SELECT *, CAST(list_position([{priority}], interaction_type) AS BIGINT)
@@ -523,3 +537,8 @@ def oracle_sql() -> dict[str, str]:
         "product_page_numbers": f"""{parts} SELECT id, status,
             (row_number() OVER (ORDER BY id) - 1) // 500 AS batch_no FROM catalog""",
     }
+    if corpus_queries:
+        found |= corpus_queries.oracle_sql()
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
