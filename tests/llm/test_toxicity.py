@@ -1,0 +1,78 @@
+import random
+import zlib
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from helpers import SCHEMA, clashing, documents
+
+from shelfwise.llm import toxicity
+
+SMALL = "/root/testdata/sf0.1"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    return docs, spark.read.parquet(f"{SMALL}/labels.parquet")
+
+
+def test_held_out_labels_are_found_and_clean_texts_stay(spark, tables):
+    docs, labels = tables
+    scores = {r.doc_id: r for r in toxicity.assess(docs, labels).collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{SMALL}/labels.parquet").to_pylist() if held(r["doc_id"])}
+    assert all(scores[i].held_out for i in truth) and all(0 <= r.score <= 1 for r in scores.values())
+    found = [i for i in truth if scores[i].predicted]
+    toxic = [i for i, t in truth.items() if t]
+    assert len(set(found) & set(toxic)) / len(toxic) > 0.7
+    assert len(set(found) & set(toxic)) / len(found) > 0.97
+    assert all(r.predicted == int(r.score >= 0.7) for r in scores.values())
+
+
+def test_features_are_words_beginnings_and_pairs():
+    one, _ = toxicity.features(["Bad dog, runs".encode()])
+    two, _ = toxicity.features(["bad DOG runs!".encode()])
+    assert np.array_equal(np.sort(one), np.sort(two)) and one.size == 3 * 3 + 2 + 1
+    places, owners = toxicity.features([b"", b"a b", b"c"])
+    assert owners.min() == 1 and np.unique(places[owners == 2]).size <= 3
+
+
+def corpus(spark):
+    rng = random.Random(8)
+    clean = [f"w{i}" for i in range(300)]
+    texts, labels = [], []
+    for i in range(1, 601):
+        words = rng.choices(clean, k=rng.randint(5, 60))
+        toxic = i % 5 == 0
+        if toxic:
+            words[rng.randrange(len(words))] = rng.choice(["vile", "Nasty,", "awful."])
+        texts.append(" ".join(words))
+        labels.append((i, 1, int(toxic)))
+    texts += ["", None, "vile " * 30_000, "w1"]
+    labels += [(601, 1, None), (None, 1, 1), (99_999, 1, 1)]
+    return texts, spark.createDataFrame(labels, LABELS)
+
+
+def test_awkward_rows_and_the_filter(spark):
+    texts, labels = corpus(spark)
+    docs = clashing(documents(spark, texts), "label", "score", "features", "place", "toxic")
+    got = {r.doc_id: r for r in toxicity.assess(docs, labels).collect()}
+    assert len(got) == len(texts)
+    assert got[603].predicted == 1 and got[601].predicted == got[602].predicted == got[604].predicted == 0
+    wrong = [i for i in range(1, 601) if got[i].predicted != int(i % 5 == 0)]
+    assert len(wrong) <= 12
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
+
+
+def test_nothing_to_learn_from_and_empty_tables(spark):
+    none = spark.createDataFrame([], LABELS)
+    docs = spark.createDataFrame([(None, "a", None, None, 1)] * 2 + [(7, None, None, None, 1)], SCHEMA)
+    assert [(r.score, r.predicted) for r in toxicity.assess(docs, none).collect()] == [(0.5, 0)] * 3
+    assert toxicity.assess(spark.createDataFrame([], SCHEMA), none).count() == 0
