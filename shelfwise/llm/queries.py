@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import language_id, line_rules, mixing, packing, simhash, suffix, toxicity
+from shelfwise.llm import language_id, licenses, line_rules, mixing, packing, simhash, suffix, toxicity
 from shelfwise.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best matching licence of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word and repetition counts of every document, and whether it is kept without its host's frequent lines."""
     return line_rules.line_verdicts(table(spark, sf_dir, "documents"))
@@ -56,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": line_rules.ORACLE, "op5_source_mixing": mixing.ORACLE}
+    return {"op3_license_scan": licenses.oracle(), "op4_quality_rules": line_rules.ORACLE, "op5_source_mixing": mixing.ORACLE}
