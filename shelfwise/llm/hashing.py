@@ -60,6 +60,7 @@ class Words:
     def __init__(self, raw: list[bytes], bare: bool = False):
         joined = b" ".join(raw).lower() + b" "
         buffer = np.frombuffer(joined, np.uint8)
+        self.buffer = buffer
         space = _SPACE[buffer]
         edges = np.diff(space.astype(np.int8), prepend=1)
         self.starts, self.ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import language_id, licenses, line_rules, mixing, packing, simhash, suffix, toxicity
+from shelfwise.llm import language_id, language_model, licenses, line_rules, mixing, packing, simhash, suffix, toxicity
 from shelfwise.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the model and under the unigram base."""
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best matching licence of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
