@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import language_id, language_model, licenses, line_rules, mixing, packing, simhash, suffix, toxicity
+from shelfwise.llm import language_id, language_model, licenses, line_rules, mixing, neighbours, packing, simhash, suffix, toxicity
 from shelfwise.llm.common import table
 
 
@@ -61,6 +61,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings found for every twentieth one."""
+    return neighbours.self_search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
