@@ -4,13 +4,13 @@ A position of a text is ``(doc, at)``; ``at`` holds 23 bits of the text's checks
 that repeat a ``doc_id`` with other texts have positions of their own.
 
 1. *Anchors.* Every window of ``length`` bytes marks the positions of its least ``GRAM``-byte hash. Equal windows mark
-   equal places, so a window can only occur twice if its anchor's gram does. About one position in 35 is an anchor.
-2. *Contexts.* An anchor's context is all bytes that windows with this anchor can touch. Where a context occurs again,
-   all its windows do, and it is covered whole. Only the first of each context goes on, and only if its gram has
-   another context too: the edges of repeated passages.
-3. *Doubling.* The window starts left are sorted by pairs of ranks: those of a quarter window at the position and at
-   a quarter beyond, then those of halves. Each round gives equal pairs one rank and drops the positions that have
-   become unique; the last compares whole windows, where all but the first of a rank are covered.
+   equal places, so a window can only occur twice if its anchor's gram does. About one position in 35 is an anchor,
+   and stands for the run of window starts that may have it.
+2. *Doubling.* Positions are sorted by pairs: the rank so far, and the hash of the bytes that all windows of their run
+   share. Positions with a pair of their own go, the others get their place in the sorting as new rank. Where the
+   bytes that the run's windows touch altogether occurred before, the whole run is covered and goes too. What is left,
+   the edges of repeated passages, has its runs cut in ``FAN``, so the shared bytes grow towards ``length``: 32, 83,
+   96, 99 and at last 100 of 100, where a run is one window and all but the first of a rank are covered.
 """
 
 from __future__ import annotations
@@ -26,48 +26,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import Scratch, release, text_chunks, texts
+from shelfwise.llm.hashing import BASE, Grams
 
 GRAM = 32
+FAN = 4
 AT_BITS = 40
 SUB_MASK = (1 << 23) - 1
 AT_MASK = (1 << AT_BITS) - 1
+RUN_BITS = 10
+RUN_MASK = (1 << RUN_BITS) - 1
 NO_ID = -(1 << 63)
 ANCHOR_ROWS = 1 << 18
 CHUNK = 1 << 20
 
-_rng = np.random.default_rng(20)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(which: int, n: int) -> np.ndarray:
-    """Powers 0 to n-1 of the base, or of its inverse, modulo 2^64."""
-    if _powers[which].size < n:
-        steps = np.full(max(n, CHUNK), (_BASE, _BASE_INVERSE)[which], np.uint64)
-        steps[0] = 1
-        _powers[which] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[which][:n]
-
-
-class Grams:
-    """Hashes of any substring of ``buffer`` from running sums, as if each substring stood alone."""
-
-    def __init__(self, buffer: np.ndarray):
-        self.sums = np.zeros(buffer.size + 1, np.uint64)
-        np.cumsum(_BYTE[buffer] * _power(0, buffer.size), out=self.sums[1:])
-
-    def of(self, starts, ends) -> np.ndarray:
-        x = self.sums[ends] - self.sums[starts]
-        x *= _power(1, self.sums.size)[starts]
-        x ^= x >> np.uint64(33)
-        x *= np.uint64(0xFF51AFD7ED558CCD)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xC4CEB9FE1A85EC53)
-        x ^= x >> np.uint64(32)
-        return x
-
-
 def _sliding(pick, values: np.ndarray, width: int) -> np.ndarray:
     """``pick`` (minimum or maximum) over every run of ``width`` values."""
     out, size = values, 1
@@ -151,59 +122,100 @@ def _anchor_rows(length: int):
     return run
 
 
-def _steps(length: int) -> tuple[int, list[int]]:
-    """Length of the first ranks, and the offsets at which pairs are made until they span ``length``."""
-    first = -(-length // 4)
-    steps, h = [], first
-    while h < length:
-        steps.append(min(h, length - h))
-        h += steps[-1]
-    return first, steps
+def _widths(length: int) -> list[int]:
+    """Window starts that a position stands for, round by round, down to one."""
+    out = [length - _gram(length) + 1]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // FAN))
+    return out
 
 
-def _pair_rows(length: int):
-    first, steps = _steps(length)
-    later = np.array([sum(s for b, s in enumerate(steps[1:]) if c >> b & 1) for c in range(1 << len(steps[1:]))])
-    step = steps[0] if steps else 0
-    gram = _gram(length)
+RUN_SCHEMA = "r long, r2 long, ctx long, doc long, at long, low int, high int, left int, bytes binary"
+
+
+def _cut_runs(r, doc, at, low, high, left, raw: list[bytes], width: int, narrower: int, length: int) -> pa.RecordBatch:
+    """The runs of at most ``width`` starts, cut into runs of ``narrower``: their shared bytes and all bytes hashed.
+
+    ``raw`` holds the bytes around each anchor, ``left`` of them before it; ``low`` and ``high`` are the distances of
+    the run's starts before the anchor. Starts whose window would leave the text, and runs without a start, drop out.
+    Runs at other distances get other hashes, so the order of anchors is that of the starts among equal pairs.
+    """
+    sizes = np.array([len(x) for x in raw], np.int64)
+    base = np.cumsum(sizes) - sizes
+    grams = Grams(np.frombuffer(b"".join(raw), np.uint8))
+    out = []
+    for shift in range(0, width, narrower):
+        lo = low + shift
+        hi = np.minimum(lo + narrower - 1, high)
+        first = np.maximum(lo, length - (sizes - left))
+        last = np.minimum(hi, left)
+        ok = np.flatnonzero(first <= last)
+        here, lo, hi, first, last = (base + left)[ok], lo[ok], hi[ok], first[ok], last[ok]
+        core = grams.of(here - lo, here - hi + length) + lo.astype(np.uint64) * np.uint64(BASE)
+        clip = ((first - lo) * (length + 1) + (hi - last)).astype(np.uint64)
+        hull = grams.of(here - last, here - first + length) + clip
+        out.append((r[ok], core.view(np.int64), hull.view(np.int64), doc[ok], at[ok], lo, hi, left[ok], ok))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    bytes_ = pa.array(raw, pa.binary()).take(pa.array(columns[-1]))
+    arrays = [pa.array(c, t) for c, t in zip(columns[:-1], [pa.int64()] * 5 + [pa.int32()] * 3, strict=True)]
+    return pa.RecordBatch.from_arrays([*arrays, bytes_], ["r", "r2", "ctx", "doc", "at", "low", "high", "left", "bytes"])
+
+
+def _first_runs(length: int):
+    """Cuts the anchors of each text for the first time; the bytes around them come from the text."""
+    widths, gram = _widths(length), _gram(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for doc, sub, packed, zones in zip(*(batch.column(c) for c in ("doc", "sub", "packed", "zones")), strict=True):
-                raw = np.frombuffer(unpack.decompress(packed.as_py()), np.uint8)
-                at = zones.values.to_numpy() & AT_MASK
-                marks = np.zeros(raw.size + 2, np.int32)
-                np.add.at(marks, at - np.minimum(length - gram, at), 1)
-                np.add.at(marks, at + np.minimum(length, raw.size - at) - length + 1, -1)
-                starts = np.flatnonzero(np.cumsum(marks) > 0)
-                p = np.unique((starts[:, None] + later).ravel())
-                grams = Grams(raw)
-                columns = [
-                    pa.array(np.full(p.size, doc.as_py(), np.int64)),
-                    pa.array(p | sub.as_py() << AT_BITS),
-                    pa.array(grams.of(p, p + first).view(np.int64)),
-                    pa.array(grams.of(p + step, p + step + first).view(np.int64)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "at", "r", "r2"])
+            for doc, packed, zones in zip(*(batch.column(c) for c in ("doc", "packed", "zones")), strict=True):
+                text = unpack.decompress(packed.as_py())
+                at = zones.values.field("at").to_numpy()
+                place = at & AT_MASK
+                left = np.minimum(length - gram, place)
+                raw = [text[p - k : p + length] for p, k in zip(place.tolist(), left.tolist(), strict=True)]
+                r, ids = zones.values.field("r").to_numpy(), np.full(at.size, doc.as_py(), np.int64)
+                low, high = np.zeros(at.size, np.int64), np.full(at.size, widths[0] - 1)
+                yield _cut_runs(r, ids, at, low, high, left, raw, widths[0], widths[1], length)
 
     return run
 
 
-def _reranked(pairs: DataFrame) -> DataFrame:
-    """Sorts the positions by their pair of ranks; equal pairs get the place of the first in the sorting as new rank.
+def _next_runs(width: int, narrower: int, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                r, doc, at = (batch.column(c).to_numpy() for c in ("r", "doc", "at"))
+                low, high, left = (batch.column(c).to_numpy().astype(np.int64) for c in ("low", "high", "left"))
+                raw = batch.column("bytes").to_pylist()
+                yield _cut_runs(r, doc, at, low, high, left, raw, width, narrower, length)
+
+    return run
 
-    Positions with a pair of their own go. ``first_doc, first_at`` is the earliest position of the rank.
+
+def _reranked(runs: DataFrame, *more: str) -> DataFrame:
+    """Sorts positions by their pair ``r, r2`` and gives equal pairs the place of the first in the sorting as rank.
+
+    ``done`` are those whose ``ctx``, all that their windows touch, came before; ``open`` the first of a ``ctx`` that
+    share their pair with another. The rest is unique and goes. A position that comes twice is taken once.
     """
-    run = Window.partitionBy("r", "r2").orderBy("doc", "at")
-    numbered = pairs.repartition("r", "r2").sortWithinPartitions("r", "r2", "doc", "at")
-    numbered = numbered.withColumn("place", F.monotonically_increasing_id())
-    ranked = numbered.select(
-        "doc", "at", F.first("place").over(run).alias("rank"), F.first("doc").over(run).alias("first_doc"),
-        F.first("at").over(run).alias("first_at"), F.lag("at").over(run).isNull().alias("head"),
-        F.lead("at").over(run).isNull().alias("tail"),
+    pair = Window.partitionBy("r", "r2")
+    run = pair.orderBy("ctx", "doc", "at")
+    placed = runs.repartition("r", "r2").sortWithinPartitions("r", "r2", "ctx", "doc", "at")
+    placed = placed.withColumn("place", F.monotonically_increasing_id())
+
+    def as_before(c):
+        return F.lag(c).over(run).eqNullSafe(F.col(c))
+
+    judged = placed.select(
+        "doc", "at", *more, F.first("place").over(run).alias("rank"), as_before("ctx").alias("again"),
+        (as_before("ctx") & as_before("doc") & as_before("at")).alias("itself"),
+        (F.min("ctx").over(pair) != F.max("ctx").over(pair)).alias("several"),
     )
-    return ranked.where("NOT (head AND tail)").select("doc", "at", F.col("rank").alias("r"), "first_doc", "first_at")
+    known = F.col("known") if "known" in more else F.lit(False)
+    done = (F.col("again") | known).alias("done")
+    left = judged.where(~F.col("itself") & (F.col("again") | known | F.col("several")))
+    return left.select("doc", "at", F.col("rank").alias("r"), done, *[c for c in more if c != "known"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -227,46 +239,31 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_places(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """``doc, sub, places`` for the texts with bytes to remove: places are offsets, doubled, plus 1 for an anchor.
-
-    An anchor stands for its whole context, any other offset for the window that starts there.
-    """
-    spark = docs.sparkSession
-    by_gram = Window.partitionBy("key")
+    """``doc, sub, places`` for the texts with bytes to remove: each place is a run of window starts, as one number."""
+    if not 3 <= length < 1 << RUN_BITS:
+        raise ValueError(f"length must be from 3 to {(1 << RUN_BITS) - 1}")
+    spark, widths = docs.sparkSession, _widths(length)
     found = _keyed(docs).mapInArrow(_anchor_rows(length), ANCHOR_SCHEMA)
-    judged = found.select(
-        "doc", "at", "known",
-        F.lag("ctx").over(by_gram.orderBy("ctx", "doc", "at")).eqNullSafe(F.col("ctx")).alias("again"),
-        F.lag("doc").over(by_gram.orderBy("ctx", "doc", "at")).eqNullSafe(F.col("doc")).alias("same_doc"),
-        F.lag("at").over(by_gram.orderBy("ctx", "doc", "at")).eqNullSafe(F.col("at")).alias("same_at"),
-        (F.min("ctx").over(by_gram) != F.max("ctx").over(by_gram)).alias("edge"),
-    )
-    itself = F.col("again") & F.col("same_doc") & F.col("same_at")
-    zones = scratch.save(
-        judged.where(~itself).where("known OR again OR edge").select("doc", "at", F.expr("known OR again").alias("done")),
-        "zones",
-    )
-    del found, judged
+    level = scratch.save(_reranked(found.withColumnRenamed("key", "r").withColumn("r2", F.lit(0)), "known"), "anchors")
+    del found
     release(spark)
     sub = F.shiftright("at", AT_BITS).alias("sub")
-    open_zones = zones.where("NOT done").groupBy("doc", sub).agg(F.collect_list("at").alias("zones"))
-    pairs = _packed(docs).join(open_zones, ["doc", "sub"]).mapInArrow(
-        _pair_rows(length), "doc long, at long, r long, r2 long"
-    )
-    names = ["round-0"]
-    level = scratch.save(_reranked(pairs), names[0])
-    del pairs
-    release(spark)
-    for i, step in enumerate(_steps(length)[1][1:], 1):
-        ahead = Window.partitionBy("doc").orderBy("at").rangeBetween(step, step)
-        beyond = level.select("doc", "at", "r", F.max("r").over(ahead).alias("r2")).where("r2 IS NOT NULL")
-        names.append(f"round-{i}")
-        level = scratch.save(_reranked(beyond), names[-1])
-        scratch.drop(names[-2])
-    later = level.where("doc <> first_doc OR at <> first_at").select("doc", "at", F.lit(0).alias("anchor"))
-    covered = zones.where("done").select("doc", "at", F.lit(1).alias("anchor")).union(later)
-    place = F.col("at").bitwiseAND(F.lit(AT_MASK)) * 2 + F.col("anchor")
-    return covered.groupBy("doc", sub).agg(F.collect_list(place).alias("places"))
+
+    def places(rows: DataFrame, low, high) -> DataFrame:
+        place = F.shiftleft(F.col("at").bitwiseAND(F.lit(AT_MASK)), 2 * RUN_BITS) + low * (1 << RUN_BITS) + high
+        return rows.where("done").select("doc", sub, place.alias("place"))
+
+    covered = places(level, F.lit(0), F.lit(widths[0] - 1))
+    zones = level.where("NOT done").groupBy("doc", sub).agg(F.collect_list(F.struct("at", "r")).alias("zones"))
+    runs = _packed(docs).join(zones, ["doc", "sub"]).mapInArrow(_first_runs(length), RUN_SCHEMA)
+    for i, width in enumerate(widths[1:], 1):
+        level = scratch.save(_reranked(runs, "low", "high", "left", "bytes"), f"round-{i}")
+        del runs
+        release(spark)
+        covered = covered.union(places(level, F.col("low"), F.col("high")))
+        if width > 1:
+            runs = level.where("NOT done").mapInArrow(_next_runs(width, widths[i + 1], length), RUN_SCHEMA)
+    return covered.groupBy("doc", "sub").agg(F.collect_list("place").alias("places"))
 
 
 def _covered(n: int, places: np.ndarray | None, copy: int, length: int) -> np.ndarray:
@@ -275,9 +272,9 @@ def _covered(n: int, places: np.ndarray | None, copy: int, length: int) -> np.nd
         return np.ones(n, bool)
     marks = np.zeros(n + 1, np.int64)
     if places is not None and len(places):
-        at, anchor = places >> 1, (places & 1).astype(bool)
-        np.add.at(marks, np.where(anchor, at - np.minimum(length - _gram(length), at), at), 1)
-        np.add.at(marks, np.where(anchor, at + np.minimum(length, n - at), at + length), -1)
+        at, low, high = places >> 2 * RUN_BITS, places >> RUN_BITS & RUN_MASK, places & RUN_MASK
+        np.add.at(marks, at - np.minimum(high, at), 1)
+        np.add.at(marks, np.minimum(at - low + length, n), -1)
     return np.cumsum(marks[:-1]) > 0
 
 
@@ -295,7 +292,7 @@ def removal_digests(docs: DataFrame, length: int = 100) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     places = scratch.save(repeated_places(docs, length, scratch), "places")
-    scratch.drop("zones")
+    scratch.drop(*[name for name in scratch.paths if name != "places"])
     release(docs.sparkSession)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
@@ -325,7 +322,7 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     places = scratch.save(repeated_places(docs, length, scratch), "places")
-    scratch.drop("zones")
+    scratch.drop(*[name for name in scratch.paths if name != "places"])
     release(docs.sparkSession)
 
     @F.pandas_udf("string")
