@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import dataclasses
+import uuid
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.config import DEFAULT_WEIGHTS, INTERACTION_PRIORITY, RunConfig
-from shelfwise.functions.vectors import format_vector, inner_product, parse_vector
-from shelfwise.operators import catalog, factors, interactions, similarity, sinks
+from shelfwise import session
+from shelfwise.functions.vectors import format_vector, inner_product, parse_vector, split_parsable
+from shelfwise.operators import catalog, factors, interactions, similarity, sinks, upsert
 from shelfwise.operators.evaluation import regression_metrics
 from shelfwise.operators.ranking import top_n_unseen
-from shelfwise.operators.upsert import upsert_embeddings
 from shelfwise.plans import recommend
 from shelfwise.session import lookup_join
 from shelfwise.sources import testdata
@@ -58,14 +59,24 @@ def _trained(spark: SparkSession, sf_dir: str) -> recommend.Trained:
 
 
 def _embedding_factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Factors with known values: member or product number n takes embedding n. Also the seen pairs."""
+    """Factors with known values: every embedding is a candidate, numbered as an item, and members take embeddings
+    by the remainder of their number. Also the seen pairs."""
     prepared = _prepared(spark, sf_dir)
     vectors = testdata.table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("int").alias("idx"), F.col("embedding").alias("features")
+        F.col("vec_id").cast("int").alias("item_idx"), F.col("embedding").alias("features")
     )
-    users = vectors.join(prepared.users.df, F.col("idx") == F.col("user_idx")).select("user_idx", "features")
-    items = vectors.join(prepared.items.df, F.col("idx") == F.col("item_idx")).select("item_idx", "features")
-    return users, items, prepared.ratings.select("user_idx", "item_idx")
+    members = prepared.users.df.select("user_idx", F.pmod("user_idx", F.lit(vectors.count())).alias("item_idx"))
+    users = members.join(vectors, "item_idx").select("user_idx", "features")
+    return users, vectors, prepared.ratings.select("user_idx", "item_idx")
+
+
+def _product_factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``_embedding_factors``, but the candidates are the products, which take embeddings by remainder too."""
+    users, vectors, seen = _embedding_factors(spark, sf_dir)
+    n = F.lit(vectors.count())
+    products = _prepared(spark, sf_dir).items.df.select("item_idx", F.pmod("item_idx", n).alias("_vec"))
+    vectors = vectors.withColumnRenamed("item_idx", "_vec")
+    return users, products.join(vectors, "_vec").select("item_idx", "features"), seen
 
 
 # --- interactions, indices, ratings -----------------------------------------------------------------------
@@ -160,6 +171,71 @@ def q_als_metrics(spark, sf_dir):
     return recommend.evaluate(_prepared(spark, sf_dir), _trained(spark, sf_dir))
 
 
+def q_als_recommendation_checks(spark, sf_dir):
+    """Per member of the fitted model: products recommended, and what must not be: seen products, gaps in the ranks,
+    scores out of order, and scores that differ from those of the library's own ranking at the same place.
+
+    The library ranks with seen products, so it is asked for as many more as one member has seen at most.
+    """
+    trained = _trained(spark, sf_dir)
+    seen = trained.split.train.select("user_idx", "item_idx").distinct()
+    most = seen.groupBy("user_idx").count().agg(F.max("count")).first()[0]
+    recs = recommend.recommend(_prepared(spark, sf_dir), trained, CONFIG.top_n).select("user_idx", "item_idx", "rank", "score")
+    hit = seen.withColumn("seen", F.lit(1))
+    by_rank = Window.partitionBy("user_idx").orderBy("rank")
+    own = recs.join(hit, ["user_idx", "item_idx"], "left").withColumn("before", F.lag("score").over(by_rank))
+    other = trained.model.recommendForAllUsers(CONFIG.top_n + most).select("user_idx", F.explode("recommendations").alias("r"))
+    other = other.select("user_idx", F.col("r.item_idx").alias("item_idx"), F.col("r.rating").alias("other")).join(
+        seen, ["user_idx", "item_idx"], "left_anti"
+    )
+    by_score = Window.partitionBy("user_idx").orderBy(F.col("other").desc())
+    other = other.withColumn("rank", F.row_number().over(by_score)).select("user_idx", "rank", "other")
+    return own.join(other, ["user_idx", "rank"], "left").groupBy("user_idx").agg(
+        F.count(F.lit(1)).alias("n"), F.count("seen").alias("n_seen"),
+        (F.max("rank") - F.count(F.lit(1))).cast("bigint").alias("rank_gaps"),
+        F.count_if(F.col("score") > F.col("before")).alias("order_breaks"),
+        F.count_if(F.coalesce(F.abs(F.col("score") - F.col("other")) > 1e-4, F.lit(True))).alias("n_off"),
+    )
+
+
+def q_als_metric_checks(spark, sf_dir):
+    """Held-out rows, and those where the stored factors and the model's own prediction disagree."""
+    prepared, trained = _prepared(spark, sf_dir), _trained(spark, sf_dir)
+    stored = factors.predict_stored(
+        trained.user_factors, trained.item_factors, trained.split.test, prepared.users, prepared.items
+    )
+    own = factors.predict(trained.model, stored.withColumnRenamed("prediction", "stored"))
+    own = own.withColumn("own", F.nanvl(F.col("prediction").cast("double"), F.lit(None).cast("double")))
+    same = F.col("stored").eqNullSafe(F.col("own")) | (F.abs(F.col("stored") - F.col("own")) <= 1e-4)
+    return own.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(same, F.lit(False))).alias("n_off"))
+
+
+def q_run_report(spark, sf_dir):
+    """Counts in the report of a whole run on the events."""
+    report = recommend.run(testdata.event_logs(spark, sf_dir), CONFIG, testdata.EVENTS_AS_OF).report
+    counts = [*report["interactions"].values(), *report["split"].values(), report["users_recommended"]]
+    return spark.createDataFrame(
+        [tuple(int(x) for x in counts)],
+        "n_interactions bigint, n_users bigint, n_items bigint, n_train bigint, n_test bigint, n_recommended bigint",
+    )
+
+
+def q_interactions_snapshot(spark, sf_dir):
+    """Interactions that went through a snapshot: built and written by the first reader, read by the second."""
+    root = f"{session.shared_root(spark)}/snapshots-{uuid.uuid4().hex}"
+    logs = testdata.event_logs(spark, sf_dir)
+    for _ in range(2):
+        prepared = recommend.prepare(logs, CONFIG, testdata.EVENTS_AS_OF, root)
+    return prepared.interactions
+
+
+def q_saved_recommendations(spark, sf_dir):
+    """Recommendations appended to a stored table and read back."""
+    path = f"{session.shared_root(spark)}/saved-{uuid.uuid4().hex}"
+    sinks.save_recommendations(_named(spark, sf_dir), "parquet", testdata.EVENTS_AS_OF, path=path)
+    return spark.read.parquet(path).select("member_id", "product_ids")
+
+
 def q_als_normal_equations(spark, sf_dir):
     """How far the trained user factors are from solving their least-squares problem, which they must.
 
@@ -196,7 +272,7 @@ def q_topn_masked_pad(spark, sf_dir):
 
 
 def _named(spark, sf_dir):
-    users, items, seen = _embedding_factors(spark, sf_dir)
+    users, items, seen = _product_factors(spark, sf_dir)
     prepared = _prepared(spark, sf_dir)
     return top_n_unseen(users, items, seen, 10, "strict", prepared.users, prepared.items)
 
@@ -214,7 +290,7 @@ def q_recommendation_rows(spark, sf_dir):
 def q_recommended_ids(spark, sf_dir):
     """Index to id on a finished result, the other way round from joining the factor tables."""
     prepared = _prepared(spark, sf_dir)
-    recs = _masked(spark, sf_dir, 10, "strict").select("user_idx", "item_idx", "rank")
+    recs = top_n_unseen(*_product_factors(spark, sf_dir), 10, "strict").select("user_idx", "item_idx", "rank")
     return prepared.items.attach_id(prepared.users.attach_id(recs)).select("member_id", "product_id", "rank")
 
 
@@ -281,7 +357,27 @@ def q_embeddings_upsert(spark, sf_dir):
     hidden = products.where("primary_category_id = 3").withColumns({"status": F.lit("HIDDEN"), "seq": F.lit(2)})
     copies = products.where("primary_category_id = 5").withColumns({"id": -1 - F.col("id"), "seq": F.lit(3)})
     updates = back.unionByName(hidden).unionByName(copies)
-    return _vector_summary(upsert_embeddings(products, updates))
+    path = f"{session.shared_root(spark)}/embeddings-{uuid.uuid4().hex}"
+    upsert.write_embeddings(products, path)
+    upsert.upsert_stored(spark, path, updates)
+    return _vector_summary(upsert.read_embeddings(spark, path))
+
+
+def q_vector_quarantine(spark, sf_dir):
+    """Vectors as text, some with an element that is no number, parted into good ones and those put aside."""
+    products = testdata.product_embeddings(spark, sf_dir)
+    text = format_vector(F.col("image_vector"))
+    broken = F.when(F.col("id") % 7 == 3, F.regexp_replace(text, ",", ",x")).otherwise(text)
+    good, aside = split_parsable(products.select("id", broken.alias("t")), "t", "v")
+    return good.select("id", F.lit("good").alias("part")).unionByName(aside.select("id", F.lit("aside").alias("part")))
+
+
+def q_no_condition_no_products(spark, sf_dir):
+    """Counts of a page without a condition, which has no rows, and of one with a condition that always holds."""
+    products = testdata.product_catalog(spark, sf_dir)
+    n = F.count(F.lit(1)).alias("n")
+    without, every = catalog.product_ids(products).agg(n), catalog.product_ids(products, F.lit(True)).agg(n)
+    return without.select(F.lit("none").alias("condition"), "n").unionByName(every.select(F.lit("true").alias("condition"), "n"))
 
 
 # --- catalog ----------------------------------------------------------------------------------------------
@@ -399,13 +495,20 @@ _SPLIT = """,
   test AS (SELECT user_idx, item_idx, interaction_type, rating FROM numbered WHERE rn <= ceil(0.1 * total)),
   train AS (SELECT user_idx, item_idx, interaction_type, rating FROM numbered WHERE rn > ceil(0.1 * total))"""
 
+_CANDIDATES = """,
+  size AS (SELECT count(*) AS n FROM embeddings),
+  candidates AS (SELECT CAST(vec_id AS INTEGER) AS item_idx, embedding AS v FROM embeddings)"""
+
+_CANDIDATE_PRODUCTS = """,
+  size AS (SELECT count(*) AS n FROM embeddings),
+  candidates AS (SELECT item_idx, embedding AS v FROM items, size JOIN embeddings ON vec_id = item_idx % n)"""
+
 _MASKED = """,
   scored AS (SELECT user_idx, item_idx,
-                    list_inner_product(u.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score,
+                    list_inner_product(u.embedding::DOUBLE[], c.v::DOUBLE[]) AS score,
                     EXISTS (SELECT 1 FROM ratings r
-                            WHERE r.user_idx = users.user_idx AND r.item_idx = items.item_idx) AS seen
-             FROM users JOIN embeddings u ON u.vec_id = user_idx
-             CROSS JOIN items JOIN embeddings v ON v.vec_id = item_idx),
+                            WHERE r.user_idx = users.user_idx AND r.item_idx = c.item_idx) AS seen
+             FROM users CROSS JOIN size JOIN embeddings u ON u.vec_id = user_idx % n CROSS JOIN candidates c),
   strict AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) AS INTEGER) AS rank
              FROM scored WHERE NOT seen),
   padded AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_idx
@@ -445,7 +548,8 @@ def oracle_sql() -> dict[str, str]:
     orders = f"WITH {_ORDER_LOGS}{_INTERACTIONS}"
     rated = base + _RATINGS
     split = rated + _SPLIT
-    masked = rated + _MASKED
+    masked = rated + _CANDIDATES + _MASKED
+    masked_products = rated + _CANDIDATE_PRODUCTS + _MASKED
     products = f"WITH {_PRODUCTS}"
     parts = f"WITH {_CATALOG}"
     priority = ", ".join(f"'{t}'" for t in INTERACTION_PRIORITY)
@@ -482,17 +586,34 @@ def oracle_sql() -> dict[str, str]:
             least({CONFIG.top_n}, (SELECT count(DISTINCT item_idx) FROM train) - count(DISTINCT item_idx)) AS n
             FROM train GROUP BY user_idx
             HAVING (SELECT count(DISTINCT item_idx) FROM train) > count(DISTINCT item_idx)""",
+        "als_recommendation_checks": f"""{split}, c AS (SELECT user_idx, least({CONFIG.top_n},
+            (SELECT count(DISTINCT item_idx) FROM train) - count(DISTINCT item_idx)) AS n FROM train GROUP BY 1)
+            SELECT user_idx, n, CAST(0 AS BIGINT) AS n_seen, CAST(0 AS BIGINT) AS rank_gaps,
+                   CAST(0 AS BIGINT) AS order_breaks, CAST(0 AS BIGINT) AS n_off FROM c WHERE n > 0""",
+        "als_metric_checks": f"{split} SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_off FROM test",
+        "run_report": f"""{split} SELECT (SELECT count(*) FROM interactions) AS n_interactions,
+            (SELECT count(*) FROM users) AS n_users, (SELECT count(*) FROM items) AS n_items,
+            (SELECT count(*) FROM train) AS n_train, (SELECT count(*) FROM test) AS n_test,
+            (SELECT count(*) FROM (SELECT user_idx FROM train GROUP BY 1 HAVING count(DISTINCT item_idx)
+              < (SELECT count(DISTINCT item_idx) FROM train))) AS n_recommended""",
+        "interactions_snapshot": f"{base} SELECT * FROM interactions",
+        "saved_recommendations": f"""{masked_products} SELECT member_id, {listed} AS product_ids
+            FROM {named} GROUP BY 1""",
+        "vector_quarantine": """SELECT vec_id AS id, CASE WHEN vec_id % 7 = 3 THEN 'aside' ELSE 'good' END AS part
+            FROM embeddings""",
+        "no_condition_no_products": """SELECT 'none' AS condition, CAST(0 AS BIGINT) AS n
+            UNION ALL SELECT 'true', count(*) FROM part""",
         "als_normal_equations": f"""{split} SELECT count(DISTINCT user_idx) AS n_users,
             CAST(0 AS BIGINT) AS n_users_off FROM train""",
         "topn_masked_strict": f"""{masked} SELECT user_idx, item_idx, rank, round(score, 6) AS score
             FROM strict WHERE rank <= 10""",
         "topn_masked_pad": f"""{masked} SELECT user_idx, item_idx, rank,
             CASE WHEN seen THEN NULL ELSE round(score, 6) END AS score FROM padded WHERE rank <= 100""",
-        "results_wide": f"""{masked} SELECT member_id AS user_id, {listed} AS recommended_items
+        "results_wide": f"""{masked_products} SELECT member_id AS user_id, {listed} AS recommended_items
             FROM {named} GROUP BY 1""",
-        "recommendation_rows": f"""{masked} SELECT member_id, {listed} AS product_ids,
+        "recommendation_rows": f"""{masked_products} SELECT member_id, {listed} AS product_ids,
             '2024-01-31 00:00:00' AS created_at FROM {named} GROUP BY 1""",
-        "recommended_ids": f"{masked} SELECT member_id, product_id, rank FROM {named}",
+        "recommended_ids": f"{masked_products} SELECT member_id, product_id, rank FROM {named}",
         "similar_products": f"""{products}{_SIMILAR} SELECT product_id, similar_id, round(d, 6) AS distance, rank
             FROM ranked WHERE rank <= 10""",
         "similar_lists": f"""{products}{_SIMILAR} SELECT product_id,

@@ -10,9 +10,16 @@ from pyspark.sql import SparkSession
 
 from shelfwise.config import RunConfig
 from shelfwise.plans.recommend import run
+from shelfwise.session import clear
 from shelfwise.sources.tables import BehaviourLogs
 
 
+def save_target(args: argparse.Namespace) -> dict | None:
+    """Connection options named on the command line."""
+    given = {"url": args.save_url, "table": args.save_table, "driver": args.save_driver, "user": args.save_user}
+    return {k: v for k, v in given.items() if v} if args.save_url else None
+
+
 def main(argv: list[str] | None = None) -> dict:
     parser = argparse.ArgumentParser(prog="shelfwise", description="Behaviour logs to ranked products per member.")
     parser.add_argument("config", help="flat JSON file of settings")
@@ -23,6 +30,9 @@ def main(argv: list[str] | None = None) -> dict:
     parser.add_argument("--as-of", type=datetime.fromisoformat, help="end of the look-back window (default: now)")
     parser.add_argument("--mode", default="strict", choices=("strict", "pad"))
     parser.add_argument("--save-url", help="JDBC URL for the recommendations table, used if save_to_db is set")
+    parser.add_argument("--save-table", help="name of that table")
+    parser.add_argument("--save-driver", help="JDBC driver class")
+    parser.add_argument("--save-user", help="database user; the password is read from the environment by the driver")
     args = parser.parse_args(argv)
 
     cfg = RunConfig.load(args.config)
@@ -33,10 +43,11 @@ def main(argv: list[str] | None = None) -> dict:
         args.as_of,
         args.snapshots,
         args.results,
-        {"url": args.save_url} if args.save_url else None,
+        save_target(args),
         args.mode,
     )
     print(json.dumps(result.report, default=str))
+    clear(spark)
     return result.report
 
 

@@ -28,6 +28,10 @@ DEFAULT_WEIGHTS = {
 }
 
 
+# Where recommendations can be saved.
+DB_TYPES = ("postgres", "mysql", "parquet")
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """Smallest count for tiers 1, 2 and 3 of views and of impressions."""
@@ -51,9 +55,11 @@ class RunConfig:
     rank: int = 10
     nonnegative: bool = False
     cold_start_strategy: str = "nan"
+    als_blocks: int = 10
     interaction_weights: dict[str, float] = field(default_factory=lambda: dict(DEFAULT_WEIGHTS))
     interaction_thresholds: Thresholds = field(default_factory=Thresholds)
     days: int = 10
+    ignore_case: bool = False
     top_n: int = 100
     split_test_data: bool = False
     test_ratio: float = 0.2
@@ -66,6 +72,10 @@ class RunConfig:
         check_weights(self.interaction_weights)
         if self.cold_start_strategy not in ("nan", "drop"):
             raise ValueError(f"cold_start_strategy must be 'nan' or 'drop', got {self.cold_start_strategy!r}")
+        if self.als_blocks < 1:
+            raise ValueError(f"als_blocks must be at least 1, got {self.als_blocks}")
+        if self.db_type not in DB_TYPES:
+            raise ValueError(f"unsupported database type: {self.db_type}")
         if self.split_test_data and not 0 < self.test_ratio < 1:
             raise ValueError(f"test_ratio must lie between 0 and 1, got {self.test_ratio}")
 
@@ -98,14 +108,16 @@ class RunConfig:
             "top_n": self.top_n,
             "max_iter": self.max_iter,
             "rank": self.rank,
+            "als_blocks": self.als_blocks,
             "split_test_data": self.split_test_data,
             "save_to_db": self.save_to_db,
             "db_type": self.db_type,
         }
 
-    def snapshot_key(self, as_of: datetime) -> str:
-        """Short hash of all that changes the interaction set, so a changed threshold never reads stale data."""
-        parts = [as_of.isoformat(), self.days, self.interaction_thresholds.view, self.interaction_thresholds.impression]
+    def snapshot_key(self, as_of: datetime, source: str = "") -> str:
+        """Short hash of all that changes the interaction set: the settings, the moment and the logs it is built from."""
+        parts = [as_of.isoformat(), self.days, self.interaction_thresholds.view,
+                 self.interaction_thresholds.impression, self.ignore_case, source]
         return hashlib.sha256(json.dumps(parts).encode()).hexdigest()[:12]
 
 

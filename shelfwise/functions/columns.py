@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, DateType
 
 
 def to_id(name: str) -> Column:
@@ -24,8 +24,16 @@ def tier(count: Column, name: str, thresholds: Sequence[int]) -> Column:
 
 
 def lookback_start(as_of: datetime, days: int, dtype: DataType) -> Column:
-    """``as_of`` less ``days`` calendar days, in the type of the compared column so the filter reaches the scan."""
-    return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(dtype) - F.make_interval(days=F.lit(days))
+    """``as_of`` less ``days`` calendar days, in the type of the compared column so the filter reaches the scan.
+
+    A moment with a zone is that instant, one without is local to the session's zone. For a DATE column, whose values
+    are midnights, the bound is rounded up to the next day.
+    """
+    text = as_of.isoformat(" ", "microseconds")
+    start = F.lit(text).cast("timestamp") - F.make_interval(days=F.lit(days))
+    if isinstance(dtype, DateType):
+        return F.to_date(start) + F.when(start > F.date_trunc("day", start), 1).otherwise(0)
+    return start.cast(dtype)
 
 
 def position_in(value: Column, ordered: Sequence[str]) -> Column:

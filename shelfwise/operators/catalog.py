@@ -11,9 +11,6 @@ from shelfwise.functions.columns import image_url
 from shelfwise.operators.indexing import dense_index
 from shelfwise.operators.similarity import among
 
-# A page that ends further down than this is found by numbering the rows, not by sorting the head.
-_SORTED_HEAD = 100_000
-
 
 def matching(products: DataFrame, condition: Column | str | None = None) -> DataFrame:
     """Rows that satisfy ``condition``, a Column or SQL text. Without one, no row does."""
@@ -23,14 +20,21 @@ def matching(products: DataFrame, condition: Column | str | None = None) -> Data
 
 
 def page(rows: DataFrame, limit: int, batch_no: int) -> DataFrame:
-    """Page ``batch_no`` of ``limit`` rows by ascending ``id``, so pages never overlap."""
+    """Page ``batch_no`` of ``limit`` rows by ascending ``id``, so pages never overlap.
+
+    One ordered plan for every position. Far down the sorted rows before the page are passed over, so a sweep is better
+    done with ``page_after``, whose key range is pushed to the scan, or at once with ``page_numbers``.
+    """
     if limit < 0 or batch_no < 0:
         raise ValueError("limit and batch_no must not be negative")
-    start = batch_no * limit
-    if start + limit <= _SORTED_HEAD:
-        return rows.orderBy("id").offset(start).limit(limit)
-    numbered, _, _ = dense_index(rows, ["id"], "_row")
-    return numbered.where((F.col("_row") >= start) & (F.col("_row") < start + limit)).drop("_row")
+    return rows.orderBy("id").offset(batch_no * limit).limit(limit)
+
+
+def page_after(rows: DataFrame, last_id: int | None, limit: int) -> DataFrame:
+    """The ``limit`` rows that follow ``last_id`` by ascending ``id``; the first page without one."""
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    return (rows if last_id is None else rows.where(F.col("id") > last_id)).orderBy("id").limit(limit)
 
 
 def page_numbers(rows: DataFrame, limit: int) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,20 +11,18 @@ from shelfwise.functions.vectors import inner_product
 from shelfwise.operators.indexing import IndexTable
 from shelfwise.session import lookup_join, shared_root
 
-_RATINGS_PER_BLOCK = 5_000_000
-_DEFAULT_BLOCKS = 10
 _CHECKPOINT_INTERVAL = 5
 
 
-def fit_als(train: DataFrame, cfg: RunConfig, n_train: int | None = None) -> ALSModel:
+def fit_als(train: DataFrame, cfg: RunConfig) -> ALSModel:
     """Fit on ``(user_idx, item_idx, rating)``, repeated pairs counting as often as they occur.
 
-    Blocks grow with the ratings (``n_train``), from the library's default of ten. Long lineages are cut
-    every few iterations by checkpoints in the shared folder. ``train`` should be a stored table, so that
+    The starting factors are drawn per block, so ``cfg.als_blocks`` belongs to the model: raise it for very many
+    ratings, and keep it to get the same model again. Long lineages are cut every few iterations by checkpoints in the
+    shared folder. ``train`` should be a stored table, so that
     a lost executor re-reads the same rows.
     """
     shared_root(train.sparkSession)
-    blocks = max(_DEFAULT_BLOCKS, math.ceil((n_train or 0) / _RATINGS_PER_BLOCK))
     als = ALS(
         userCol="user_idx",
         itemCol="item_idx",
@@ -38,8 +34,8 @@ def fit_als(train: DataFrame, cfg: RunConfig, n_train: int | None = None) -> ALS
         nonnegative=cfg.nonnegative,
         coldStartStrategy=cfg.cold_start_strategy,
         seed=cfg.model_seed,
-        numUserBlocks=blocks,
-        numItemBlocks=blocks,
+        numUserBlocks=cfg.als_blocks,
+        numItemBlocks=cfg.als_blocks,
         checkpointInterval=_CHECKPOINT_INTERVAL,
     )
     return als.fit(train.select("user_idx", "item_idx", "rating"))
@@ -69,7 +65,7 @@ def predict_stored(
 
 
 def user_factors(model: ALSModel) -> DataFrame:
-    """``(user_idx, features)``, one row per trained user. Sort by ``user_idx`` only for an export."""
+    """``(user_idx, features)``, one row per trained user. ``ordered_factors`` sorts for an export."""
     return model.userFactors.select(F.col("id").alias("user_idx"), "features")
 
 
@@ -77,6 +73,11 @@ def item_factors(model: ALSModel) -> DataFrame:
     return model.itemFactors.select(F.col("id").alias("item_idx"), "features")
 
 
+def ordered_factors(factors: DataFrame) -> DataFrame:
+    """Factor rows for an export, by ascending index: a range-partitioned sort, not one task."""
+    return factors.orderBy(factors.columns[0])
+
+
 def factor_dims(model: ALSModel) -> DataFrame:
     """``(side, n_ids, rank)`` of the two factor tables."""
 

@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions.vectors import has_bad_element, parse_vector
 from shelfwise.operators.topk import block_top_k, nearest_to
 
 ON_SALE = "SALE"
@@ -37,7 +38,7 @@ def among(df: DataFrame, ids: Iterable[int] | DataFrame) -> DataFrame:
 
 
 def excluding(df: DataFrame, ids: Iterable[int] | DataFrame | None) -> DataFrame:
-    """Rows whose ``id`` is not listed; no list keeps every row."""
+    """Rows whose ``id`` is known and not listed, however long the list; no list keeps every row."""
     if ids is None:
         return df
     if not isinstance(ids, DataFrame):
@@ -45,8 +46,8 @@ def excluding(df: DataFrame, ids: Iterable[int] | DataFrame | None) -> DataFrame
         if not ids:
             return df
         if len(ids) <= _INLINE_IDS and None not in ids:
-            return df.where(~F.col("id").isin([int(i) for i in ids]))
-    return df.join(id_frame(df, ids), "id", "left_anti")
+            return df.where(F.col("id").isNotNull() & ~F.col("id").isin([int(i) for i in ids]))
+    return df.where(F.col("id").isNotNull()).join(id_frame(df, ids), "id", "left_anti")
 
 
 def similar_products(
@@ -78,9 +79,18 @@ def similar_to(products: DataFrame, product_id: int, top_k: int = 100) -> DataFr
 
 
 def search_by_vector(
-    products: DataFrame, query_vector: Iterable[float], top_k: int = 100, exclude_ids: Iterable[int] | None = None
+    products: DataFrame, query_vector: Iterable[float] | str, top_k: int = 100, exclude_ids: Iterable[int] | None = None
 ) -> DataFrame:
-    """``(id, distance)`` of the on-sale products nearest to a free vector; ``exclude_ids`` are left out."""
+    """``(id, distance)`` of the on-sale products nearest to a free vector; ``exclude_ids`` are left out.
+
+    The vector may be given as text, such as ``"[1,2.5]"``; an element that is no number is an error.
+    """
+    if isinstance(query_vector, str):
+        parsed = parse_vector(F.lit(query_vector))
+        row = products.sparkSession.range(1).select(parsed.alias("v"), has_bad_element(parsed).alias("bad")).first()
+        if row["bad"]:
+            raise ValueError("the query vector has a non-numeric element")
+        query_vector = row["v"]
     candidates = excluding(products.where(F.col("status") == ON_SALE), exclude_ids)
     return nearest_to(_plain(candidates), [float(x) for x in query_vector], top_k)
 

@@ -51,6 +51,15 @@ def jdbc_write_options(db_type: str, url: str, table: str = TABLE, batch_size: i
     return {"url": url, "dbtable": table, "batchsize": str(batch_size), **extra}
 
 
+def save_options(target: str, **where: str) -> dict:
+    """Options of the append to ``target``; an unknown target, a missing path or a wrong URL is an error."""
+    if target == "parquet":
+        if "path" not in where:
+            raise ValueError("a parquet target needs a path")
+        return {"path": where["path"]}
+    return jdbc_write_options(target, **where)
+
+
 def save_recommendations(
     recommendations: DataFrame, target: str, created_at: datetime | None = None, **where: str
 ) -> dict:
@@ -59,10 +68,7 @@ def save_recommendations(
     ``target`` is ``"parquet"`` (with ``path=``), ``"postgres"`` or ``"mysql"`` (with ``url=`` and driver
     options); anything else is an error at once. A failing write gives ``{status: "error", error}``.
     """
-    if target == "parquet":
-        options = {"path": where["path"]}
-    else:
-        options = jdbc_write_options(target, **where)
+    options = save_options(target, **where)
     written = Observation(TABLE)
     rows = recommendation_rows(recommendations, created_at).observe(written, F.count(F.lit(1)).alias("n"))
     writer = rows.write.mode("append").format("parquet" if target == "parquet" else "jdbc").options(**options)

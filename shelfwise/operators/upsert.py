@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.vectors import has_bad_element
 from shelfwise.schemas import PRODUCT_EMBEDDINGS
 from shelfwise.session import materialize
 
+# A stored table is cut into so many folders by the hash of the id; an upsert rewrites those it touches.
+BUCKETS = 64
 
-def check_vectors(updates: DataFrame) -> None:
-    """Refuse the whole batch if any vector has an element that is not a finite number."""
-    bad = updates.where(has_bad_element(F.col("image_vector"))).select("id").first()
-    if bad is not None:
-        raise ValueError(f"the vector of product {bad['id']} has a non-numeric element")
+
+def check_updates(updates: DataFrame, length: int | None = None) -> None:
+    """Refuse the whole batch for one bad row: no id or vector, an element that is no finite number, or a vector of
+    another length than the target's (``length``) or than the batch's others; or if a ``seq`` repeats within an id."""
+    vector = F.col("image_vector")
+    size = F.size(vector)
+    wanted = F.lit(length) if length is not None else F.min(size)
+    seen = updates.agg(
+        F.count_if(F.col("id").isNull()).alias("no_id"), F.min(F.when(vector.isNull(), F.col("id"))).alias("no_vector"),
+        F.min(F.when(has_bad_element(vector), F.col("id"))).alias("bad"),
+        F.min(size).alias("shortest"), F.max(size).alias("longest"), wanted.alias("wanted"),
+    ).first()
+    if seen["no_id"]:
+        raise ValueError("an update has no id")
+    if seen["no_vector"] is not None:
+        raise ValueError(f"product {seen['no_vector']} has no vector")
+    if seen["bad"] is not None:
+        raise ValueError(f"the vector of product {seen['bad']} has a non-numeric element")
+    if seen["shortest"] is not None and not seen["shortest"] == seen["longest"] == seen["wanted"]:
+        raise ValueError(f"vectors have {seen['shortest']} to {seen['longest']} elements, not {seen['wanted']}")
+    twice = updates.groupBy("id", "seq").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"product {twice['id']} has seq {twice['seq']} more than once")
 
 
 def last_updates(updates: DataFrame) -> DataFrame:
@@ -26,14 +46,53 @@ def last_updates(updates: DataFrame) -> DataFrame:
     return updates.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn", "seq")
 
 
+def _checked(target: DataFrame, updates: DataFrame) -> DataFrame:
+    """The winning updates of a good batch, stored; the batch itself is stored first and read from there."""
+    names = PRODUCT_EMBEDDINGS.names
+    batch = materialize(updates.select(*names, "seq"), "batch")
+    row = target.where(F.col("image_vector").isNotNull()).select(F.size("image_vector").alias("n")).first()
+    check_updates(batch, row["n"] if row else None)
+    return materialize(last_updates(batch), "updates")
+
+
 def upsert_embeddings(target: DataFrame, updates: DataFrame) -> DataFrame:
     """The table after the upsert, to be written as a new version.
 
     ``updates`` has the target's columns and ``seq``, its order in the batch, unique per id. An update
     replaces status, both categories and vector. Nothing is returned, and so nothing can be written, if
-    the batch holds a bad vector. The winning updates are stored once and read on both sides of the result.
+    the batch holds a bad row. The winning updates are stored once and read on both sides of the result.
     """
-    check_vectors(updates)
     names = PRODUCT_EMBEDDINGS.names
-    new = materialize(last_updates(updates.select(*names, "seq")), "updates")
+    new = _checked(target, updates)
     return target.select(*names).join(new, "id", "left_anti").unionByName(new.select(*names))
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def write_embeddings(embeddings: DataFrame, path: str) -> None:
+    """Store a whole table in folders by the hash of the id."""
+    rows = embeddings.select(*PRODUCT_EMBEDDINGS.names, _bucket())
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(*PRODUCT_EMBEDDINGS.names)
+
+
+def upsert_stored(spark: SparkSession, path: str, updates: DataFrame) -> list[int]:
+    """Upsert into a table stored by ``write_embeddings``; returns the folders rewritten.
+
+    Only the folders of the batch's ids are read and replaced, each as a whole; the others are not touched.
+    """
+    new = _checked(read_embeddings(spark, path), updates).select(*PRODUCT_EMBEDDINGS.names, _bucket())
+    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())
+    if touched:
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+        merged = old.join(new.select("id"), "id", "left_anti").unionByName(new)
+        # Stored before the folders it was read from are replaced.
+        merged = materialize(merged, "merged").repartition("bucket")
+        writer = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("bucket").parquet(path)
+    return touched

@@ -12,10 +12,10 @@ from shelfwise.config import RunConfig
 from shelfwise.operators import factors as als
 from shelfwise.operators.evaluation import regression_metrics
 from shelfwise.operators.indexing import IndexTable, item_index, user_index
-from shelfwise.operators.interactions import build_interactions, interaction_stats, interaction_type_counts
+from shelfwise.operators.interactions import build_interactions, interaction_type_counts
 from shelfwise.operators.ranking import top_n_unseen
 from shelfwise.operators.ratings import Split, split_or_all, to_ratings
-from shelfwise.operators.sinks import save_recommendations, write_csv
+from shelfwise.operators.sinks import save_options, save_recommendations, write_csv
 from shelfwise.session import materialize
 from shelfwise.sources.snapshot import read_through, snapshot_path
 from shelfwise.sources.tables import BehaviourLogs
@@ -55,12 +55,12 @@ def prepare(
     spark = logs.action_log.sparkSession
 
     def build() -> DataFrame:
-        return build_interactions(logs, as_of, cfg.days, cfg.interaction_thresholds)
+        return build_interactions(logs, as_of, cfg.days, cfg.interaction_thresholds, cfg.ignore_case)
 
     if snapshot_root is None:
         interactions = materialize(build(), "interactions")
     else:
-        interactions = read_through(spark, snapshot_path(snapshot_root, cfg, as_of), build)
+        interactions = read_through(spark, snapshot_path(snapshot_root, cfg, as_of, logs.identity()), build)
     return index_and_rate(interactions, cfg)
 
 
@@ -74,7 +74,7 @@ def index_and_rate(interactions: DataFrame, cfg: RunConfig) -> Prepared:
 def train(ratings: DataFrame, cfg: RunConfig) -> Trained:
     """Split and fit. The factors are stored: they are read by several later steps."""
     split = split_or_all(ratings, cfg.split_test_data, cfg.test_ratio, cfg.random_seed)
-    model = als.fit_als(split.train, cfg, split.n_train)
+    model = als.fit_als(split.train, cfg)
     return Trained(
         split,
         model,
@@ -118,33 +118,40 @@ def run(
     save_to: dict | None = None,
     mode: str = "strict",
 ) -> RunResult:
-    """The whole run. ``as_of`` is the end of the look-back window, now unless given.
+    """The whole run. ``as_of`` is the end of the look-back window, unless given the start of the current day by Spark's
+    clock in the session's zone: all runs of a day share their window, and so their snapshot.
 
     ``results_path`` receives the CSV result. With ``cfg.save_to_db`` the rows are also appended to the
     ``recommendations`` table of ``cfg.db_type``; ``save_to`` has the connection options, or
     ``{"target": "parquet", "path": ...}`` for a file table.
     """
-    as_of = as_of or datetime.now()
-    if cfg.save_to_db and save_to is None:
-        raise ValueError("save_to_db is set but save_to names no target")
+    if cfg.save_to_db:
+        if save_to is None:
+            raise ValueError("save_to_db is set but save_to names no target")
+        save_to = {"target": cfg.db_type, **save_to}
+        save_options(**save_to)
+    if as_of is None:
+        today = logs.action_log.sparkSession.sql("SELECT CAST(current_date() AS STRING) AS d").first()["d"]
+        as_of = datetime.fromisoformat(today)
     prepared = prepare(logs, cfg, as_of, snapshot_root)
     trained = train(prepared.ratings, cfg)
     recommendations = materialize(recommend(prepared, trained, cfg.top_n, mode), "recommendations")
     metrics = evaluate(prepared, trained)
-    report = {"settings": cfg.echo(), "as_of": as_of.isoformat()}
-    report["interactions"] = interaction_stats(prepared.interactions).first().asDict()
+    report = {"settings": cfg.echo(), "mode": mode, "as_of": as_of.isoformat()}
+    report["interactions"] = {
+        "n_interactions": prepared.users.total_rows, "n_users": prepared.users.size, "n_items": prepared.items.size,
+    }
     report["interaction_types"] = {
         r["interaction_type"]: r["n"] for r in interaction_type_counts(prepared.interactions).collect()
     }
     report["split"] = {"train": trained.split.n_train, "test": trained.split.n_test}
-    n_trained = trained.user_factors.count()
-    report["users_recommended"] = n_trained
-    report["users_without_factors"] = prepared.users.size - n_trained
+    report["users_recommended"] = recommendations.select("user_idx").distinct().count()
+    report["users_without_factors"] = prepared.users.size - trained.user_factors.count()
     if metrics is not None:
         metrics = materialize(metrics, "metrics")
         report["metrics"] = metrics.first().asDict()
     if results_path is not None:
         write_csv(recommendations, results_path)
     if cfg.save_to_db:
-        report["saved"] = save_recommendations(recommendations, **{"target": cfg.db_type, **save_to})
+        report["saved"] = save_recommendations(recommendations, **save_to)
     return RunResult(recommendations, metrics, report)

@@ -39,6 +39,16 @@ TABLES = {
 }
 
 
+def require_types(df: DataFrame, schema: StructType, what: str) -> DataFrame:
+    """``require_columns`` with every column of the type in ``schema``."""
+    df = require_columns(df, schema, what)
+    wrong = [f"{f.name} is {df.schema[f.name].dataType.simpleString()}" for f in schema.fields
+             if df.schema[f.name].dataType != f.dataType]
+    if wrong:
+        raise ValueError(f"{what} has columns of other types: {', '.join(wrong)}")
+    return df
+
+
 def require_columns(df: DataFrame, schema: StructType, what: str) -> DataFrame:
     """Narrow ``df`` to the columns of ``schema``; say which are missing instead of failing later."""
     missing = [name for name in schema.names if name not in df.columns]

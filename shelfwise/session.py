@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 # A lookup side is broadcast only when its counted rows, times the size of a row, stay below this.
 BROADCAST_BYTES = 16 << 20
 ROW_BYTES = 64
-# A key with more than 1/HOT_PARTS of all rows is hot, so there are at most HOT_PARTS hot keys.
-HOT_PARTS = 200
-SALTS = 64
+# A key with more rows than this is spread over as many partitions as it holds this number of rows.
+ROWS_PER_TASK = 2_000_000
 
 _local_roots: dict[str, str] = {}
 
@@ -48,6 +47,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; call it when its results are no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks worth planning for; a starting cluster may still report few cores, hence the second term."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -63,17 +68,19 @@ def lookup_join(
     """Inner join of ``facts`` to ``dim``, whose key ``on`` is unique, level even if one key holds most facts.
 
     ``load`` is the column of ``dim`` with the number of fact rows of the key, ``total`` their sum and
-    ``dim_rows`` the counted rows of ``dim``. A small ``dim`` is broadcast. Otherwise the at most
-    ``HOT_PARTS`` hot keys are spread over ``SALTS`` partitions each, and all others are joined as usual.
+    ``dim_rows`` the counted rows of ``dim``. A small ``dim`` is broadcast. Otherwise a key with more than
+    ``ROWS_PER_TASK`` facts is spread over ``ceil(load / ROWS_PER_TASK)`` partitions, and all others are joined as
+    usual. There are at most ``total / ROWS_PER_TASK`` such keys; the number grows with ``total`` where their table,
+    which goes to every task, would pass ``BROADCAST_BYTES``.
     """
     if fits_broadcast(dim_rows, row_bytes):
         return facts.join(F.broadcast(dim.drop(load)), on)
-    is_hot = F.col(load) * HOT_PARTS > total
-    hot = dim.where(is_hot).select(*on, F.lit(True).alias("_hot"))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_dim = dim.withColumn("_salt", F.explode(salts)).drop(load)
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(SALTS)).cast("int"))
+    most = max(ROWS_PER_TASK, -(-total * ROW_BYTES // max(1, BROADCAST_BYTES)))
+    salts = F.ceil(F.col(load) / most).cast("int")
+    hot = dim.where(F.col(load) > most).select(*on, salts.alias("_salts"))
+    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop(load)
+    drawn = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.col("_salts")).cast("int")
     salted_facts = (
-        facts.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_hot")
+        facts.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(drawn, F.lit(0))).drop("_salts")
     )
     return salted_facts.join(salted_dim, [*on, "_salt"]).drop("_salt")

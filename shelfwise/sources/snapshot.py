@@ -11,14 +11,15 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.config import RunConfig
-from shelfwise.schemas import INTERACTIONS
+from shelfwise.schemas import INTERACTIONS, require_types
 from shelfwise.session import materialize
 
 log = logging.getLogger(__name__)
 
 
-def snapshot_path(root: str, cfg: RunConfig, as_of: datetime) -> str:
-    return f"{root.rstrip('/')}/as_of_date={as_of:%Y%m%d}/days={cfg.days}/{cfg.snapshot_key(as_of)}"
+def snapshot_path(root: str, cfg: RunConfig, as_of: datetime, source: str = "") -> str:
+    """Folder of the snapshot for these settings, this moment and the logs known as ``source``."""
+    return f"{root.rstrip('/')}/as_of_date={as_of:%Y%m%d}/days={cfg.days}/{cfg.snapshot_key(as_of, source)}"
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
@@ -36,10 +37,10 @@ def read_through(spark: SparkSession, path: str, build: Callable[[], DataFrame])
     ids = ["member_id", "product_id"]
     try:
         if is_complete(spark, path):
-            cached = spark.read.schema(INTERACTIONS).parquet(path)
+            cached = require_types(spark.read.parquet(path), INTERACTIONS, path)
             cached.first()
             return cached.dropna(subset=ids)
-    except (PySparkException, Py4JJavaError) as e:
+    except (PySparkException, Py4JJavaError, ValueError) as e:
         log.warning("snapshot %s cannot be read and is built again: %s", path, e)
     fresh = build().select(*INTERACTIONS.names).dropna(subset=ids)
     try:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from shelfwise.functions.vectors import split_parsable
 from shelfwise.schemas import TABLES, require_columns
 
+VECTOR = "image_vector"
+
 
 @dataclass(frozen=True)
 class BehaviourLogs:
@@ -18,11 +21,30 @@ class BehaviourLogs:
     product_view: DataFrame
     action_log: DataFrame
     purchased_product: DataFrame
+    source: str = ""
+
+    def identity(self) -> str:
+        """What tells these logs from others: where they were read from, else the files and the shape of the frames."""
+        if self.source:
+            return self.source
+        frames = (self.product_impression, self.product_view, self.action_log, self.purchased_product)
+        return "|".join(f"{sorted(df.inputFiles())} {df.semanticHash()}" for df in frames)
 
     @classmethod
     def from_files(cls, spark: SparkSession, root: str, fmt: str = "parquet") -> BehaviourLogs:
         names = ("product_impression", "product_view", "action_log", "purchased_product")
-        return cls(**{name: read_table(spark, f"{root}/{name}", name, fmt) for name in names})
+        return cls(**{name: read_table(spark, f"{root}/{name}", name, fmt) for name in names}, source=f"{fmt}:{root}")
+
+    @classmethod
+    def from_jdbc(cls, spark: SparkSession, url: str, tables: dict[str, dict] | None = None, **options) -> BehaviourLogs:
+        """The four log tables of a database. ``options`` hold for all, ``tables[name]`` for one, such as the column and
+        bounds of a partitioned scan or another ``table`` name."""
+        names = ("product_impression", "product_view", "action_log", "purchased_product")
+        tables = tables or {}
+        found = {
+            name: read_jdbc(spark, name, **{"url": url, "table": name, **options, **tables.get(name, {})}) for name in names
+        }
+        return cls(**found, source=f"{url} {sorted(tables.items())}")
 
 
 def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
@@ -31,7 +53,8 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet")
     if fmt == "parquet":
         return require_columns(spark.read.parquet(path), schema, name)
     if fmt == "csv":
-        return spark.read.schema(schema).option("header", True).csv(path)
+        text = StructType([StructField(f.name, StringType()) if f.name == VECTOR else f for f in schema.fields])
+        return with_vectors(spark.read.schema(text).option("header", True).csv(path), schema)
     raise ValueError(f"unsupported file format: {fmt}")
 
 
@@ -62,10 +85,18 @@ def jdbc_read_options(
 def read_jdbc(spark: SparkSession, name: str, **options) -> DataFrame:
     """Scan table ``name`` over JDBC. Filters and column choices made later are sent to the database.
 
-    A vector column arrives as text; ``functions.vectors.split_parsable`` turns it into an array.
+    A vector column arrives as text and becomes an array.
     """
     df = spark.read.format("jdbc").options(**jdbc_read_options(**options)).load()
-    schema = StructType([f for f in TABLES[name].fields if f.name != "image_vector"])
-    vector = ["image_vector"] if "image_vector" in df.columns else []
-    require_columns(df, schema, name)
-    return df.select(*schema.names, *vector)
+    return with_vectors(require_columns(df, TABLES[name], name), TABLES[name])
+
+
+def with_vectors(df: DataFrame, schema: StructType) -> DataFrame:
+    """``df`` with its vectors, read as text, as arrays; rows whose vector does not parse are left out.
+
+    ``functions.vectors.split_parsable`` gives those rows to whoever wants to look at them.
+    """
+    if VECTOR not in schema.names:
+        return df
+    good, _ = split_parsable(df.withColumnRenamed(VECTOR, "_text"), "_text", VECTOR)
+    return good.select(*schema.names)

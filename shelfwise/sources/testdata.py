@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.config import Thresholds
+from shelfwise.session import materialize
 from shelfwise.sources.tables import BehaviourLogs
 
 EVENTS_AS_OF = datetime(2024, 1, 31)
@@ -37,7 +38,7 @@ def event_logs(spark: SparkSession, sf_dir: str) -> BehaviourLogs:
     return BehaviourLogs(
         product_impression=events.where(kind == "click").select(*pair, created),
         product_view=events.where(kind == "view").select(F.col("event_id").alias("id"), *pair, created),
-        action_log=events.select(*pair, event_name.alias("event_name"), created),
+        action_log=events.where(kind.isin("signup", "error")).select(*pair, event_name.alias("event_name"), created),
         purchased_product=events.where(kind == "purchase").select(
             member.alias("customer_id"), product.alias("archived_id"), created
         ),
@@ -50,6 +51,11 @@ def order_logs(spark: SparkSession, sf_dir: str) -> BehaviourLogs:
     lines = table(spark, sf_dir, "lineitem").join(
         table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     )
+    # The four logs come from one join, stored with the columns they need.
+    lines = materialize(
+        lines.select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus", "o_custkey"),
+        "order-lines",
+    )
     pair = (F.col("o_custkey").alias("member_id"), F.col("l_suppkey").alias("product_id"))
     created = F.col("l_shipdate").alias("created_at")
     flag = F.col("l_returnflag")

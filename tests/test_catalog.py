@@ -26,16 +26,28 @@ def test_predicate_as_text_or_column(products):
     assert rows(catalog.product_ids(products, F.col("id") < 2)) == [(0,), (1,)]
 
 
-@pytest.mark.parametrize("head", [100_000, 0])
-def test_pages(products, monkeypatch, head):
-    monkeypatch.setattr(catalog, "_SORTED_HEAD", head)
-    pages = [[r["id"] for r in catalog.product_urls(products, F.lit(True), 3, n).orderBy("id").collect()]
+def test_pages(products):
+    pages = [[r["id"] for r in catalog.product_urls(products, F.lit(True), 3, n).collect()]
              for n in range(5)]
     assert pages == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9], []]
     with pytest.raises(ValueError):
         catalog.product_urls(products, F.lit(True), 3, -1)
 
 
+def test_one_ordered_plan_for_every_page(products):
+    for n in (0, 10_000_000):
+        plan = catalog.page(products, 3, n)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Sort" in plan and "Limit" in plan and plan.index("Limit") < plan.index("Sort")
+
+
+def test_pages_by_key_range(products):
+    found, last = [], None
+    while page := [r["id"] for r in catalog.page_after(products, last, 4).collect()]:
+        found.append(page)
+        last = page[-1]
+    assert found == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+
+
 def test_all_pages_at_once(products):
     numbered = catalog.page_numbers(products.select("id"), 3)
     assert rows(numbered, "id", "batch_no") == [(i, i // 3) for i in range(10)]

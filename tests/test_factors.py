@@ -26,7 +26,7 @@ def train(spark):
 
 @pytest.fixture(scope="module")
 def model(train):
-    return als.fit_als(train, CFG, 440)
+    return als.fit_als(train, CFG)
 
 
 def as_dict(df):
@@ -50,7 +50,7 @@ def test_dimensions(train, model):
 
 
 def test_same_seed_same_factors(train, model):
-    a, b = as_dict(als.user_factors(model)), as_dict(als.user_factors(als.fit_als(train, CFG, 440)))
+    a, b = as_dict(als.user_factors(model)), as_dict(als.user_factors(als.fit_als(train, CFG)))
     assert max(np.abs(a[i] - b[i]).max() for i in a) < 1e-6
 
 

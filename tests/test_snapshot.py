@@ -57,3 +57,29 @@ def test_path_tells_settings_apart(tmp_path):
     a = snapshot_path("/x", RunConfig(), AS_OF)
     assert a.startswith("/x/as_of_date=20240131/days=10/")
     assert a != snapshot_path("/x", RunConfig(interaction_thresholds=Thresholds((1, 2, 3))), AS_OF)
+
+
+def test_other_logs_have_another_snapshot(spark, tmp_path):
+    from shelfwise.plans.recommend import prepare
+    from shelfwise.schemas import TABLES
+    from shelfwise.sources.tables import BehaviourLogs
+
+    def logs(root, member):
+        data = {"product_impression": [], "product_view": [], "purchased_product": [(member, "9", AS_OF)],
+                "action_log": []}
+        for name, rows_ in data.items():
+            spark.createDataFrame(rows_, TABLES[name]).write.parquet(f"{root}/{name}")
+        return BehaviourLogs.from_files(spark, str(root))
+
+    cfg, root = RunConfig(), f"{tmp_path}/snapshots"
+    one, two = logs(tmp_path / "one", "1"), logs(tmp_path / "two", "2")
+    assert rows(prepare(one, cfg, AS_OF, root).interactions) == [(1, 9, "purchase")]
+    assert rows(prepare(two, cfg, AS_OF, root).interactions) == [(2, 9, "purchase")]
+    assert rows(prepare(one, cfg, AS_OF, root).interactions) == [(1, 9, "purchase")]
+    assert len(list((tmp_path / "snapshots").rglob("_SUCCESS"))) == 2
+
+
+def test_a_snapshot_that_lacks_a_column_is_built_again(spark, tmp_path):
+    path = f"{tmp_path}/s"
+    spark.createDataFrame([(1, 2)], "member_id bigint, product_id bigint").write.parquet(path)
+    assert rows(read_through(spark, path, Builder(spark, [(5, 6, "cart")]))) == [(5, 6, "cart")]

@@ -1,6 +1,8 @@
 import pytest
 
-from shelfwise.operators.upsert import last_updates, upsert_embeddings
+from shelfwise.operators.upsert import (
+    last_updates, read_embeddings, upsert_embeddings, upsert_stored, write_embeddings,
+)
 
 from conftest import plan_of, rows
 
@@ -34,3 +36,27 @@ def test_a_hot_id_is_cut_down_before_the_shuffle(spark):
     assert rows(last_updates(many))[0][4] == [2999.0]
     plan = plan_of(last_updates(many))
     assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
+@pytest.mark.parametrize("row, why", [
+    ((None, "SALE", 1, 1, [1.0], 1), "no id"),
+    ((5, "SALE", 1, 1, None, 1), "product 5 has no vector"),
+    ((5, "SALE", 1, 1, [1.0, 2.0], 1), "elements"),
+    ((1, "SALE", 1, 1, [8.0], 1), "more than once"),
+])
+def test_a_bad_row_refuses_the_batch(spark, row, why):
+    with pytest.raises(ValueError, match=why):
+        upsert_embeddings(target(spark), updates(spark, [(1, "SALE", 1, 1, [7.0], 1), row]))
+
+
+def test_only_touched_folders_are_rewritten(spark, tmp_path):
+    path = f"{tmp_path}/embeddings"
+    rows_ = [(i, "SALE", 1, 1, [float(i)]) for i in range(300)]
+    write_embeddings(spark.createDataFrame(rows_, SCHEMA), path)
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    touched = upsert_stored(spark, path, updates(spark, [(7, "HIDDEN", 2, 2, [-7.0], 1), (900, "SALE", 1, 1, [9.0], 1)]))
+    after = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    kept = {p for p in before if after.get(p) == before[p]}
+    assert len(touched) <= 2 and {p.parent.name for p in before} - {p.parent.name for p in kept} <= {f"bucket={b}" for b in touched}
+    want = [r for r in rows_ if r[0] != 7] + [(7, "HIDDEN", 2, 2, [-7.0]), (900, "SALE", 1, 1, [9.0])]
+    assert rows(read_embeddings(spark, path)) == sorted(want, key=repr)
