@@ -7,7 +7,7 @@ from helpers import SCHEMA
 import corpus_pipeline
 from shelfwise.llm import mixing, packing, simhash, suffix, toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -78,4 +78,4 @@ def test_awkward_documents_pass_all_stages(spark):
 
 
 def test_documents_are_read_whole():
-    assert pq.read_table(f"{SF}/documents.parquet").num_rows == 1000
+    assert pq.read_table(f"{SF}/documents.parquet").num_rows == 200
