@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import time
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import shelfwise
 from shelfwise.session import shared_root
 
 # A Python task looks at this many bytes of text at a time, so its memory follows the longest text only.
@@ -21,7 +25,26 @@ CHUNK_BYTES = 4 << 20
 SPACES = " \t\n\x0b\x0c\r"
 
 
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, wherever they have been started."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(shelfwise.__file__).parent
+        # The driver's own copy stays as long as the process: Spark hands it to executors that start late.
+        folder = tempfile.TemporaryDirectory(prefix="shelfwise-package-")
+        path = f"{folder.name}/shelfwise-package.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for file in sorted(root.rglob("*.py")):
+                z.write(file, f"{root.name}/{file.relative_to(root)}")
+        sc.addPyFile(path)
+        _shipped[sc.applicationId] = folder
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +57,7 @@ class Scratch:
     """Tables in the shared folder that cut lineage; ``drop`` deletes those that are no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
