@@ -80,10 +80,11 @@ def release(spark: SparkSession) -> None:
 
     The first collection frees the plans, the second the shuffles that only they held.
     """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(0.5)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def text_chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
