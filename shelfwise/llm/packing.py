@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,45 +23,46 @@ GROUP_TOKENS = 1 << 24
 CACHE_WORDS = 300_000
 
 
-class WordIds:
-    """Ids of a text, as little-endian bytes, word by word.
+class WordIds(dict):
+    """Ids of words, as little-endian bytes, worked out when a word is first asked for.
 
-    The tokenizer never joins symbols over white space, so the ids of a text are those of its words in turn. A word that
-    ends in a full stop or comma behind letters is looked up without it, and A-Z in lower case, as the tokenizer does itself.
+    The tokenizer never joins symbols over white space, so the ids of a text are those of its words in turn. It also
+    parts letters from the marks after them and puts letters in lower case, so a word of plain letters is looked up in
+    lower case and without the marks at its end.
     """
 
+    MARKS = ".,;:!?&$|"
+    PLAIN = "\u0130"  # below it, lower case is a letter for a letter and nothing is composed
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, words: set[bytes]) -> None:
-        for w in list(words):
-            if (kept := self.old.get(w)) is not None:
-                self.new[w] = kept
-                words.discard(w)
-        plain = {w: (w[:-1].lower(), w[-1:]) for w in words if w[-1:] in b".," and w[:-1].isalpha()}
-        plain |= {w: (w.lower(), b"") for w in words if w not in plain and w.isalpha()}
-        parts = {p for pair in plain.values() for p in pair if p} - self.new.keys()
-        todo = [*parts, *(w for w in words if w not in plain and w not in parts)]
-        self.new.update(zip(todo, self._encode(todo), strict=True))
-        self.new.update({w: self.new[a] + (self.new[b] if b else b"") for w, (a, b) in plain.items()})
-
-    def of(self, raw: list[bytes]) -> list[bytes]:
-        split = [x.split() for x in raw]
-        if len(self.new) > CACHE_WORDS:
-            self.new, self.old = {}, self.new
-        missing = set().union(*split) - self.new.keys()
-        if missing:
-            self._learn(missing)
-        return [b"".join(map(self.new.__getitem__, words)) for words in split]
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode()
+            letters = text.rstrip(self.MARKS)
+            lower = letters.lower()
+            if lower != text and letters.isalpha() and max(letters) < self.PLAIN:
+                ids = self[lower.encode()]
+                if letters != text:
+                    ids += self[text[len(letters) :].encode()]
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+                ids = struct.pack(f"<{len(found)}I", *found)
+        self[word] = ids
+        return ids
+
+    def of(self, raw: bytes) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, raw.split()))
 
 
 _loaded: dict[str, WordIds] = {}
@@ -74,10 +76,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         end, wide = np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             for part in text_chunks(batch, "text"):
-                found = ids_of.of([x.as_py() for x in part.column("text").cast(pa.binary())])
                 rows = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), found, strict=True):
-                    ids += end
+                for doc, raw in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()), strict=True):
+                    ids = ids_of.of(raw.as_py()) + end
                     for i, at in enumerate(range(0, len(ids), wide)):
                         cut = ids[at : at + wide]
                         rows.append((doc, i, at // 4, len(cut) // 4, zlib.crc32(cut)))
