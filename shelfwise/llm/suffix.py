@@ -138,12 +138,12 @@ def _cut_runs(r, doc, at, low, high, left, raw: list[bytes], width: int, narrowe
 
     ``raw`` holds the bytes around each anchor, ``left`` of them before it; ``low`` and ``high`` are the distances of
     the run's starts before the anchor. Starts whose window would leave the text, and runs without a start, drop out.
-    Runs at other distances get other hashes, so the order of anchors is that of the starts among equal pairs.
+    A run keeps the bytes that its windows touch. Runs at other distances get other hashes, so the order of anchors is that of the starts among equal pairs.
     """
     sizes = np.array([len(x) for x in raw], np.int64)
     base = np.cumsum(sizes) - sizes
     grams = Grams(np.frombuffer(b"".join(raw), np.uint8))
-    out = []
+    out, kept = [], []
     for shift in range(0, width, narrower):
         lo = low + shift
         hi = np.minimum(lo + narrower - 1, high)
@@ -154,9 +154,11 @@ def _cut_runs(r, doc, at, low, high, left, raw: list[bytes], width: int, narrowe
         core = grams.of(here - lo, here - hi + length) + lo.astype(np.uint64) * np.uint64(BASE)
         clip = ((first - lo) * (length + 1) + (hi - last)).astype(np.uint64)
         hull = grams.of(here - last, here - first + length) + clip
-        out.append((r[ok], core.view(np.int64), hull.view(np.int64), doc[ok], at[ok], lo, hi, left[ok], ok))
+        out.append((r[ok], core.view(np.int64), hull.view(np.int64), doc[ok], at[ok], lo, hi, last, ok))
+        spans = zip(ok.tolist(), (left[ok] - last).tolist(), (left[ok] - first + length).tolist(), strict=True)
+        kept += [raw[i][a:b] for i, a, b in spans]
     columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-    bytes_ = pa.array(raw, pa.binary()).take(pa.array(columns[-1]))
+    bytes_ = pa.array(kept, pa.binary())
     arrays = [pa.array(c, t) for c, t in zip(columns[:-1], [pa.int64()] * 5 + [pa.int32()] * 3, strict=True)]
     return pa.RecordBatch.from_arrays([*arrays, bytes_], ["r", "r2", "ctx", "doc", "at", "low", "high", "left", "bytes"])
 
