@@ -20,7 +20,7 @@ END_ID = 0
 # a group leaves at most a few sequences in some 8,000 less than full.
 GROUP_TOKENS = 1 << 24
 # Words whose ids a task remembers; the older half is forgotten when it is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 class WordIds(dict):
@@ -40,6 +40,12 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # What the model sees of each plain letter; letters never part, so a word is the letters in a row.
+        self.symbols = {
+            c: "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c)))
+            for c in range(ord(self.PLAIN)) if chr(c).isalpha()
+        }
         self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
@@ -47,14 +53,14 @@ class WordIds(dict):
         if ids is None:
             text = word.decode()
             letters = text.rstrip(self.MARKS)
-            lower = letters.lower()
-            if lower != text and letters.isalpha() and max(letters) < self.PLAIN:
+            if not letters.isalpha() or max(letters) >= self.PLAIN:
+                ids = _packed_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            elif (lower := letters.lower()) == text:
+                ids = _packed_ids([t.id for t in self.model.tokenize(text.translate(self.symbols))])
+            else:
                 ids = self[lower.encode()]
                 if letters != text:
                     ids += self[text[len(letters) :].encode()]
-            else:
-                found = self.tokenizer.encode(text, add_special_tokens=False).ids
-                ids = struct.pack(f"<{len(found)}I", *found)
         self[word] = ids
         return ids
 
@@ -65,6 +71,10 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, raw.split()))
 
 
+def _packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 _loaded: dict[str, WordIds] = {}
 
 

@@ -12,6 +12,17 @@ from shelfwise.llm import packing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+def test_words_alone_have_the_ids_that_they_have_in_a_text():
+    tok, ids = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    rng = random.Random(4)
+    words = letters + ["".join(rng.choices(letters, k=rng.randint(2, 12))) for _ in range(3000)]
+    words += ["".join(rng.choices("theandéßÄñ.,&$|'1", k=rng.randint(1, 14))) for _ in range(3000)]
+    for w in words:
+        want = tok.encode(w, add_special_tokens=False).ids
+        assert np.frombuffer(ids.of(w.encode()), "<u4").tolist() == want, w
+
+
 def check(spark, texts, capacity, **kw):
     """Every id of every text is placed once, sequences are gapless; returns the number of sequences."""
     docs = clashing(documents(spark, texts), "piece", "group", "length", "offset")
