@@ -19,7 +19,7 @@ import shelfwise
 from shelfwise.session import shared_root
 
 # A Python task looks at this many bytes of text at a time, so its memory follows the longest text only.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 # The white space that separates words everywhere in this package.
 SPACES = " \t\n\x0b\x0c\r"

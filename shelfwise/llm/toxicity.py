@@ -9,16 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import Scratch, text_chunks
+from shelfwise.llm.common import Scratch, release, text_chunks
 from shelfwise.llm.hashing import Words, mix
 
 DIMENSIONS = 1 << 20
 # At most about so many labelled rows are learnt from: those with the smallest hashes of their ids.
-SAMPLE_ROWS = 24_000
+SAMPLE_ROWS = 12_000
 # The sample is learnt in so many parts side by side, whatever the cluster, and the parts are averaged after each epoch.
 PARTS = 4
-EPOCHS = 8
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 1.0
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 BIAS = DIMENSIONS  # place of the constant feature
 THRESHOLD = 0.7
 PREFIXES = (4, 5)
@@ -66,45 +66,53 @@ def _learn_part(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray
 
 
 def _pass_over(state):
-    """A function that learns one part from the broadcast ``state`` and returns how the state has changed."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("place", "ascending"), ("doc_id", "ascending")])
-        z, n = (x.copy() for x in state.value)
-        lists = group["features"].combine_chunks()
-        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        texts = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        _learn_part(list(zip(texts, group["label"].to_pylist(), strict=True)), z, n)
-        at = np.flatnonzero((z != state.value[0]) | (n != state.value[1]))
-        dz, dn = (x[at] - was[at] for x, was in zip((z, n), state.value, strict=True))
-        part = np.full(at.size, group["part"][0].as_py(), np.int32)
-        return pa.table({"at": at.astype(np.int32), "part": part, "dz": dz, "dn": dn})
-
-    return run
+    """A function that learns a task's parts, each from the broadcast ``state``, and returns how the state has changed:
+    sums over the parts of the change times the part's rows, and the rows themselves at place -1."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
+        for batch in batches:
+            lists = batch.column("features")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            columns = (batch.column(c).to_pylist() for c in ("part", "place", "doc_id", "label"))
+            for i, (part, place, doc_id, label) in enumerate(zip(*columns, strict=True)):
+                parts.setdefault(part, []).append((place, doc_id, flat[ends[i] : ends[i + 1]], label))
+        dz, dn = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
+        total = 0
+        for _, held in sorted(parts.items()):
+            held.sort(key=lambda r: r[:2])
+            z, n = (x.copy() for x in state.value)
+            _learn_part([r[2:] for r in held], z, n)
+            dz += (z - state.value[0]) * len(held)
+            dn += (n - state.value[1]) * len(held)
+            total += len(held)
+        at = np.flatnonzero(dn)
+        columns = [np.append(at, -1).astype(np.int32), np.append(dz[at], total), np.append(dn[at], 0.0)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["at", "dz", "dn"])
 
-def _adder(field: str):
-    return lambda total, x: total + x[field]
+    return run
 
 
 def _train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """``z`` and ``n`` after all epochs over ``rows (part, place, features, label)``, a written table.
+    """``z`` and ``n`` after all epochs over ``rows (part, place, features, label)``, a written table dealt by part.
 
-    Each epoch is one Spark job: every part starts from the broadcast state and returns how it changed it; the mean
-    change, at most one row per coordinate, comes back.
+    Each epoch is one Spark job: every part starts from the broadcast state; the mean change by rows, at most one row
+    per coordinate, comes back.
     """
     spark = rows.sparkSession
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     for _ in range(EPOCHS):
         state = spark.sparkContext.broadcast((z, n))
-        changes = rows.groupBy("part").applyInArrow(_pass_over(state), "at int, part int, dz double, dn double")
-        by_part = F.sort_array(F.collect_list(F.struct("part", "dz", "dn")))  # summed in one order, so runs agree
-        total = [F.aggregate("c", F.lit(0.0), _adder(k)).alias(k) for k in ("dz", "dn")]
-        table = changes.groupBy("at").agg(by_part.alias("c")).select("at", *total).toArrow()
-        at = table["at"].to_numpy()
-        z[at] += table["dz"].to_numpy() / PARTS
-        n[at] += table["dn"].to_numpy() / PARTS
+        changes = rows.mapInArrow(_pass_over(state), "at int, dz double, dn double")
+        table = changes.groupBy("at").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn")).toArrow()
+        at, dz, dn = (table[c].to_numpy() for c in ("at", "dz", "dn"))
+        total = max(1.0, dz[at < 0].sum())
+        real = at >= 0
+        z[at[real]] += dz[real] / total
+        n[at[real]] += dn[real] / total
         state.destroy()
+        del changes, table
+        release(spark)
     return z, n
 
 
@@ -143,7 +151,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # The sample's bound is what allows the broadcast.
     chosen = _base(docs).where("NOT held_out").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = chosen.mapInArrow(run, "doc_id long, place long, label int, features array<int>")
-    rows = scratch.save(rows.withColumn("part", (F.col("place") % PARTS).cast("int")), "features")
+    rows = rows.withColumn("part", (F.col("place") % PARTS).cast("int"))
+    rows = scratch.save(rows.repartition(PARTS, "part"), "features")
+    release(docs.sparkSession)
     z, n = _train(rows)
     scratch.drop("features")
     w = weights(z, n)
@@ -151,6 +161,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return at, w[at], float(-z[BIAS] / ((BETA + np.sqrt(n[BIAS])) / ALPHA))
 
 
+def _scores(raw: list[bytes], dense: np.ndarray, constant: float) -> np.ndarray:
+    """Scores of some texts: each feature that has a weight counts once per text."""
+    places, owners = features(raw)
+    hit = np.flatnonzero(dense[places])
+    codes = np.unique(owners[hit].astype(np.int64) * DIMENSIONS + places[hit])
+    sums = np.bincount(codes // DIMENSIONS, weights=dense[codes % DIMENSIONS], minlength=len(raw))
+    return 1 / (1 + np.exp(-np.clip(sums + constant, -700, 700)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs``: ``doc_id, held_out, score, predicted``; the score sees the text alone.
 
@@ -164,12 +183,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
         dense[at] = values
         for batch in batches:
             for part in text_chunks(batch, "text"):
-                raw = [x.as_py() for x in part.column("text").cast(pa.binary())]
-                places, owners = features(raw)
-                hit = np.flatnonzero(dense[places])
-                codes = np.unique(owners[hit].astype(np.int64) * DIMENSIONS + places[hit])
-                sums = np.bincount(codes // DIMENSIONS, weights=dense[codes % DIMENSIONS], minlength=len(raw))
-                scores = 1 / (1 + np.exp(-np.clip(sums + constant, -700, 700)))
+                scores = _scores([x.as_py() for x in part.column("text").cast(pa.binary())], dense, constant)
                 columns = [part.column("doc_id"), part.column("held_out"), pa.array(scores)]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array((scores >= threshold).astype(np.int32))],
@@ -198,10 +212,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
         at, values, constant = model.value
         dense = np.zeros(DIMENSIONS)
         dense[at] = values
-        out = []
-        for t in texts:
-            places, _ = features([(t or "").encode()])
-            out.append(1 / (1 + np.exp(-np.clip(dense[np.unique(places)].sum() + constant, -700, 700))))
-        return pd.Series(out, dtype=float)
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()).fill_null("")], ["text"])
+        parts = [[x.as_py() for x in p.column("text").cast(pa.binary())] for p in text_chunks(batch, "text")]
+        return pd.Series(np.concatenate([np.zeros(0), *(_scores(p, dense, constant) for p in parts)]))
 
     return docs.where(scored("text") < threshold)
