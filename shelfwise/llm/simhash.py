@@ -16,6 +16,7 @@ from shelfwise.session import lookup_join
 
 SEED = 42
 BYTES = 8
+NO_ID = -(1 << 63)  # stands for a null id in joins
 
 
 def _shingles(raw: bytes, words: int) -> Iterator[bytes]:
@@ -108,6 +109,7 @@ def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     Of rows that repeat a ``doc_id`` one stays; rows without ``doc_id`` stay only where the group has no id, as one.
     """
     named = near_duplicates(docs, words, max_bits)
-    kept = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
+    kept = named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_kept")).distinct()
     unique = docs.dropDuplicates(["doc_id"])
-    return unique.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return unique.join(kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_kept"), "left_semi")
