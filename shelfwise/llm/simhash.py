@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import Scratch, components, text_chunks, texts
-from shelfwise.session import lookup_join
+from shelfwise.session import fits_broadcast, lookup_join
 
 SEED = 42
 BYTES = 8
-NO_ID = -(1 << 63)  # stands for a null id in joins
 
 
 def _shingles(raw: bytes, words: int) -> Iterator[bytes]:
@@ -103,13 +102,26 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` with one document of each near-duplicate group: that with the smallest ``doc_id``.
+def first_of_groups(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` with one row of each group: that with the smallest ``doc_id``, null after all others.
 
-    Of rows that repeat a ``doc_id`` one stays; rows without ``doc_id`` stay only where the group has no id, as one.
+    ``grouped`` turns ``doc_id, text`` into ``doc_id, component_id``. It is given a number of each row in place of its
+    id, so rows that share an id, or have none, are told apart and only go if another row of their group stays.
     """
-    named = near_duplicates(docs, words, max_bits)
-    kept = named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_kept")).distinct()
-    unique = docs.dropDuplicates(["doc_id"])
-    return unique.join(kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_kept"), "left_semi")
+    scratch = Scratch(docs.sparkSession, "groups")
+    row = F.struct("*").alias("row")
+    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("_row"), row), "rows")
+    groups = grouped(rows.select(F.col("_row").alias("doc_id"), F.col("row.text").alias("text")))
+    groups = groups.select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", F.col("row.doc_id").cast("long").alias("id"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("least")
+    first = ids.join(groups, "_row").groupBy("component_id").agg(least).select("least._row")
+    gone = scratch.save(rows.select("_row").join(first, "_row", "left_anti"), "gone")
+    if fits_broadcast(gone.count()):
+        gone = F.broadcast(gone)
+    return rows.join(gone, "_row", "left_anti").select("row.*")
+
+
+def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs`` with one row of each near-duplicate group: that with the smallest ``doc_id``."""
+    return first_of_groups(docs, lambda rows: near_duplicates(rows, words, max_bits))

@@ -69,3 +69,11 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     assert sorted(r.component_id for r in simhash.near_duplicates(docs).collect()) == [5, 5, 5]
     assert simhash.keep_one(docs).count() == 1
+
+
+def test_rows_that_share_an_id_or_have_none_stay(spark):
+    texts = [f"{i} first words {i} then other words {i * i}" for i in range(12)]
+    rows = [(None if i < 4 else 7 if i < 8 else i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    rows += [(3, texts[0], "en", "s", 1), (None, texts[9], "en", "s", 1), (7, texts[5], "en", "s", 1)]
+    kept = records(simhash.keep_one(spark.createDataFrame(rows, SCHEMA)), "doc_id", "text")
+    assert kept == sorted([(3, texts[0]), *((r[0], r[1]) for r in rows[1:12])], key=repr)
