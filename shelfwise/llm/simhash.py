@@ -18,7 +18,7 @@ SEED = 42
 BYTES = 8
 
 
-def _shingles(raw: bytes, words: int) -> Iterator[bytes]:
+def shingles(raw: bytes, words: int) -> Iterator[bytes]:
     w = raw.lower().split()
     if len(w) < words:
         return iter([b" ".join(w)] if w else [])
@@ -27,7 +27,7 @@ def _shingles(raw: bytes, words: int) -> Iterator[bytes]:
 
 def fingerprint(raw: bytes, words: int = 3) -> int:
     """Signed 64-bit SimHash of UTF-8 bytes: a bit is set if over half the shingle hashes have it; no word: 0."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, _shingles(raw, words), repeat(SEED)), "<u8")
+    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles(raw, words), repeat(SEED)), "<u8")
     if not h.size:
         return 0
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little")
