@@ -1,7 +1,7 @@
 """Removal of passages that occurred before, by distributed prefix doubling over suffix positions.
 
-A position of a text is ``(doc, at)``; ``at`` holds 23 bits of the text's checksum above 40 bits of byte offset, so rows
-that repeat a ``doc_id`` with other texts have positions of their own.
+A position of a text is ``(doc, sub, at)``: id, 64-bit digest of the text and byte offset, so rows that repeat a
+``doc_id`` with other texts have positions of their own.
 
 1. *Anchors.* Every window of ``length`` bytes marks the positions of its least ``GRAM``-byte hash. Equal windows mark
    equal places, so a window can only occur twice if its anchor's gram does. About one position in 35 is an anchor,
@@ -16,11 +16,11 @@ that repeat a ``doc_id`` with other texts have positions of their own.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,9 +30,7 @@ from shelfwise.llm.hashing import BASE, Grams
 
 GRAM = 32
 FAN = 4
-AT_BITS = 40
-SUB_MASK = (1 << 23) - 1
-AT_MASK = (1 << AT_BITS) - 1
+SUB_SEED = 42  # that of Spark's xxhash64
 RUN_BITS = 10
 RUN_MASK = (1 << RUN_BITS) - 1
 NO_ID = -(1 << 63)
@@ -85,23 +83,25 @@ def _joined(part: pa.RecordBatch, column: str = "text"):
 
 
 def _sub(raw: bytes) -> int:
-    return zlib.crc32(raw) & SUB_MASK
+    """The text's digest as Spark's xxhash64 gives it, signed."""
+    return (xxhash.xxh64_intdigest(raw, SUB_SEED) + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
-ANCHOR_SCHEMA = "key long, ctx long, doc long, at long, known boolean"
+ANCHOR_SCHEMA = "key long, ctx long, doc long, sub long, at long, known boolean"
 
 
 def _anchor_rows(length: int):
     names = [c.split()[0] for c in ANCHOR_SCHEMA.split(", ")]
 
     def emit(held):
-        key, ctx, doc, at = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((at, doc, ctx, key))
-        key, ctx, doc, at = key[order], ctx[order], doc[order], at[order]
+        key, ctx, doc, sub, at = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((at, sub, doc, ctx, key))
+        key, ctx, doc, sub, at = key[order], ctx[order], doc[order], sub[order], at[order]
         known = np.zeros(key.size, bool)  # a later place of a context met before in these rows needs no partner
-        known[1:] = (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1]) & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
-        key = np.where(known, at * 31 + doc * 1_000_003, key)  # dealt out anywhere, so no context gathers them
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, ctx, doc, at, known)], names)
+        other = (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (at[1:] != at[:-1])
+        known[1:] = (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1]) & other
+        key = np.where(known, at * 31 + doc * 1_000_003 + sub, key)  # dealt out anywhere, so no context gathers them
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, ctx, doc, sub, at, known)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -110,8 +110,8 @@ def _anchor_rows(length: int):
                 buffer, starts, ends, raw = _joined(part)
                 place, text, key, ctx = anchors(buffer, starts, ends, length)
                 ids = part.column("doc").to_numpy(zero_copy_only=False)
-                subs = np.array([_sub(x) for x in raw], np.int64) << AT_BITS
-                held.append((key, ctx, ids[text], subs[text] | (place - starts[text])))
+                subs = np.array([_sub(x) for x in raw], np.int64)
+                held.append((key, ctx, ids[text], subs[text], place - starts[text]))
                 n += place.size
                 if n >= ANCHOR_ROWS:
                     yield emit(held)
@@ -130,10 +130,10 @@ def _widths(length: int) -> list[int]:
     return out
 
 
-RUN_SCHEMA = "r long, r2 long, ctx long, doc long, at long, low int, high int, left int, bytes binary"
+RUN_SCHEMA = "r long, r2 long, ctx long, doc long, sub long, at long, low int, high int, left int, bytes binary"
 
 
-def _cut_runs(r, doc, at, low, high, left, raw: list[bytes], width: int, narrower: int, length: int) -> pa.RecordBatch:
+def _cut_runs(r, doc, sub, at, low, high, left, raw: list[bytes], width: int, narrower: int, length: int) -> pa.RecordBatch:
     """The runs of at most ``width`` starts, cut into runs of ``narrower``: their shared bytes and all bytes hashed.
 
     ``raw`` holds the bytes around each anchor, ``left`` of them before it; ``low`` and ``high`` are the distances of
@@ -154,13 +154,14 @@ def _cut_runs(r, doc, at, low, high, left, raw: list[bytes], width: int, narrowe
         core = grams.of(here - lo, here - hi + length) + lo.astype(np.uint64) * np.uint64(BASE)
         clip = ((first - lo) * (length + 1) + (hi - last)).astype(np.uint64)
         hull = grams.of(here - last, here - first + length) + clip
-        out.append((r[ok], core.view(np.int64), hull.view(np.int64), doc[ok], at[ok], lo, hi, last, ok))
+        out.append((r[ok], core.view(np.int64), hull.view(np.int64), doc[ok], sub[ok], at[ok], lo, hi, last, ok))
         spans = zip(ok.tolist(), (left[ok] - last).tolist(), (left[ok] - first + length).tolist(), strict=True)
         kept += [raw[i][a:b] for i, a, b in spans]
     columns = [np.concatenate(c) for c in zip(*out, strict=True)]
     bytes_ = pa.array(kept, pa.binary())
-    arrays = [pa.array(c, t) for c, t in zip(columns[:-1], [pa.int64()] * 5 + [pa.int32()] * 3, strict=True)]
-    return pa.RecordBatch.from_arrays([*arrays, bytes_], ["r", "r2", "ctx", "doc", "at", "low", "high", "left", "bytes"])
+    arrays = [pa.array(c, t) for c, t in zip(columns[:-1], [pa.int64()] * 6 + [pa.int32()] * 3, strict=True)]
+    names = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([*arrays, bytes_], names)
 
 
 def _first_runs(length: int):
@@ -170,15 +171,15 @@ def _first_runs(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for doc, packed, zones in zip(*(batch.column(c) for c in ("doc", "packed", "zones")), strict=True):
+            for doc, sub, packed, zones in zip(*(batch.column(c) for c in ("doc", "sub", "packed", "zones")), strict=True):
                 text = unpack.decompress(packed.as_py())
                 at = zones.values.field("at").to_numpy()
-                place = at & AT_MASK
-                left = np.minimum(length - gram, place)
-                raw = [text[p - k : p + length] for p, k in zip(place.tolist(), left.tolist(), strict=True)]
-                r, ids = zones.values.field("r").to_numpy(), np.full(at.size, doc.as_py(), np.int64)
+                left = np.minimum(length - gram, at)
+                raw = [text[p - k : p + length] for p, k in zip(at.tolist(), left.tolist(), strict=True)]
+                r = zones.values.field("r").to_numpy()
+                ids, subs = (np.full(at.size, x.as_py(), np.int64) for x in (doc, sub))
                 low, high = np.zeros(at.size, np.int64), np.full(at.size, widths[0] - 1)
-                yield _cut_runs(r, ids, at, low, high, left, raw, widths[0], widths[1], length)
+                yield _cut_runs(r, ids, subs, at, low, high, left, raw, widths[0], widths[1], length)
 
     return run
 
@@ -187,10 +188,10 @@ def _next_runs(width: int, narrower: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                r, doc, at = (batch.column(c).to_numpy() for c in ("r", "doc", "at"))
+                r, doc, sub, at = (batch.column(c).to_numpy() for c in ("r", "doc", "sub", "at"))
                 low, high, left = (batch.column(c).to_numpy().astype(np.int64) for c in ("low", "high", "left"))
                 raw = batch.column("bytes").to_pylist()
-                yield _cut_runs(r, doc, at, low, high, left, raw, width, narrower, length)
+                yield _cut_runs(r, doc, sub, at, low, high, left, raw, width, narrower, length)
 
     return run
 
@@ -202,22 +203,22 @@ def _reranked(runs: DataFrame, *more: str) -> DataFrame:
     share their pair with another. The rest is unique and goes. A position that comes twice is taken once.
     """
     pair = Window.partitionBy("r", "r2")
-    run = pair.orderBy("ctx", "doc", "at")
-    placed = runs.repartition("r", "r2").sortWithinPartitions("r", "r2", "ctx", "doc", "at")
+    run = pair.orderBy("ctx", "doc", "sub", "at")
+    placed = runs.repartition("r", "r2").sortWithinPartitions("r", "r2", "ctx", "doc", "sub", "at")
     placed = placed.withColumn("place", F.monotonically_increasing_id())
 
     def as_before(c):
         return F.lag(c).over(run).eqNullSafe(F.col(c))
 
     judged = placed.select(
-        "doc", "at", *more, F.first("place").over(run).alias("rank"), as_before("ctx").alias("again"),
-        (as_before("ctx") & as_before("doc") & as_before("at")).alias("itself"),
+        "doc", "sub", "at", *more, F.first("place").over(run).alias("rank"), as_before("ctx").alias("again"),
+        (as_before("ctx") & as_before("doc") & as_before("sub") & as_before("at")).alias("itself"),
         (F.min("ctx").over(pair) != F.max("ctx").over(pair)).alias("several"),
     )
     known = F.col("known") if "known" in more else F.lit(False)
     done = (F.col("again") | known).alias("done")
     left = judged.where(~F.col("itself") & (F.col("again") | known | F.col("several")))
-    return left.select("doc", "at", F.col("rank").alias("r"), done, *[c for c in more if c != "known"])
+    return left.select("doc", "sub", "at", F.col("rank").alias("r"), done, *[c for c in more if c != "known"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -249,14 +250,13 @@ def repeated_places(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame
     level = scratch.save(_reranked(found.withColumnRenamed("key", "r").withColumn("r2", F.lit(0)), "known"), "anchors")
     del found
     release(spark)
-    sub = F.shiftright("at", AT_BITS).alias("sub")
 
     def places(rows: DataFrame, low, high) -> DataFrame:
-        place = F.shiftleft(F.col("at").bitwiseAND(F.lit(AT_MASK)), 2 * RUN_BITS) + low * (1 << RUN_BITS) + high
-        return rows.where("done").select("doc", sub, place.alias("place"))
+        place = F.shiftleft("at", 2 * RUN_BITS) + low * (1 << RUN_BITS) + high
+        return rows.where("done").select("doc", "sub", place.alias("place"))
 
     covered = places(level, F.lit(0), F.lit(widths[0] - 1))
-    zones = level.where("NOT done").groupBy("doc", sub).agg(F.collect_list(F.struct("at", "r")).alias("zones"))
+    zones = level.where("NOT done").groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "r")).alias("zones"))
     runs = _packed(docs).join(zones, ["doc", "sub"]).mapInArrow(_first_runs(length), RUN_SCHEMA)
     for i, width in enumerate(widths[1:], 1):
         level = scratch.save(_reranked(runs, "low", "high", "left", "bytes"), f"round-{i}")
@@ -289,7 +289,7 @@ def removal_digests(docs: DataFrame, length: int = 100) -> DataFrame:
 
     Texts are UTF-8 bytes, a null text is empty. A byte goes if a string of ``length`` bytes over it also starts
     earlier: in a smaller ``doc_id``, or before in the same text. Strings are judged on the input. A null ``doc_id``
-    comes before all others. Rows that share a ``doc_id`` are separate texts, in the order of their checksums; rows the
+    comes before all others. Rows that share a ``doc_id`` are separate texts, in the order of their digests; rows the
     same in both are copies of one of them. Texts shorter than ``length`` lose nothing. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
@@ -346,7 +346,7 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         return pd.Series([one(t, p, c) for t, p, c in zip(text, places, copy, strict=True)], dtype=object)
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    sub = F.crc32(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(SUB_MASK))
+    sub = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(F.struct("*").alias("row"), key.alias("doc"), sub.alias("sub")).withColumn("copy", _copies())
     joined = rows.join(places, ["doc", "sub"], "left")
     return joined.select("row", kept("row.text", "places", "copy").alias("kept")).select(

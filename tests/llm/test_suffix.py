@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -72,3 +73,20 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert sorted(got, key=repr) == sorted([(None, 280, own), (4, 280, 280), (4, 280, 280), (4, 5, 0)], key=repr)
     assert suffix.removal_digests(spark.createDataFrame([], SCHEMA)).count() == 0
     assert suffix.without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_texts_of_one_id_are_told_apart_by_their_whole_digest(spark):
+    rng, seen = random.Random(4), {}
+    while True:
+        text = "".join(rng.choices("abcdefgh é", k=150))
+        bits = zlib.crc32(text.encode()) & (1 << 23) - 1
+        if seen.setdefault(bits, text) != text:
+            break
+    rows = [(i, t, "en", "s", 1) for i in (None, 3) for t in (seen[bits], text)]
+    docs = spark.createDataFrame([rows[0], rows[1]], SCHEMA)
+    assert [r.n_removed for r in suffix.removal_digests(docs).collect()] == [0, 0]
+    assert records(suffix.without_repeats(docs), "text") == records(docs, "text")
+    both = suffix.removal_digests(spark.createDataFrame(rows + rows[1:2], SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.n_removed == r.n_bytes) for r in both) == [(0, False), (0, False), (0, True), (3, True), (3, True)]
+    spark_side = docs.selectExpr("text", "xxhash64(text) AS h").collect()
+    assert all(r.h == suffix._sub(r.text.encode()) for r in spark_side)
