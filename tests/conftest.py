@@ -1,14 +1,11 @@
 import os
 import sys
-from datetime import datetime
 
 import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-AS_OF = datetime(2024, 1, 31)
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -25,13 +22,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df, *order):
-    """All rows as plain tuples, sorted."""
-    return sorted((tuple(r) for r in (df.select(*order) if order else df).collect()), key=repr)
-
-
-def plan_of(df) -> str:
-    """Text of the executed plan, final where the query has run."""
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import catalog
 
-from conftest import rows
+from support import rows
 
 SCHEMA = "id bigint, main_image string, status string, primary_category_id int, secondary_category_id int"
 

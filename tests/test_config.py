@@ -4,7 +4,7 @@ import pytest
 
 from shelfwise.config import DEFAULT_WEIGHTS, INTERACTION_PRIORITY, RunConfig, Thresholds
 
-from conftest import AS_OF
+from support import AS_OF
 
 
 def test_missing_thresholds_keep_their_defaults():

@@ -12,7 +12,7 @@ from shelfwise.operators.indexing import item_index, user_index
 from shelfwise.operators.ranking import top_n_unseen
 from shelfwise.operators.ratings import to_ratings
 
-from conftest import rows
+from support import rows
 
 CFG = RunConfig(rank=4, max_iter=5, reg_param=0.1)
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import columns, vectors
 
-from conftest import rows
+from support import rows
 
 
 def test_to_id_drops_what_is_not_a_whole_number(spark):

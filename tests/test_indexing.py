@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from shelfwise import session
 from shelfwise.operators import indexing
 
-from conftest import plan_of, rows
+from support import plan_of, rows
 
 SCHEMA = "member_id bigint, product_id bigint, interaction_type string"
 

@@ -8,7 +8,7 @@ from shelfwise.config import Thresholds
 from shelfwise.operators import interactions
 from shelfwise.sources.tables import BehaviourLogs
 
-from conftest import AS_OF, plan_of, rows
+from support import AS_OF, plan_of, rows
 
 T = datetime(2024, 1, 25)
 TIERS = Thresholds(view=(1, 4, 7), impression=(1, 4, 7))

@@ -5,7 +5,7 @@ import pytest
 from shelfwise.operators.indexing import item_index, user_index
 from shelfwise.operators.ranking import top_n_unseen
 
-from conftest import rows
+from support import rows
 
 SEEN = "user_idx int, item_idx int"
 

@@ -10,7 +10,7 @@ from shelfwise.operators import ratings as ratings_module
 from shelfwise.operators.indexing import item_index, user_index
 from shelfwise.operators.ratings import split_or_all, split_ratings, to_ratings
 
-from conftest import plan_of, rows
+from support import plan_of, rows
 
 INTERACTIONS = "member_id bigint, product_id bigint, interaction_type string"
 RATINGS = "user_idx int, item_idx int, interaction_type string, rating double"

@@ -9,7 +9,7 @@ from shelfwise.plans import recommend
 from shelfwise.session import materialize, shared_root
 from shelfwise.sources import testdata
 
-from conftest import plan_of, rows
+from support import plan_of, rows
 
 SMALL = "/root/testdata/sf0.001"
 CFG = RunConfig(interaction_thresholds=testdata.LOW_TIERS, split_test_data=True, test_ratio=0.1, top_n=10, rank=5)

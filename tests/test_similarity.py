@@ -2,7 +2,7 @@ import pytest
 
 from shelfwise.operators import similarity
 
-from conftest import rows
+from support import rows
 
 SCHEMA = (
     "id bigint, status string, primary_category_id int, secondary_category_id int, image_vector array<float>"

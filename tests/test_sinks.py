@@ -5,7 +5,7 @@ import pytest
 from shelfwise.operators import sinks
 from shelfwise.sources.tables import jdbc_read_options, read_table
 
-from conftest import AS_OF, rows
+from support import AS_OF, rows
 
 RECS = "member_id bigint, product_id bigint, rank int"
 

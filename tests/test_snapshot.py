@@ -1,7 +1,7 @@
 from shelfwise.config import RunConfig, Thresholds
 from shelfwise.sources.snapshot import is_complete, read_through, snapshot_path
 
-from conftest import AS_OF, rows
+from support import AS_OF, rows
 
 SCHEMA = "member_id bigint, product_id bigint, interaction_type string"
 

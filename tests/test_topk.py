@@ -8,7 +8,7 @@ from shelfwise import session
 from shelfwise.operators import topk
 from shelfwise.operators.topk import block_top_k, nearest_to
 
-from conftest import plan_of
+from support import plan_of
 
 GROUPED = "g1 int, g2 int, id bigint, label bigint, vector array<float>"
 PLAIN = "id bigint, label bigint, vector array<float>"

@@ -4,7 +4,7 @@ from shelfwise.operators.upsert import (
     last_updates, read_embeddings, upsert_embeddings, upsert_stored, write_embeddings,
 )
 
-from conftest import plan_of, rows
+from support import plan_of, rows
 
 SCHEMA = (
     "id bigint, status string, primary_category_id int, secondary_category_id int, image_vector array<float>"
