@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import language_id, language_model, licenses, line_rules, mixing, neighbours, packing, simhash, suffix, toxicity
+from shelfwise.llm import (
+    infill,
+    language_id,
+    language_model,
+    licenses,
+    line_rules,
+    mixing,
+    neighbours,
+    packing,
+    simhash,
+    suffix,
+    toxicity,
+)
 from shelfwise.llm.common import table
 
 
@@ -66,9 +78,19 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.self_search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and rotated for filling in its middle, and restored, as digests."""
+    return infill.infill_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": licenses.oracle(), "op4_quality_rules": line_rules.ORACLE, "op5_source_mixing": mixing.ORACLE}
+    return {
+        "op3_license_scan": licenses.oracle(),
+        "op4_quality_rules": line_rules.ORACLE,
+        "op5_source_mixing": mixing.ORACLE,
+        "op11_fill_in_middle": infill.ORACLE,
+    }
