@@ -18,6 +18,7 @@ from shelfwise.llm import (
     simhash,
     suffix,
     toxicity,
+    whitening,
 )
 from shelfwise.llm.common import table
 
@@ -83,6 +84,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.infill_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the eight strongest components, at unit variance."""
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
