@@ -15,6 +15,7 @@ from shelfwise.llm import (
     mixing,
     neighbours,
     packing,
+    personal_data,
     simhash,
     suffix,
     toxicity,
@@ -84,6 +85,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.infill_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: what fixed patterns find, and what the model adds."""
+    return personal_data.span_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding on the eight strongest components, at unit variance."""
     return whitening.whitened_components(table(spark, sf_dir, "embeddings"))

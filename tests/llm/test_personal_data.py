@@ -1,0 +1,204 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from helpers import SCHEMA, clashing, documents
+
+from shelfwise.llm import personal_data as pd
+
+KINDS = ["email", "ip", "card", "phone"]
+# The patterns as they are stated, on strings and without any shortcut.
+STATED = [
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]",
+]
+
+
+def plain_luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + i % 2)
+        total += d // 10 + d % 10
+    return total % 10 == 0
+
+
+def plain_rules(text):
+    found = []
+    for kind, pattern in enumerate(STATED):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == 1 and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == 2 and not (12 <= len(digits) <= 19 and plain_luhn(digits)):
+                continue
+            if kind == 3 and not 9 <= len(digits) <= 15:
+                continue
+            found.append((m.start(), kind, m.end()))
+    return sorted(found)
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    return pd.train(pd.labelled_examples(spark))
+
+
+def random_texts(count, seed):
+    rng = random.Random(seed)
+    parts = ["a", "é", "日", "🙂", "0", "1", "7", "25", "255", "256", "4111", "1111", "4111111111111111", ".", "..", "@", "-", " ", "  ",
+             "\n", "+", "(", ")", "%", "mail", "example.com", "x.y@z.w", "10.0.0.1", "+1 (017) 555-7713", ",", "at", "dot", "com"]
+    return ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(count)]
+
+
+def test_rules_equal_the_stated_patterns():
+    for text in random_texts(6000, 1):
+        got = pd.rule_spans(text.encode())
+        chars = lambda b, raw=text.encode(): len(raw[:b].decode())
+        assert [(chars(a), k, chars(b)) for a, k, b in got] == plain_rules(text), text
+
+
+def test_long_runs_take_linear_time():
+    for unit in (b"1", b"a", b"1.", b"+1", b"@", b"a@", b"1 ", b"+1-", b"a.", b"(", b"\xc3\xa9"):
+        pd.rule_spans(unit * 300_000)
+
+
+def plain_viterbi(scores, step, first, last):
+    best, back = scores[0] + first, []
+    for row in scores[1:]:
+        reached = best[:, None] + step
+        back.append(reached.argmax(axis=0))
+        best = reached.max(axis=0) + row
+    best = best + last
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1], float(best.max())
+
+
+def path_score(path, scores, step, first, last):
+    own = sum(scores[i][s] for i, s in enumerate(path)) + first[path[0]] + last[path[-1]]
+    return own + sum(step[a][b] for a, b in zip(path, path[1:], strict=False))
+
+
+@pytest.mark.parametrize("spread", [0.3, 1.0, 3.0])
+def test_decoding_in_stretches_equals_viterbi_over_whole_texts(spread):
+    rng = np.random.default_rng(int(spread * 10))
+    for _ in range(60):
+        sizes = rng.integers(1, 40, 12)
+        n = int(sizes.sum())
+        scores = rng.normal(0, spread, (n, pd.STATES))
+        scores[:, 0] += rng.choice([0.0, 2.0, 6.0, 12.0], n)
+        f = pd.Field({}, *[np.zeros((0, pd.STATES))] * 3, np.zeros((2, pd.STATES)), rng.normal(0, 1.5, (pd.STATES,) * 2),
+                     rng.normal(0, 1, pd.STATES), rng.normal(0, 1, pd.STATES))
+        text = np.repeat(np.arange(12), sizes)
+        units = pd.Units(np.arange(n), np.arange(n) + 1, text, np.zeros(n, int), np.zeros(n, int))
+        got, at = pd.decode(f, units, scores), 0
+        for size in sizes:
+            mine = scores[at : at + size]
+            path, best = plain_viterbi(mine, f.step, f.first, f.last)
+            mine_path = got[at : at + size].tolist()
+            assert mine_path == path or abs(path_score(mine_path, mine, f.step, f.first, f.last) - best) < 1e-9
+            at += size
+
+
+def test_slopes_equal_differences():
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 4, 4]
+    n = sum(sizes)
+    units = pd.Units(np.arange(n), np.arange(n), np.repeat(np.arange(4), sizes), np.zeros(n, int), np.zeros(n, int))
+    gold = rng.integers(0, pd.STATES, n)
+    parts = {"scores": rng.normal(0, 1, (n, pd.STATES)), "step": rng.normal(0, 1, (pd.STATES,) * 2),
+             "first": rng.normal(0, 1, pd.STATES), "last": rng.normal(0, 1, pd.STATES)}
+
+    def value():
+        f = pd.Field({}, *[np.zeros((0, pd.STATES))] * 3, np.zeros((2, pd.STATES)), parts["step"], parts["first"], parts["last"])
+        return pd.likelihood(f, units, gold, parts["scores"])
+
+    _, *slopes = value()
+    for name, slope in zip(parts, slopes, strict=True):
+        for at in rng.integers(0, parts[name].size, 12):
+            place = np.unravel_index(at, parts[name].shape)
+            old = parts[name][place]
+            parts[name][place] = old + 1e-5
+            up = value()[0]
+            parts[name][place] = old - 1e-5
+            down = value()[0]
+            parts[name][place] = old
+            assert abs((up - down) / 2e-5 - slope[place]) < 1e-5
+
+
+def test_finds_what_the_patterns_miss_on_lines_never_seen(spark, field):
+    """Accuracy on newly drawn lines: spans beyond the patterns' are found, and hardly any other text is."""
+    drawn = pd.labelled_examples(spark, copies=30, seed=99).collect()
+    finder = pd.Finder(field)
+    found = finder.spans([r.text.encode() for r in drawn])
+    missed = hit = wrong = clean = 0
+    for r, spans in zip(drawn, found, strict=True):
+        text = [(a, KINDS[k], b) for a, k, b, _ in spans]
+        want = [(s.start, s.kind, s.end) for s in r.spans]
+        rules = plain_rules(r.text)
+        hit += sum(w in text for w in want)
+        missed += sum(w not in text for w in want)
+        wrong += sum(by == pd.MODEL and not any(w[1] == KINDS[k] and w[0] < b and a < w[2] for w in want) for a, k, b, by in spans)
+        clean += not want and not rules and not spans
+    nothing = sum(not r.spans and not plain_rules(r.text) for r in drawn)
+    assert hit / (hit + missed) > 0.93
+    assert wrong <= 0.01 * hit
+    assert clean >= 0.99 * nothing
+
+
+CASES = [
+    ("an +1 (826) 555-4081 190.137.223.204 st", ["phone", "ip"], ["+1 (826) 555-4081", "190.137.223.204"]),
+    ("en 4845168114407329 4929348385146306 re", ["card", "card"], ["4845168114407329", "4929348385146306"]),
+    ("call (017) 555-7713 le", ["phone"], ["(017) 555-7713"]),
+    ("write to die.55 (at) mail4 (dot) com. Un", ["email"], ["die.55 (at) mail4 (dot) com"]),
+    ("an 9807915762804490 re", [], []),
+    ("re at an. Un at le, hé at that.", [], []),
+    ("in 1999 we saw 12.5 % of 300-400", [], []),
+]
+
+
+def test_known_cases(field):
+    finder = pd.Finder(field)
+    for (text, kinds, spans), found in zip(CASES, finder.spans([c[0].encode() for c in CASES]), strict=True):
+        assert [KINDS[k] for _, k, _, _ in found] == kinds, text
+        assert [text[a:b] for a, _, b, _ in found] == spans
+
+
+def test_rows_come_out_whole_with_rules_kept(spark, field):
+    texts = [*random_texts(300, 5), None, "", "\n", "🙂 x.y@z.w " * 20_000, "same 10.0.0.1", "same 10.0.0.1", *[c[0] for c in CASES]]
+    docs = clashing(documents(spark, texts), "spans", "start", "kind", "n_email")
+    got = {r.doc_id: r for r in pd.find(docs, field).collect()}
+    assert len(got) == len(texts)
+    alone = pd.Finder(field)
+    for i, t in enumerate(texts, 1):
+        spans = [(s.start, KINDS.index(s.kind), s.end, s.found_by) for s in got[i].spans]
+        assert [s[:3] for s in spans if s[3] == pd.RULE] == plain_rules(t or "")
+        assert spans == sorted(spans)
+        assert spans == alone.spans([(t or "").encode()])[0]  # whatever texts stand beside it
+
+
+def test_masked_texts(spark, field):
+    docs = documents(spark, [c[0] for c in CASES] + [None, "é 🙂 x.y@z.w and 10.0.0.1é"])
+    got = {r.doc_id: r.text for r in pd.masked(pd.find(docs, field)).collect()}
+    assert got[1] == "an <phone> <ip> st" and got[2] == "en <card> <card> re" and got[5] == CASES[4][0]
+    assert got[len(CASES) + 1] == "" and got[len(CASES) + 2] == "é 🙂 <email> and <ip>é"
+
+
+def test_digests_null_ids_and_empty_tables(spark):
+    rows = [(None, "x.y@z.w +1 (017) 555-7713", None, None, None)] * 2 + [(5, None, None, None, None)]
+    got = sorted(pd.span_digests(spark.createDataFrame(rows, SCHEMA)).collect(), key=repr)
+    base = "email:0:7,phone:8:25"
+    for r in got:
+        want = base if r.doc_id is None else ""
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.n_added) == ((1, 0, 0, 1, 0) if want else (0, 0, 0, 0, 0))
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.spans == want
+    assert len(got) == 3
+    assert pd.span_digests(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_without_labelled_rows_only_the_patterns_find(spark):
+    field = pd.train(spark.createDataFrame([], pd.LABELLED))
+    found = pd.Finder(field).spans([b"x.y@z.w call (017) 555-7713"])[0]
+    assert found == [(0, 0, 7, pd.RULE)]

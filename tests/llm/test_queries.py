@@ -19,6 +19,7 @@ COLUMNS = {
     9: "doc_id held_out lang_pred score",
     10: "query_id rank vec_id score",
     11: "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    12: "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     13: "vec_id component n deviation whitened explained identity_error",
 }
 
