@@ -22,27 +22,33 @@ from shelfwise.session import lookup_join, materialize, parallelism
 for _module in (scoring, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(_module)
 
-# Bounds of one cell (a block of queries against a run of candidates).
+# Bounds of one cell: a slice of the queries, taken block by block past a run of candidates that stays in memory.
 _MAX_QUERIES = 32_768
 _MIN_QUERIES = 256
 _MAX_STATE_BYTES = 64 << 20
-_MAX_CELL_BYTES = 256 << 20
+_MAX_CELL_BYTES = 192 << 20
 _MIN_CELL_PAIRS = 1 << 20
+# A task of more pairs is cut, so that a lost executor costs minutes; only beyond it do slices follow the queries.
+_MAX_CELL_PAIRS = 1 << 40
 _CELLS_PER_CORE = 3
 _PARTITION_BYTES = 128 << 20
 # Vectors that travel in one row.
 _PACK_ROWS = 1024
 _PACK_BYTES = 1 << 20
-# Candidates held in memory at a time within a cell.
+# Tasks whose best rows one task merges; of more tasks, groups are merged first.
+_MERGED_AT_ONCE = 64
+# Candidates scored at a time within a cell.
 _BLOCK = 4 * TILE
 
-_GRID = ["q_blocks", "v_blocks", "subs"]
+_GRID = ["slices", "blocks", "v_blocks", "subs"]
 _RESULT = "qid bigint, qlabel bigint, cid bigint, clabel bigint, score double, rank int"
-# Kinds of rows in the order a task needs them within a sub-block; queries come before all sub-blocks.
+# Kinds of rows. A task needs all candidates first, by sub-block, then every block of queries: the queries, before
+# all sub-blocks, and their hidden pairs by sub-block.
 _QUERY, _CANDIDATE, _HIDDEN = 0, 1, 2
 _KINDS = 3
 _PAYLOAD = ["step", "owner", "ids", "labels", "vectors"]
 _BEFORE_ALL = -1
+_BLOCK_BITS = 24  # places of a step below its query block
 
 
 def block_top_k(
@@ -63,10 +69,11 @@ def block_top_k(
     descending, rows without a vector last, then candidate id. Ids must be unique. ``shape`` is the
     number of queries, of candidates and of vector elements, if known; it only decides the blocks.
 
-    Queries and candidates are hashed into blocks, and a cell is one query block against one run of
-    candidates. Its task streams the candidates past the block and keeps k rows per query, so no pair is
-    ever written out, and memory is bounded by the block, whatever the size of a group. Large groups
-    are cut into many cells; a group's number of cells follows its work.
+    Candidates are packed, written once and hashed into runs that fit a task's memory, queries into slices. A cell is one
+    slice against one run: its task reads the run and streams the slice past it in blocks, keeping k rows per query of
+    a block, so no pair is ever written out and memory is bounded by run and block, whatever the size of a group. A run
+    is read once per slice and a query sent once per run; the number of slices follows the cores, not the queries,
+    until a cell would hold ``_MAX_CELL_PAIRS``. Large groups are cut into many cells by their work.
 
     Result: ``(qid, qlabel, cid, clabel, score, rank)``; ``score`` is NULL where a vector is missing.
     """
@@ -89,7 +96,7 @@ def block_top_k(
         n_parts = min(_CELLS_PER_CORE * parallelism(spark), totals["cells"])
         n_parts = max(n_parts, math.ceil(totals["bytes"] / _PARTITION_BYTES))
         n_runs = totals["v_blocks"]
-        q, c = q.withColumn("qb", _query_block()), c.withColumns(_candidate_slot("id")).withColumn("sub", F.lit(0))
+        q, c = q.withColumns(_query_slot()), c.withColumns(_candidate_slot("id")).withColumn("sub", F.lit(0))
     else:
         if not nq or not nv:
             return spark.createDataFrame([], _RESULT)
@@ -97,31 +104,35 @@ def block_top_k(
         grid = dict(zip(_GRID, limits.grid(nq, nv, math.ceil, max, min)))
         grid_columns = {name: F.lit(n) for name, n in grid.items()}
         q, c = queries.withColumns(grid_columns), candidates.withColumns(grid_columns)
-        q, c = q.withColumn("qb", _query_block()), c.withColumns(_candidate_slot("id"))
-        n_parts = grid["q_blocks"] * grid["v_blocks"]
+        q, c = q.withColumns(_query_slot()), c.withColumns(_candidate_slot("id"))
+        n_parts = grid["slices"] * grid["v_blocks"]
         n_runs = grid["v_blocks"]
 
     keys = ["g1", "g2", "cell"] if grouped else ["cell"]
     if grouped:
         q, c = (_singles(df) for df in (q, c))
-        if totals["q_blocks"] > 1:
-            # Spread the rows of cut groups before they are copied to their query blocks.
+        if totals["slices"] > 1:
+            # Spread the rows of cut groups before they are copied to their slices.
             c = c.repartition(n_parts, "id")
     else:
-        q = _packs(q, ["qb"], max(nq // grid["q_blocks"], 1), grid["q_blocks"], dim, grid_columns)
-        c = _packs(c, ["vb", "sub"], _BLOCK, grid["v_blocks"] * grid["subs"], dim, grid_columns)
-    every_q_block = F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))
+        q_slots = grid["slices"] * grid["blocks"]
+        q = _packs(q, ["slice", "block"], max(nq // q_slots, 1), q_slots, dim)
+        c = _packs(c, ["vb", "sub"], _BLOCK, grid["v_blocks"] * grid["subs"], dim)
+        if grid["slices"] > 1:
+            c = materialize(c, "candidate-packs")
+        q, c = (df.withColumns(grid_columns).withColumns(_payload(F.col("rows"))) for df in (q, c))
+    every_slice = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     every_run = F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1))
     placed = [
         q.withColumns({"vb": every_run, "sub": F.lit(_BEFORE_ALL), "kind": F.lit(_QUERY)}),
-        c.withColumns({"qb": every_q_block, "kind": F.lit(_CANDIDATE)}),
+        c.withColumns({"slice": every_slice, "block": F.lit(_BEFORE_ALL), "kind": F.lit(_CANDIDATE)}),
     ]
     if hidden is not None:
         placed.append(_hidden_sets(hidden, grid_columns).withColumn("kind", F.lit(_HIDDEN)))
 
-    cell = F.col("qb") * F.col("v_blocks") + F.col("vb")
+    cell = F.col("slice") * F.col("v_blocks") + F.col("vb")
     part = F.pmod(F.xxhash64("g1", "g2") + cell, F.lit(n_parts)) if grouped else cell
-    step = F.col("sub").cast("bigint") * _KINDS + F.col("kind")
+    step = F.shiftleft(F.col("block").cast("bigint") + 1, _BLOCK_BITS) + (F.col("sub") + 1) * _KINDS + F.col("kind")
     names = {"part": part.cast("int"), "cell": cell.cast("bigint"), "step": step}
     columns = [*keys, *_PAYLOAD]
     placed = [df.withColumns(names).select("part", *columns) for df in placed]
@@ -172,12 +183,12 @@ class _Limits:
         )
 
     def grid(self, nq, nv, ceil, largest, smallest):
-        """``(query blocks, candidate runs, sub-blocks per run)`` of a group, on numbers or on columns."""
-        by_work = smallest(ceil(nq * nv / self.pairs), ceil(nq / _MIN_QUERIES))
-        q_blocks = largest(ceil(nq / self.queries), by_work)
-        by_work = smallest(ceil(nq * nv / q_blocks / self.pairs), ceil(nv / _BLOCK))
+        """``(slices, query blocks per slice, candidate runs, sub-blocks per run)`` of a group, on numbers or columns."""
+        slices = smallest(ceil(nq * nv / self.pairs), ceil(nq / _MIN_QUERIES))
+        by_work = smallest(ceil(nq * nv / slices / self.pairs), ceil(nv / _BLOCK))
         v_blocks = largest(ceil(nv / self.run), by_work)
-        return q_blocks, v_blocks, ceil(nv / v_blocks / _BLOCK)
+        slices = largest(slices, ceil(nq * nv / v_blocks / _MAX_CELL_PAIRS))
+        return slices, ceil(nq / slices / self.queries), v_blocks, ceil(nv / v_blocks / _BLOCK)
 
 
 def _plan_groups(queries: DataFrame, candidates: DataFrame, dim: int, k: int) -> tuple[DataFrame, Row]:
@@ -190,13 +201,13 @@ def _plan_groups(queries: DataFrame, candidates: DataFrame, dim: int, k: int) ->
     limits = _Limits.of(queries.sparkSession, pairs, dim, k)
     grid = limits.grid(nq, nv, F.ceil, F.greatest, F.least)
     groups = counts.withColumns({name: n.cast("int") for name, n in zip(_GRID, grid)})
-    copies = F.col("nq") * F.col("v_blocks") + F.col("nv") * F.col("q_blocks")
+    copies = F.col("nq") * F.col("v_blocks") + F.col("nv") * F.col("slices")
     totals = groups.agg(
         F.count(F.lit(1)).alias("n_groups"),
         F.sum("nq").alias("nq"),
         F.sum("nv").alias("nv"),
-        F.sum(F.col("q_blocks") * F.col("v_blocks")).alias("cells"),
-        F.max("q_blocks").alias("q_blocks"),
+        F.sum(F.col("slices") * F.col("v_blocks")).alias("cells"),
+        F.max("slices").alias("slices"),
         F.max("v_blocks").alias("v_blocks"),
         F.sum(copies * (4 * dim + 64)).alias("bytes"),
     )
@@ -207,8 +218,10 @@ def _block(key: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(key), blocks).cast("int")
 
 
-def _query_block() -> Column:
-    return _block("id", F.col("q_blocks"))
+def _query_slot() -> dict[str, Column]:
+    """Slice of a query and its block within the slice."""
+    slot = _block("id", F.col("slices") * F.col("blocks"))
+    return {"slice": F.pmod(slot, F.col("slices")), "block": F.floor(slot / F.col("slices")).cast("int")}
 
 
 def _candidate_slot(key: str) -> dict[str, Column]:
@@ -231,7 +244,7 @@ def _singles(df: DataFrame) -> DataFrame:
     return df.withColumns(_payload(F.array(F.struct("id", "label", "vector"))))
 
 
-def _packs(df: DataFrame, slot: list[str], slot_rows: int, slots: int, dim: int, grid: dict[str, Column]) -> DataFrame:
+def _packs(df: DataFrame, slot: list[str], slot_rows: int, slots: int, dim: int) -> DataFrame:
     """Rows of a slot gathered into packs of bounded size, which are cheap to copy to many cells.
 
     The number of partitions is set by hand: packs are small, but each is copied many times later.
@@ -240,13 +253,8 @@ def _packs(df: DataFrame, slot: list[str], slot_rows: int, slots: int, dim: int,
     per_slot = math.ceil(slot_rows / pack_rows)
     pack = F.pmod(F.xxhash64("id", F.lit("pack")), F.lit(per_slot))
     n_parts = min(slots * per_slot, parallelism(df.sparkSession))
-    packed = (
-        df.withColumn("pack", pack)
-        .repartition(n_parts, *slot, "pack")
-        .groupBy(*slot, "pack")
-        .agg(F.collect_list(F.struct("id", "label", "vector")).alias("rows"))
-    )
-    return packed.withColumns(grid).withColumns(_payload(F.col("rows")))
+    packed = df.withColumn("pack", pack).repartition(n_parts, *slot, "pack").groupBy(*slot, "pack")
+    return packed.agg(F.collect_list(F.struct("id", "label", "vector")).alias("rows"))
 
 
 def _hidden_sets(hidden: DataFrame, grid: dict[str, Column]) -> DataFrame:
@@ -256,7 +264,7 @@ def _hidden_sets(hidden: DataFrame, grid: dict[str, Column]) -> DataFrame:
     sets = pairs.groupBy("id", "vb", "sub").agg(F.collect_set("cid").alias("ids")).withColumns(grid)
     return sets.withColumns(
         {
-            "qb": _query_block(),
+            **_query_slot(),
             "owner": F.col("id"),
             "labels": F.lit(None).cast("array<bigint>"),
             "vectors": F.lit(None).cast("array<array<float>>"),
@@ -265,18 +273,21 @@ def _hidden_sets(hidden: DataFrame, grid: dict[str, Column]) -> DataFrame:
 
 
 def _score_cells(k: int, has_hidden: bool, keep_hidden: bool, skip_self: bool):
-    """Task function over rows sorted by cell, then queries, then candidates with their hidden pairs."""
+    """Task function over rows sorted by cell, then candidates, then query blocks with their hidden pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell = None
-        for key, kind, sub, ids, labels, vectors in _runs(batches):
+        cell = scorer = None
+        for key, block, kind, sub, ids, labels, vectors in _runs(batches):
             if key != cell:
-                if cell is not None:
-                    yield from cell_scorer.finish()
-                cell, cell_scorer = key, _CellScorer(k, has_hidden, keep_hidden, skip_self)
-            cell_scorer.add(kind, sub, ids, labels, vectors)
-        if cell is not None:
-            yield from cell_scorer.finish()
+                if scorer is not None:
+                    yield from scorer.finish()
+                cell, scorer = key, _CellScorer(k, has_hidden, keep_hidden, skip_self)
+            if block != scorer.block:
+                yield from scorer.finish()
+                scorer.block = block
+            scorer.add(kind, sub, ids, labels, vectors)
+        if scorer is not None:
+            yield from scorer.finish()
 
     return run
 
@@ -291,55 +302,72 @@ def _runs(batches: Iterator[pa.RecordBatch]):
         cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
             *cell, step = (int(x) for x in keys[:, start])
-            sub, kind = divmod(step, _KINDS)
+            block, rest = divmod(step, 1 << _BLOCK_BITS)
+            sub, kind = divmod(rest, _KINDS)
+            at = block - 1, kind, sub - 1
             owner, ids, labels, vectors = (batch.column(n_keys + i).slice(start, stop - start) for i in range(4))
             unfolded = ids.flatten().to_numpy(zero_copy_only=False)
             if kind == _HIDDEN:
                 sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
-                yield cell, kind, sub, np.repeat(owner.to_numpy(zero_copy_only=False), sizes), unfolded, None
+                yield cell, *at, np.repeat(owner.to_numpy(zero_copy_only=False), sizes), unfolded, None
             else:
-                yield cell, kind, sub, unfolded, labels.flatten().to_numpy(zero_copy_only=False), vectors.flatten()
+                yield cell, *at, unfolded, labels.flatten().to_numpy(zero_copy_only=False), vectors.flatten()
 
 
 class _CellScorer:
-    """Gathers the queries of one cell, then pushes its candidates block by block."""
+    """Keeps the candidates of one cell, then scores its queries block by block against them."""
 
     def __init__(self, k: int, has_hidden: bool, keep_hidden: bool, skip_self: bool):
         self.k, self.has_hidden, self.keep_hidden, self.skip_self = k, has_hidden, keep_hidden, skip_self
-        self.queries, self.block, self.pairs = [], [], []
-        self.top, self.sub, self.held = None, None, 0
+        self.kept, self.pieces, self.piece_sub, self.held = [], [], None, 0
+        self.block = _BEFORE_ALL
+        self._clear()
+
+    def _clear(self):
+        self.queries, self.pairs, self.sub, self.next, self.top = [], [], None, 0, None
 
     def add(self, kind, sub, ids, labels, vectors):
-        if kind == _QUERY:
-            self.queries.append((ids, labels, vectors))
-            return
-        full = self.held >= _BLOCK and not self.has_hidden
-        if sub != self.sub or full:
-            self.flush()
-            self.sub = sub
         if kind == _CANDIDATE:
-            self.block.append((ids, labels, vectors))
+            full = self.held >= _BLOCK and not self.has_hidden
+            if self.pieces and (sub != self.piece_sub or full):
+                self._keep()
+            self.pieces.append((ids, labels, vectors))
+            self.piece_sub = sub
             self.held += len(ids)
+        elif kind == _QUERY:
+            self.queries.append((ids, labels, vectors))
         else:
+            if sub != self.sub:
+                self._push_before(sub)
+                self.sub = sub
             self.pairs.append((ids, labels))
 
-    def flush(self):
-        if self.block and self.queries:
-            if self.top is None:
-                qid, qlabel, q, q_missing = _stack(self.queries)
-                by_id = np.argsort(qid, kind="stable")
-                self.qid, self.qlabel = qid[by_id], qlabel[by_id]
-                self.top = RunningTopK(q[by_id], q_missing[by_id], self.k)
-            cid, label, v, missing = _stack(self.block)
+    def _keep(self):
+        if self.pieces:
+            self.kept.append((self.piece_sub, *_stack(self.pieces)))
+            self.pieces, self.held = [], 0
+
+    def _push_before(self, sub):
+        """Offer the candidates of all sub-blocks before ``sub``, with the pairs gathered for their own one."""
+        self._keep()
+        if self.queries and self.kept and self.top is None:
+            qid, qlabel, q, q_missing = _stack(self.queries)
+            by_id = np.argsort(qid, kind="stable")
+            self.qid, self.qlabel = qid[by_id], qlabel[by_id]
+            self.top = RunningTopK(q[by_id], q_missing[by_id], self.k)
+        while self.top is not None and self.next < len(self.kept) and (sub is None or self.kept[self.next][0] < sub):
+            its_sub, cid, label, v, missing = self.kept[self.next]
             v = _fit(v, missing, self.top.q.shape[1])
-            self.top.push(cid, label, v, missing, *self._hidden(cid), self.keep_hidden)
-        self.block, self.pairs, self.held = [], [], 0
+            hidden = self._hidden(cid, its_sub)
+            self.top.push(cid, label, v, missing, *hidden, self.keep_hidden)
+            self.next += 1
+        self.pairs = []
 
-    def _hidden(self, cid):
+    def _hidden(self, cid, sub):
         if self.skip_self:
             own = np.flatnonzero(np.isin(self.qid, cid))
             return own, self.qid[own]
-        if not self.pairs:
+        if not self.pairs or sub != self.sub:
             return None, None
         qid = np.concatenate([p[0] for p in self.pairs])
         hidden = np.concatenate([p[1] for p in self.pairs])
@@ -349,9 +377,11 @@ class _CellScorer:
         return at[known], hidden[known]
 
     def finish(self) -> Iterator[pa.RecordBatch]:
-        self.flush()
+        """The results of the block of queries gathered last."""
+        self._push_before(None)
         if self.top is not None:
             yield _result_batch(self.top, self.qid, self.qlabel)
+        self._clear()
 
 
 def _result_batch(top: RunningTopK, qid, qlabel) -> pa.RecordBatch:
@@ -402,7 +432,8 @@ def _fit(v, missing, dim):
 def nearest_to(candidates: DataFrame, query: list[float] | None, k: int) -> DataFrame:
     """The ``k`` candidates ``(id, vector)`` nearest to one vector, as ``(id, distance)``.
 
-    The table is scanned in place: every task keeps its own best k, and only those are merged.
+    The table is scanned in place and every task keeps its own best k. Those of very many tasks are merged in as many
+    groups as the tasks' number has roots, then in one.
     """
     matrix = np.asarray([query if query is not None else []], dtype=np.float32)
     if not np.isfinite(matrix).all():
@@ -423,4 +454,9 @@ def nearest_to(candidates: DataFrame, query: list[float] | None, k: int) -> Data
         F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<float>").alias("vector")
     )
     best = scan.mapInArrow(run, "id bigint, distance double")
+    tasks = scan.rdd.getNumPartitions()
+    if tasks > _MERGED_AT_ONCE:
+        # Each group keeps its best k where it is, before the last merge.
+        groups = math.isqrt(tasks)
+        best = best.withColumn("group", F.spark_partition_id() % groups).repartition(groups, "group").drop("group")
     return best.orderBy(F.col("distance").asc_nulls_last(), "id").limit(k)

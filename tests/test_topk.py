@@ -1,5 +1,7 @@
 """Blocked top-k on DataFrames against a full sort in numpy, with blocks small enough to cut everything."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfwise import session
 from shelfwise.operators import topk
 from shelfwise.operators.topk import block_top_k, nearest_to
+from shelfwise.session import parallelism
 
 from support import plan_of
 
@@ -145,6 +148,47 @@ def test_plan_makes_no_pairs_and_one_partition_per_cell(spark, cells):
         assert "shufflepartitionidpassthrough" in plan
 
 
+def test_slices_follow_the_cores_and_not_the_queries(spark):
+    """A run of candidates is copied once per slice; a thousand times the queries add no copy and no partition."""
+    grids = []
+    for nq in (10**6, 10**7, 10**8):
+        limits = topk._Limits.of(spark, nq * 10**5, 16, 100)
+        grids.append(limits.grid(nq, 10**5, math.ceil, max, min))
+    slices, blocks, runs, _ = zip(*grids)
+    assert len(set(slices)) == 1 and set(runs) == {1}
+    assert max(s * r for s, r in zip(slices, runs)) <= topk._CELLS_PER_CORE * parallelism(spark) + 1
+    assert blocks[2] > 50 * blocks[0] // 2 and all(s * b * limits.queries >= 10**6 for s, b in zip(slices, blocks))
+    # Beyond what a task should do in one piece, slices grow with the work, each a full cell.
+    limits = topk._Limits.of(spark, 10**10 * 10**8, 16, 100)
+    slices, _, runs, _ = limits.grid(10**10, 10**8, math.ceil, max, min)
+    assert 10**18 / slices / runs > topk._MAX_CELL_PAIRS / 2
+
+
+def test_partitions_do_not_grow_with_the_query_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "_MIN_CELL_PAIRS", 2000)
+    monkeypatch.setattr(topk, "_MIN_QUERIES", 16)
+    monkeypatch.setattr(topk, "_PACK_ROWS", 8)
+    v = spark.createDataFrame(as_rows(dict(enumerate(vectors(2, 128)))), PLAIN)
+    copied = []
+    for block_size in (1000, 4):
+        monkeypatch.setattr(topk, "_MAX_QUERIES", block_size)
+        q = spark.createDataFrame(as_rows(dict(enumerate(vectors(1, 400)))), PLAIN)
+        found = block_top_k(q, v, 3)
+        assert found.count() == 1200
+        copied.append(found.rdd.getNumPartitions())
+    assert copied[0] == copied[1]
+
+
+def test_one_query_over_many_tasks_merges_in_stages(spark, monkeypatch):
+    monkeypatch.setattr(topk, "_MERGED_AT_ONCE", 4)
+    v = dict(enumerate(vectors(6, 200)))
+    df = spark.createDataFrame(as_rows(v), PLAIN).select("id", "vector").repartition(36)
+    found = nearest_to(df, [0.5, -1.0, 2.0, 0.25], 50)
+    assert "hashpartitioning(group" in plan_of(found) and ", 6)" in plan_of(found)
+    want = ranked(v, np.array([0.5, -1.0, 2.0, 0.25], "f4"), 50)
+    assert [r["id"] for r in found.collect()] == [c for c, _ in want]
+
+
 def test_plan_of_one_query_scans_in_place(spark):
     df = spark.range(100).select("id", F.array(F.lit(1.0).cast("float")).alias("vector"))
     plan = plan_of(nearest_to(df, [1.0], 5))
