@@ -56,6 +56,7 @@ class RunConfig:
     nonnegative: bool = False
     cold_start_strategy: str = "nan"
     als_blocks: int = 10
+    als_block_rows: int = 200_000_000
     interaction_weights: dict[str, float] = field(default_factory=lambda: dict(DEFAULT_WEIGHTS))
     interaction_thresholds: Thresholds = field(default_factory=Thresholds)
     days: int = 10
@@ -74,6 +75,8 @@ class RunConfig:
             raise ValueError(f"cold_start_strategy must be 'nan' or 'drop', got {self.cold_start_strategy!r}")
         if self.als_blocks < 1:
             raise ValueError(f"als_blocks must be at least 1, got {self.als_blocks}")
+        if self.als_block_rows < 1:
+            raise ValueError(f"als_block_rows must be at least 1, got {self.als_block_rows}")
         if self.db_type not in DB_TYPES:
             raise ValueError(f"unsupported database type: {self.db_type}")
         if self.split_test_data and not 0 < self.test_ratio < 1:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.columns import image_url
 from shelfwise.operators.indexing import dense_index
 from shelfwise.operators.similarity import among
+from shelfwise.session import materialize
 
 
 def matching(products: DataFrame, condition: Column | str | None = None) -> DataFrame:
@@ -23,7 +24,8 @@ def page(rows: DataFrame, limit: int, batch_no: int) -> DataFrame:
     """Page ``batch_no`` of ``limit`` rows by ascending ``id``, so pages never overlap.
 
     One ordered plan for every position. Far down the sorted rows before the page are passed over, so a sweep is better
-    done with ``page_after``, whose key range is pushed to the scan, or at once with ``page_numbers``.
+    done with a ``page_directory`` or ``page_after``, whose key ranges are pushed to the scan, or at once with
+    ``page_numbers``.
     """
     if limit < 0 or batch_no < 0:
         raise ValueError("limit and batch_no must not be negative")
@@ -43,13 +45,44 @@ def page_numbers(rows: DataFrame, limit: int) -> DataFrame:
     return numbered.withColumn("batch_no", F.floor(F.col("_row") / limit)).drop("_row")
 
 
+def page_directory(rows: DataFrame, limit: int) -> DataFrame:
+    """``(batch_no, first_id, last_id, n_rows)`` of every page of a sweep, stored once for all its pages.
+
+    Ids are unique and not NULL. One range-partitioned sort of the ids alone; a page is then a key range, see
+    ``page_of_directory``.
+    """
+    if limit < 1:
+        raise ValueError("a page of a directory has at least one row")
+    pages = page_numbers(rows.select("id"), limit).groupBy("batch_no")
+    found = pages.agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n_rows"))
+    return materialize(found, "page-directory")
+
+
+def page_of_directory(rows: DataFrame, directory: DataFrame, batch_no: int) -> DataFrame:
+    """Page ``batch_no`` by its key range, which is pushed to the scan: no row outside the page is sorted, however far
+    down it is. Rows that came after the directory was made join the page whose range they fall into."""
+    if batch_no < 0:
+        raise ValueError("batch_no must not be negative")
+    found = directory.where(F.col("batch_no") == batch_no).first()
+    if found is None:
+        return rows.limit(0)
+    return rows.where(F.col("id").between(found["first_id"], found["last_id"])).orderBy("id")
+
+
+def _one_page(rows: DataFrame, limit: int, batch_no: int, directory: DataFrame | None) -> DataFrame:
+    return page(rows, limit, batch_no) if directory is None else page_of_directory(rows, directory, batch_no)
+
+
 def product_page(
     products: DataFrame, condition: Column | str | None = None, limit: int = 500, batch_no: int = 0,
-    domain: str | None = None,
+    domain: str | None = None, directory: DataFrame | None = None,
 ) -> DataFrame:
-    """``(id, image_url, status, primary_category_id, secondary_category_id)`` of one page."""
+    """``(id, image_url, status, primary_category_id, secondary_category_id)`` of one page.
+
+    With a ``directory`` of the same condition the page is a key range and ``limit`` is the directory's.
+    """
     columns = ["id", "main_image", "status", "primary_category_id", "secondary_category_id"]
-    rows = page(matching(products, condition).select(*columns), limit, batch_no)
+    rows = _one_page(matching(products, condition).select(*columns), limit, batch_no, directory)
     return rows.select(
         "id", _url(domain), "status", "primary_category_id", "secondary_category_id"
     )
@@ -57,10 +90,10 @@ def product_page(
 
 def product_urls(
     products: DataFrame, condition: Column | str | None = None, limit: int = 5000, batch_no: int = 0,
-    domain: str | None = None,
+    domain: str | None = None, directory: DataFrame | None = None,
 ) -> DataFrame:
-    """``(id, image_url)`` of one page."""
-    rows = page(matching(products, condition).select("id", "main_image"), limit, batch_no)
+    """``(id, image_url)`` of one page; ``directory`` as for ``product_page``."""
+    rows = _one_page(matching(products, condition).select("id", "main_image"), limit, batch_no, directory)
     return rows.select("id", _url(domain))
 
 

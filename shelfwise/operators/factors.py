@@ -41,6 +41,49 @@ def fit_als(train: DataFrame, cfg: RunConfig) -> ALSModel:
     return als.fit(train.select("user_idx", "item_idx", "rating"))
 
 
+# Bytes of a rating within a block: two ids, the rating and its place.
+_RATING_BYTES = 16
+
+
+def block_loads(train: DataFrame, blocks: int) -> DataFrame:
+    """Per side ``(side, blocks, n_ids, most_rows_of_id, most_rows_of_block, most_block_bytes)`` of a fit on ``train``.
+
+    The fit deals ids to blocks by remainder and keeps all ratings of a block in one task, so these are the rows that
+    its largest tasks hold. One pass per side with partial counts; nothing but the two rows is collected by a reader.
+    """
+
+    def side(name: str, idx: str) -> DataFrame:
+        per_id = train.groupBy(idx).agg(F.count(F.lit(1)).alias("n"))
+        per_block = per_id.groupBy(F.pmod(F.col(idx), F.lit(blocks)).alias("block")).agg(
+            F.sum("n").alias("rows"), F.max("n").alias("most"), F.count(F.lit(1)).alias("ids")
+        )
+        return per_block.agg(
+            F.coalesce(F.sum("ids"), F.lit(0)).alias("n_ids"), F.coalesce(F.max("most"), F.lit(0)).alias("most_rows_of_id"),
+            F.coalesce(F.max("rows"), F.lit(0)).alias("most_rows_of_block"),
+        ).select(
+            F.lit(name).alias("side"), F.lit(blocks).cast("bigint").alias("blocks"), "n_ids", "most_rows_of_id",
+            "most_rows_of_block", (F.col("most_rows_of_block") * _RATING_BYTES).alias("most_block_bytes"),
+        )
+
+    return side("user", "user_idx").unionByName(side("item", "item_idx"))
+
+
+def check_loads(loads: list[dict], limit: int) -> None:
+    """Refuse a fit whose largest block would hold more than ``limit`` rows, and say what would help."""
+    for load in loads:
+        if load["most_rows_of_id"] > limit:
+            raise ValueError(
+                f"one {load['side']} has {load['most_rows_of_id']} ratings, over als_block_rows = {limit}; no number of "
+                "als_blocks parts them: raise als_block_rows if a task can hold them, or drop the id"
+            )
+        if load["most_rows_of_block"] > limit:
+            wanted = -(-load["blocks"] * load["most_rows_of_block"] // limit)
+            raise ValueError(
+                f"a {load['side']} block would hold {load['most_rows_of_block']} ratings, over als_block_rows = {limit}; "
+                f"set als_blocks to {wanted} or more, which makes another model"
+            )
+
+
 def predict(model: ALSModel, pairs: DataFrame) -> DataFrame:
     """Add ``prediction``; NaN where the user or item was not trained (or no row, if the model drops those)."""
     return model.transform(pairs)

@@ -16,6 +16,7 @@ from shelfwise.operators.interactions import build_interactions, interaction_typ
 from shelfwise.operators.ranking import top_n_unseen
 from shelfwise.operators.ratings import Split, split_or_all, to_ratings
 from shelfwise.operators.sinks import save_options, save_recommendations, write_csv
+from shelfwise.plans.ledger import Ledger
 from shelfwise.session import materialize
 from shelfwise.sources.snapshot import read_through, snapshot_path
 from shelfwise.sources.tables import BehaviourLogs
@@ -39,6 +40,7 @@ class Trained:
     model: ALSModel
     user_factors: DataFrame
     item_factors: DataFrame
+    block_loads: list[dict]
 
 
 @dataclass(frozen=True)
@@ -72,14 +74,18 @@ def index_and_rate(interactions: DataFrame, cfg: RunConfig) -> Prepared:
 
 
 def train(ratings: DataFrame, cfg: RunConfig) -> Trained:
-    """Split and fit. The factors are stored: they are read by several later steps."""
+    """Split and fit, after a look at what the fit's largest tasks will hold. The factors are stored: they are read by
+    several later steps."""
     split = split_or_all(ratings, cfg.split_test_data, cfg.test_ratio, cfg.random_seed)
+    loads = [r.asDict() for r in als.block_loads(split.train, cfg.als_blocks).collect()]
+    als.check_loads(loads, cfg.als_block_rows)
     model = als.fit_als(split.train, cfg)
     return Trained(
         split,
         model,
         materialize(als.user_factors(model), "user_factors"),
         materialize(als.item_factors(model), "item_factors"),
+        loads,
     )
 
 
@@ -117,14 +123,34 @@ def run(
     results_path: str | None = None,
     save_to: dict | None = None,
     mode: str = "strict",
+    ledger_path: str | None = None,
 ) -> RunResult:
     """The whole run. ``as_of`` is the end of the look-back window, unless given the start of the current day by Spark's
     clock in the session's zone: all runs of a day share their window, and so their snapshot.
 
     ``results_path`` receives the CSV result. With ``cfg.save_to_db`` the rows are also appended to the
     ``recommendations`` table of ``cfg.db_type``; ``save_to`` has the connection options, or
-    ``{"target": "parquet", "path": ...}`` for a file table.
+    ``{"target": "parquet", "path": ...}`` for a file table. ``ledger_path`` is a stored table of runs, see ``ledger``:
+    this one is entered there, a failing one too.
     """
+    ledger = None
+    if ledger_path is not None:
+        ledger = Ledger(logs.action_log.sparkSession, ledger_path, cfg.echo(), mode)
+    try:
+        result = _run(logs, cfg, as_of, snapshot_root, results_path, save_to, mode)
+    except Exception as e:
+        if ledger is not None:
+            ledger.fail(e)
+        raise
+    if ledger is not None:
+        ledger.finish(result.report, results_path)
+    return result
+
+
+def _run(
+    logs: BehaviourLogs, cfg: RunConfig, as_of: datetime | None, snapshot_root: str | None, results_path: str | None,
+    save_to: dict | None, mode: str,
+) -> RunResult:
     if cfg.save_to_db:
         if save_to is None:
             raise ValueError("save_to_db is set but save_to names no target")
@@ -145,6 +171,7 @@ def run(
         r["interaction_type"]: r["n"] for r in interaction_type_counts(prepared.interactions).collect()
     }
     report["split"] = {"train": trained.split.n_train, "test": trained.split.n_test}
+    report["als_block_loads"] = trained.block_loads
     report["users_recommended"] = recommendations.select("user_idx").distinct().count()
     report["users_without_factors"] = prepared.users.size - trained.user_factors.count()
     if metrics is not None:

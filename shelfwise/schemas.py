@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    ArrayType, FloatType, IntegerType, LongType, StringType, StructType, TimestampType,
+    ArrayType, ByteType, DataType, DateType, FloatType, IntegerType, LongType, ShortType, StringType, StructType,
+    TimestampNTZType, TimestampType,
 )
 
+from shelfwise.functions.vectors import has_bad_element, parse_vector
+
 
 def _schema(**columns) -> StructType:
     schema = StructType()
@@ -39,6 +43,62 @@ TABLES = {
 }
 
 
+# Types that stand for a declared one as they are, and types that fit into it without loss.
+_STANDS_FOR = {_TIME: (TimestampNTZType(), DateType())}
+_FITS_INTO = {
+    _LONG: (ByteType(), ShortType(), _INT),
+    _INT: (ByteType(), ShortType()),
+    _TEXT: (ByteType(), ShortType(), _INT, _LONG),
+}
+REASON = "unfit_columns"
+
+
+def _read_as(value: Column, found: DataType, declared: DataType, rule: str) -> tuple[Column, Column]:
+    """The value as the declared type, and whether it cannot be that. ``rule`` is ``cast`` or a pattern of times."""
+    if isinstance(declared, ArrayType) and found == _TEXT:
+        vector = parse_vector(value)
+        return vector, has_bad_element(vector)
+    made = value.try_cast(declared) if rule == "cast" else F.try_to_timestamp(value, F.lit(rule))
+    return made, value.isNotNull() & made.isNull()
+
+
+def by_contract(
+    df: DataFrame, schema: StructType, what: str, casts: dict[str, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``df`` in the columns and types of ``schema``, and the rows set aside.
+
+    A column of the declared type, or of one that fits into it without loss, is taken as it is; a date or a time without
+    a zone stands for a time. Any other type is an error, unless ``casts`` declares the column: ``cast``, or a
+    pattern to read times by. A row with a value that its declared cast cannot read is set aside, as it was found,
+    with the names of those columns in ``unfit_columns``. Vectors come as arrays or, by their cast, as text; an element
+    that is no finite number sets the row aside. NULL fits everywhere.
+    """
+    df = require_columns(df, schema, what)
+    casts = casts or {}
+    unknown = sorted(set(casts) - set(schema.names))
+    if unknown:
+        raise ValueError(f"{what} has no columns to cast: {', '.join(unknown)}")
+    good, unfit, wrong = [], [], []
+    for field in schema.fields:
+        found, value = df.schema[field.name].dataType, F.col(field.name)
+        if found == field.dataType or found in _STANDS_FOR.get(field.dataType, ()):
+            good.append(value)
+        elif found in _FITS_INTO.get(field.dataType, ()):
+            good.append(value.cast(field.dataType).alias(field.name))
+        elif field.name in casts:
+            made, bad = _read_as(value, found, field.dataType, casts[field.name])
+            good.append(made.alias(field.name))
+            unfit.append(F.when(bad, F.lit(field.name)))
+        else:
+            wrong.append(f"{field.name} is {found.simpleString()}, not {field.dataType.simpleString()}")
+    if wrong:
+        raise ValueError(f"{what} has columns of other types, to be read only by a declared cast: {'; '.join(wrong)}")
+    if not unfit:
+        return df.select(*good), df.limit(0).withColumn(REASON, F.lit("")).select(*schema.names, REASON)
+    reason = F.concat_ws(",", *unfit)
+    return df.where(reason == "").select(*good), df.where(reason != "").withColumn(REASON, reason)
+
+
 def require_types(df: DataFrame, schema: StructType, what: str) -> DataFrame:
     """``require_columns`` with every column of the type in ``schema``."""
     df = require_columns(df, schema, what)
