@@ -5,8 +5,10 @@ from __future__ import annotations
 import dataclasses
 import uuid
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
+from importlib.util import find_spec
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,18 +18,16 @@ from shelfwise.functions.vectors import format_vector, inner_product, parse_vect
 from shelfwise.operators import catalog, factors, interactions, similarity, sinks, upsert
 from shelfwise.operators.evaluation import regression_metrics
 from shelfwise.operators.ranking import top_n_unseen
-from shelfwise.plans import recommend
+from shelfwise.plans import ledger, recommend
 from shelfwise.session import lookup_join
-from shelfwise.sources import testdata
+from shelfwise.sources import files, snapshot, tables, testdata
 
-try:
+# Only the absence of the package or module is passed over: whatever else fails in them is an error.
+corpus_queries = corpus_pipeline = None
+if find_spec("shelfwise.llm") is not None and find_spec("shelfwise.llm.queries") is not None:
     from shelfwise.llm import queries as corpus_queries
-except ImportError:
-    corpus_queries = None
-try:
+if corpus_queries and find_spec("corpus_pipeline") is not None:
     import corpus_pipeline
-except ImportError:
-    corpus_pipeline = None
 
 DOMAIN = "img.example.com"
 CONFIG = RunConfig(interaction_thresholds=testdata.LOW_TIERS, split_test_data=True, test_ratio=0.1, top_n=10)
@@ -229,6 +229,78 @@ def q_interactions_snapshot(spark, sf_dir):
     return prepared.interactions
 
 
+def q_snapshot_hits_and_misses(spark, sf_dir):
+    """The snapshot of stored logs is built, found again, and built anew on the same day when files were added."""
+    root = f"{session.shared_root(spark)}/growing-{uuid.uuid4().hex}"
+    logs, late, steps = testdata.event_logs(spark, sf_dir), F.col("created_at") >= "2024-01-26", []
+    for step, rows in (("first", ~late), ("again", None), ("files added", late)):
+        if rows is not None:
+            for name in tables.LOG_TABLES:
+                getattr(logs, name).where(rows).write.mode("append").parquet(f"{root}/logs/{name}")
+        stored = tables.BehaviourLogs.from_files(spark, f"{root}/logs")
+        path = snapshot.snapshot_path(f"{root}/snapshots", CONFIG, testdata.EVENTS_AS_OF, stored.identity())
+        hit = snapshot.is_complete(spark, path)
+        found = recommend.prepare(stored, CONFIG, testdata.EVENTS_AS_OF, f"{root}/snapshots").interactions
+        steps.append((step, hit, found.count()))
+    return spark.createDataFrame(steps, "step string, hit boolean, n bigint")
+
+
+def q_shipped_thresholds(spark, sf_dir):
+    """Interactions by type on the orders, with tiers at 1, 4 and 7 as given in flat settings."""
+    flat = {f"{kind}{i + 1}": n for kind in ("view", "impression") for i, n in enumerate((1, 4, 7))}
+    cfg = RunConfig.from_dict({"days": testdata.ORDERS_DAYS, "interaction_thresholds": flat})
+    found = interactions.build_interactions(
+        testdata.order_logs(spark, sf_dir), testdata.ORDERS_AS_OF, cfg.days, cfg.interaction_thresholds
+    )
+    return interactions.interaction_type_counts(found)
+
+
+def q_als_block_loads(spark, sf_dir):
+    """What the largest tasks of the fit hold, known before it."""
+    return factors.block_loads(_trained(spark, sf_dir).split.train, CONFIG.als_blocks)
+
+
+def q_factors_export(spark, sf_dir):
+    """Exported factor rows per side: how many, how long, and how many do not follow the one before by index."""
+    trained = _trained(spark, sf_dir)
+    root = f"{session.shared_root(spark)}/factors-{uuid.uuid4().hex}"
+
+    def checked(side: str, rows: DataFrame) -> DataFrame:
+        rows = factors.ordered_factors(rows).withColumnRenamed(rows.columns[0], "idx")
+        rows.select("idx", F.size("features").alias("dims"), F.spark_partition_id().alias("part"),
+                    F.monotonically_increasing_id().alias("at")).write.parquet(f"{root}/{side}")
+        stored = spark.read.parquet(f"{root}/{side}")
+        inner = Window.partitionBy("part").orderBy("at")
+        late = F.coalesce(F.col("idx") <= F.lag("idx").over(inner), F.lit(False)).cast("bigint")
+        parts = stored.withColumn("late", late).groupBy("part").agg(
+            F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("late").alias("late"),
+            F.max("dims").alias("dims"),
+        )
+        # One row per written partition from here on.
+        between = F.coalesce(F.col("lo") <= F.lag("hi").over(Window.orderBy("part")), F.lit(False)).cast("bigint")
+        return parts.withColumn("between", between).agg(
+            F.lit(side).alias("side"), F.sum("n").alias("n"), F.max("dims").alias("dims"),
+            F.sum(F.col("late") + F.col("between")).alias("n_out_of_order"),
+        )
+
+    return checked("user", trained.user_factors).unionByName(checked("item", trained.item_factors))
+
+
+def q_run_ledger(spark, sf_dir):
+    """Two runs entered in a ledger: one saves its rows to a table, the other's target cannot be written."""
+    root = f"{session.shared_root(spark)}/ledger-{uuid.uuid4().hex}"
+    files.create_text(spark, f"{root}/in-the-way", "a file where a folder is wanted")
+    cfg = dataclasses.replace(CONFIG, save_to_db=True, db_type="parquet")
+    for target in (f"{root}/saved", f"{root}/in-the-way/saved"):
+        recommend.run(
+            testdata.event_logs(spark, sf_dir), cfg, testdata.EVENTS_AS_OF, save_to={"path": target},
+            ledger_path=f"{root}/runs",
+        )
+    rows = ledger.runs(spark, f"{root}/runs")
+    top_n = F.get_json_object("settings", "$.top_n").cast("int").alias("top_n")
+    return rows.select("status", "mode", top_n, *ledger.COUNTS, F.col("error").isNotNull().alias("has_error"))
+
+
 def q_saved_recommendations(spark, sf_dir):
     """Recommendations appended to a stored table and read back."""
     path = f"{session.shared_root(spark)}/saved-{uuid.uuid4().hex}"
@@ -372,6 +444,79 @@ def q_vector_quarantine(spark, sf_dir):
     return good.select("id", F.lit("good").alias("part")).unionByName(aside.select("id", F.lit("aside").alias("part")))
 
 
+def q_embeddings_versions(spark, sf_dir):
+    """A stored table read back version by version: as written, after an upsert, after a second one, and merged."""
+    products = testdata.product_embeddings(spark, sf_dir)
+    hidden = products.where("primary_category_id = 3").withColumns({"status": F.lit("HIDDEN"), "seq": F.lit(1)})
+    copies = products.where("primary_category_id IN (3, 5)").withColumns({"id": -1 - F.col("id"), "seq": F.lit(1)})
+    path = f"{session.shared_root(spark)}/embeddings-{uuid.uuid4().hex}"
+    upsert.write_embeddings(products, path)
+    for batch in (hidden, copies):
+        upsert.upsert_stored(spark, path, batch)
+    upsert.compact_stored(spark, path)
+    seen = [
+        upsert.read_embeddings(spark, path, v).agg(
+            F.lit(v).alias("version"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "HIDDEN").alias("n_hidden"),
+            F.count_if(F.col("id") < 0).alias("n_copies"),
+        )
+        for v in (1, 2, 3, 4)
+    ]
+    return reduce(DataFrame.unionByName, seen)
+
+
+def _refused(act: Callable[[], object]) -> bool:
+    try:
+        act()
+    except (ValueError, PySparkException):
+        return True
+    return False
+
+
+def q_refused_inputs(spark, sf_dir):
+    """Batches and targets that must be refused whole, with the rows they were made of; the last one is in order."""
+    products = testdata.product_embeddings(spark, sf_dir)
+    batch = products.withColumn("seq", F.lit(1))
+    third, vector = F.col("id") % 3 == 0, F.col("image_vector")
+    path = f"{session.shared_root(spark)}/refusals-{uuid.uuid4().hex}"
+    upsert.write_embeddings(products, path)
+    longer = F.when(third, F.concat(vector, F.array(F.lit(1.0).cast("float")))).otherwise(vector)
+    nan = F.when(third, F.transform(vector, lambda x: x * float("nan"))).otherwise(vector)
+    batches = {
+        "no id": batch.withColumn("id", F.when(~third, F.col("id"))),
+        "no vector": batch.withColumn("image_vector", F.when(~third, vector)),
+        "element no number": batch.withColumn("image_vector", nan),
+        "other length": batch.withColumn("image_vector", longer),
+        "repeated seq": batch.unionByName(batch.where(third)),
+        "in order": batch,
+    }
+    rows = [(name, _refused(lambda b=b: upsert.upsert_stored(spark, path, b)), b.count()) for name, b in batches.items()]
+    mixed = products.withColumn("image_vector", longer)
+    search = lambda: similarity.search_by_vectors(mixed, mixed.select(F.col("id").alias("query_id"), F.col("image_vector").alias("vector"))).count()
+    rows.append(("search over other lengths", _refused(search), products.count()))
+    save = lambda: sinks.save_recommendations(_named(spark, sf_dir), "sqlite", url="jdbc:sqlite:x")
+    rows.append(("unknown target", _refused(save), products.count()))
+    return spark.createDataFrame(rows, "input string, refused boolean, n bigint")
+
+
+def q_set_aside_rows(spark, sf_dir):
+    """Rows of stored logs that do or do not fit the declared types, by file format; text times need a declared cast."""
+    root = f"{session.shared_root(spark)}/typed-{uuid.uuid4().hex}"
+    logs = testdata.event_logs(spark, sf_dir)
+    time = F.col("created_at").cast("string")
+    broken = F.when(F.col("member_id").cast("bigint") % 11 == 3, F.concat(F.lit("at "), time)).otherwise(time)
+    logs.action_log.withColumn("created_at", broken).write.parquet(f"{root}/action_log")
+    number = F.when(F.col("id") % 13 == 5, F.concat(F.lit("x"), F.col("id"))).otherwise(F.col("id").cast("string"))
+    views = logs.product_view.withColumns({"id": number, "created_at": time})
+    views.write.option("header", True).csv(f"{root}/product_view")
+    rows = []
+    for fmt, name, casts in (("parquet", "action_log", {"created_at": "cast"}), ("csv", "product_view", {})):
+        for part, df in zip(("good", "aside"), tables.read_parted(spark, f"{root}/{name}", name, fmt, casts)):
+            rows.append((fmt, part, df.count()))
+    refused = _refused(lambda: tables.read_table(spark, f"{root}/action_log", "action_log"))
+    rows.append(("parquet", "undeclared" if refused else "taken", 0))
+    return spark.createDataFrame(rows, "format string, part string, n bigint")
+
+
 def q_no_condition_no_products(spark, sf_dir):
     """Counts of a page without a condition, which has no rows, and of one with a condition that always holds."""
     products = testdata.product_catalog(spark, sf_dir)
@@ -404,6 +549,29 @@ def q_product_links(spark, sf_dir):
     return catalog.product_links(testdata.product_catalog(spark, sf_dir), wanted, DOMAIN)
 
 
+def _on_sale(spark, sf_dir):
+    return testdata.product_catalog(spark, sf_dir).where("status = 'SALE'")
+
+
+def q_product_page_after(spark, sf_dir):
+    """The second page of a sweep, from the last id of the first."""
+    rows = _on_sale(spark, sf_dir).select("id", "secondary_category_id")
+    last = catalog.page_after(rows, None, 40).agg(F.max("id")).first()[0]
+    return catalog.page_after(rows, last, 40)
+
+
+def q_product_page_directory(spark, sf_dir):
+    return catalog.page_directory(_on_sale(spark, sf_dir), 40)
+
+
+def q_product_page_deep(spark, sf_dir):
+    """The last page of a sweep, as a key range out of the directory."""
+    directory = catalog.page_directory(_on_sale(spark, sf_dir), 40)
+    last = directory.agg(F.max("batch_no")).first()[0]
+    products = testdata.product_catalog(spark, sf_dir)
+    return catalog.product_page(products, "status = 'SALE'", batch_no=last, domain=DOMAIN, directory=directory)
+
+
 def q_product_page_numbers(spark, sf_dir):
     return catalog.page_numbers(testdata.product_catalog(spark, sf_dir).select("id", "status"), 500)
 
@@ -552,6 +720,19 @@ def oracle_sql() -> dict[str, str]:
     masked_products = rated + _CANDIDATE_PRODUCTS + _MASKED
     products = f"WITH {_PRODUCTS}"
     parts = f"WITH {_CATALOG}"
+    shipped = orders.replace("n >= 3", "n >= 7").replace("n >= 2", "n >= 4")
+    early = base.replace("FROM events)", "FROM events WHERE ts < TIMESTAMP '2024-01-26 00:00:00')")
+    counted = "SELECT count(*) FROM interactions"
+    recommended = """(SELECT count(*) FROM (SELECT user_idx FROM train GROUP BY 1 HAVING count(DISTINCT item_idx)
+              < (SELECT count(DISTINCT item_idx) FROM train)))"""
+
+    def loads(side: str, idx: str) -> str:
+        return f"""SELECT '{side}' AS side, CAST({CONFIG.als_blocks} AS BIGINT) AS blocks, CAST(sum(ids) AS BIGINT) AS n_ids,
+            max(most) AS most_rows_of_id, CAST(max(rows_) AS BIGINT) AS most_rows_of_block,
+            CAST(16 * max(rows_) AS BIGINT) AS most_block_bytes
+            FROM (SELECT {idx} % {CONFIG.als_blocks} AS b, sum(n) AS rows_, max(n) AS most, count(*) AS ids
+                  FROM (SELECT {idx}, count(*) AS n FROM train GROUP BY 1) GROUP BY 1)"""
+
     priority = ", ".join(f"'{t}'" for t in INTERACTION_PRIORITY)
     named = "strict JOIN users USING (user_idx) JOIN items USING (item_idx) WHERE rank <= 10"
     listed = "string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY rank)"
@@ -597,6 +778,49 @@ def oracle_sql() -> dict[str, str]:
             (SELECT count(*) FROM (SELECT user_idx FROM train GROUP BY 1 HAVING count(DISTINCT item_idx)
               < (SELECT count(DISTINCT item_idx) FROM train))) AS n_recommended""",
         "interactions_snapshot": f"{base} SELECT * FROM interactions",
+        "snapshot_hits_and_misses": f"""SELECT 'first' AS step, FALSE AS hit, ({early} {counted}) AS n
+            UNION ALL SELECT 'again', TRUE, ({early} {counted})
+            UNION ALL SELECT 'files added', FALSE, ({base} {counted})""",
+        "shipped_thresholds": f"{shipped} SELECT interaction_type, count(*) AS n FROM interactions GROUP BY 1",
+        "als_block_loads": f"{split} {loads('user', 'user_idx')} UNION ALL {loads('item', 'item_idx')}",
+        "factors_export": f"""{split} SELECT 'user' AS side, count(DISTINCT user_idx) AS n, {CONFIG.rank} AS dims,
+            CAST(0 AS BIGINT) AS n_out_of_order FROM train
+            UNION ALL SELECT 'item', count(DISTINCT item_idx), {CONFIG.rank}, 0 FROM train""",
+        "run_ledger": f"""{split}, counts AS (SELECT (SELECT count(*) FROM interactions) AS n_interactions,
+            (SELECT count(*) FROM users) AS n_users, (SELECT count(*) FROM items) AS n_items,
+            (SELECT count(*) FROM train) AS n_train, (SELECT count(*) FROM test) AS n_test,
+            {recommended} AS n_recommended,
+            (SELECT count(*) FROM users) - (SELECT count(DISTINCT user_idx) FROM train) AS n_without_factors)
+            SELECT 'success' AS status, 'strict' AS mode, {CONFIG.top_n} AS top_n, *, n_recommended AS n_saved,
+                   FALSE AS has_error FROM counts
+            UNION ALL SELECT 'not saved', 'strict', {CONFIG.top_n}, *, NULL, TRUE FROM counts""",
+        "embeddings_versions": f"""{products}, c AS (SELECT count(*) AS n,
+              count(*) FILTER (WHERE primary_category_id = 3) AS h,
+              count(*) FILTER (WHERE primary_category_id IN (3, 5)) AS k FROM products)
+            SELECT 1 AS version, n, CAST(0 AS BIGINT) AS n_hidden, CAST(0 AS BIGINT) AS n_copies FROM c
+            UNION ALL SELECT 2, n, h, 0 FROM c UNION ALL SELECT 3, n + k, h, k FROM c
+            UNION ALL SELECT 4, n + k, h, k FROM c""",
+        "refused_inputs": """SELECT input, input <> 'in order' AS refused, CASE input WHEN 'repeated seq'
+              THEN n + third ELSE n END AS n
+            FROM (VALUES ('no id'), ('no vector'), ('element no number'), ('other length'), ('repeated seq'), ('in order'),
+                         ('search over other lengths'), ('unknown target')) v(input),
+                 (SELECT count(*) AS n, count(*) FILTER (WHERE vec_id % 3 = 0) AS third FROM embeddings)""",
+        "set_aside_rows": f"""WITH {_EVENT_LOGS},
+              a AS (SELECT count(*) FILTER (WHERE TRY_CAST(member_id AS BIGINT) % 11 = 3) AS bad, count(*) AS n
+                    FROM action_log WHERE event_name IN ('LikedEvent', 'CartItemPutEvent')),
+              v AS (SELECT count(*) FILTER (WHERE id % 13 = 5) AS bad, count(*) AS n FROM product_view)
+            SELECT 'parquet' AS format, 'good' AS part, n - bad AS n FROM a UNION ALL SELECT 'parquet', 'aside', bad FROM a
+            UNION ALL SELECT 'csv', 'good', n - bad FROM v UNION ALL SELECT 'csv', 'aside', bad FROM v
+            UNION ALL SELECT 'parquet', 'undeclared', 0""",
+        "product_page_after": f"""{parts} SELECT id, secondary_category_id FROM catalog WHERE status = 'SALE'
+            ORDER BY id LIMIT 40 OFFSET 40""",
+        "product_page_directory": f"""{parts}, n AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 40 AS batch_no
+              FROM catalog WHERE status = 'SALE')
+            SELECT batch_no, min(id) AS first_id, max(id) AS last_id, count(*) AS n_rows FROM n GROUP BY 1""",
+        "product_page_deep": f"""{parts}, n AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 40 AS batch_no
+              FROM catalog WHERE status = 'SALE')
+            SELECT id, image_url, status, primary_category_id, secondary_category_id FROM n
+            WHERE batch_no = (SELECT max(batch_no) FROM n)""",
         "saved_recommendations": f"""{masked_products} SELECT member_id, {listed} AS product_ids
             FROM {named} GROUP BY 1""",
         "vector_quarantine": """SELECT vec_id AS id, CASE WHEN vec_id % 7 = 3 THEN 'aside' ELSE 'good' END AS part
