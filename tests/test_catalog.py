@@ -69,3 +69,28 @@ def test_page_columns(products):
 
 def test_all_ids(products):
     assert catalog.all_product_ids(products).count() == 10
+
+
+def test_directory_pages_are_those_of_the_sorted_table(spark):
+    ids = [7 * i % 1009 - 300 for i in range(1000)]
+    df = spark.createDataFrame([(i, f"f{i}") for i in ids], "id bigint, main_image string").repartition(5)
+    directory = catalog.page_directory(df, 64)
+    assert directory.count() == 16
+    for no in (0, 1, 9, 15, 16):
+        got = [r["id"] for r in catalog.page_of_directory(df, directory, no).collect()]
+        assert got == sorted(ids)[64 * no : 64 * no + 64]
+    links = catalog.product_urls(df, F.lit(True), batch_no=15, domain="d", directory=directory)
+    assert [r["id"] for r in links.collect()] == sorted(ids)[960:]
+    assert catalog.page_directory(df.where("id > 5000"), 10).count() == 0
+    with pytest.raises(ValueError, match="at least one row"):
+        catalog.page_directory(df, 0)
+    with pytest.raises(ValueError, match="not be negative"):
+        catalog.page_of_directory(df, directory, -1)
+
+
+def test_a_deep_page_reads_its_key_range_alone(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "CAST(id AS STRING) AS main_image").write.parquet(f"{tmp_path}/p")
+    df = spark.read.parquet(f"{tmp_path}/p")
+    page = catalog.page_of_directory(df, catalog.page_directory(df, 100), 7)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,700)" in plan and "LessThanOrEqual(id,799)" in plan

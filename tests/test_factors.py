@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -103,3 +104,27 @@ def test_stored_factors_predict_like_the_model(spark, monkeypatch):
             expected = want[r["user_idx"], r["item_idx"]]
             assert (r["prediction"] is None) == math.isnan(expected)
             assert r["prediction"] is None or abs(r["prediction"] - expected) < 1e-4
+
+
+def test_block_loads_are_those_of_the_blocks(spark):
+    rng = np.random.default_rng(2)
+    pairs = [(int(u), int(i), 1.0) for u, i in zip(rng.zipf(1.5, 800) % 37, rng.integers(0, 23, 800))]
+    df = spark.createDataFrame(pairs, "user_idx int, item_idx int, rating double")
+    for blocks in (1, 4, 10):
+        loads = {r["side"]: r for r in als.block_loads(df, blocks).collect()}
+        for side, at in (("user", 0), ("item", 1)):
+            per_id, per_block = Counter(p[at] for p in pairs), Counter(p[at] % blocks for p in pairs)
+            r = loads[side]
+            assert (r["n_ids"], r["most_rows_of_id"], r["most_rows_of_block"]) == (len(per_id), max(per_id.values()), max(per_block.values()))
+            assert r["blocks"] == blocks and r["most_block_bytes"] == 16 * max(per_block.values())
+    empty = als.block_loads(df.limit(0), 3).collect()
+    assert [(r["side"], r["most_rows_of_block"]) for r in empty] == [("user", 0), ("item", 0)]
+
+
+def test_loads_over_the_limit_are_refused_with_what_would_help():
+    load = {"side": "user", "blocks": 10, "most_rows_of_id": 50, "most_rows_of_block": 400}
+    als.check_loads([load], 400)
+    with pytest.raises(ValueError, match="set als_blocks to 40 or more"):
+        als.check_loads([load], 100)
+    with pytest.raises(ValueError, match="no number of als_blocks parts them"):
+        als.check_loads([load], 49)

@@ -1,3 +1,4 @@
+import argparse
 import dataclasses
 import json
 
@@ -5,7 +6,7 @@ import pytest
 
 from shelfwise.__main__ import main
 from shelfwise.config import RunConfig
-from shelfwise.plans import recommend
+from shelfwise.plans import ledger, recommend
 from shelfwise.session import materialize, shared_root
 from shelfwise.sources import testdata
 
@@ -86,3 +87,44 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["settings"]["top_n"] == 5
     out = spark.read.option("header", True).csv(f"{tmp_path}/out")
     assert out.count() == 15 and all(len(r["recommended_items"].split(",")) == 5 for r in out.collect())
+
+
+def test_ledger_holds_one_row_per_run(spark, tmp_path):
+    """A run that saves, one whose target cannot be written, one that fails, and one that died."""
+    logs, path = testdata.event_logs(spark, SMALL), f"{tmp_path}/runs"
+    (tmp_path / "file").write_text("in the way")
+    saving = dataclasses.replace(CFG, save_to_db=True, db_type="parquet")
+    recommend.run(logs, saving, testdata.EVENTS_AS_OF, save_to={"path": f"{tmp_path}/saved"}, ledger_path=path)
+    recommend.run(logs, saving, testdata.EVENTS_AS_OF, save_to={"path": f"{tmp_path}/file/saved"}, ledger_path=path)
+    with pytest.raises(ValueError, match="als_block"):
+        recommend.run(logs, dataclasses.replace(CFG, als_block_rows=3), testdata.EVENTS_AS_OF, ledger_path=path)
+    ledger.Ledger(spark, path, {"top_n": 1}, "strict")
+    found = {r["status"]: r for r in ledger.runs(spark, path).collect()}
+    assert set(found) == {"success", "not saved", "failed", "running"}
+    done, unsaved, failed = (found[s] for s in ("success", "not saved", "failed"))
+    assert done["n_saved"] == done["n_recommended"] == spark.read.parquet(f"{tmp_path}/saved").count()
+    assert done["error"] is None and done["saved_to"] == "recommendations" and done["rmse"] > 0
+    assert unsaved["n_saved"] is None and unsaved["error"] and unsaved["n_recommended"] == done["n_recommended"]
+    assert failed["error"].startswith("ValueError") and failed["n_train"] is None
+    assert done["started_at"] < done["finished_at"] and found["running"]["finished_at"] is None
+    assert json.loads(done["settings"])["db_type"] == "parquet"
+
+
+def test_report_tells_what_the_fit_will_hold(spark):
+    result = recommend.run(testdata.event_logs(spark, SMALL), CFG, testdata.EVENTS_AS_OF)
+    assert [r["side"] for r in result.report["als_block_loads"]] == ["user", "item"]
+
+
+def test_command_line_takes_logs_from_files_or_a_database(spark, tmp_path, monkeypatch):
+    from shelfwise import __main__ as cli
+
+    seen = {}
+    monkeypatch.setattr(cli.BehaviourLogs, "from_jdbc", classmethod(lambda cls, spark, url, tables, **o: seen.update(url=url, tables=tables, **o)))
+    (tmp_path / "t.json").write_text('{"action_log": {"table": "log.actions", "casts": {"created_at": "cast"}}}')
+    args = argparse.Namespace(logs=None, logs_url="jdbc:mysql://db/x", logs_driver="d.D", logs_user=None, logs_tables=f"{tmp_path}/t.json", format="parquet")
+    cli.behaviour_logs(spark, args)
+    assert seen["url"] == "jdbc:mysql://db/x" and seen["driver"] == "d.D" and seen["tables"]["action_log"]["table"] == "log.actions"
+    with pytest.raises(SystemExit):
+        cli.main(["settings.json", "--results", "r"])
+    with pytest.raises(SystemExit):
+        cli.main(["settings.json", "--results", "r", "--logs", "a", "--logs-url", "b"])
