@@ -1,7 +1,8 @@
 """Removal of passages that occurred before, by distributed prefix doubling over suffix positions.
 
-A position of a text is ``(doc, sub, at)``: id, 64-bit digest of the text and byte offset, so rows that repeat a
-``doc_id`` with other texts have positions of their own.
+A position of a text is ``(doc, sub, at)``: id, sub-number and byte offset. The sub-number is a 64-bit digest of the text
+where a ``doc_id`` comes with several rows, so these have positions of their own, and 0 for ids of a single row, where it
+takes next to no room in shuffles.
 
 1. *Anchors.* Every window of ``length`` bytes marks the positions of its least ``GRAM``-byte hash. Equal windows mark
    equal places, so a window can only occur twice if its anchor's gram does. About one position in 35 is an anchor,
@@ -22,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import Scratch, release, text_chunks, texts
 from shelfwise.llm.hashing import BASE, Grams
+from shelfwise.session import fits_broadcast
 
 GRAM = 32
 FAN = 4
@@ -90,6 +92,11 @@ def _sub(raw: bytes) -> int:
 ANCHOR_SCHEMA = "key long, ctx long, doc long, sub long, at long, known boolean"
 
 
+def _subs(raw: list[bytes], several) -> np.ndarray:
+    """Sub-numbers of texts: digests where the id has several rows, else 0."""
+    return np.array([_sub(x) if d else 0 for x, d in zip(raw, several.to_pylist(), strict=True)], np.int64)
+
+
 def _anchor_rows(length: int):
     names = [c.split()[0] for c in ANCHOR_SCHEMA.split(", ")]
 
@@ -110,7 +117,7 @@ def _anchor_rows(length: int):
                 buffer, starts, ends, raw = _joined(part)
                 place, text, key, ctx = anchors(buffer, starts, ends, length)
                 ids = part.column("doc").to_numpy(zero_copy_only=False)
-                subs = np.array([_sub(x) for x in raw], np.int64)
+                subs = _subs(raw, part.column("several"))
                 held.append((key, ctx, ids[text], subs[text], place - starts[text]))
                 n += place.size
                 if n >= ANCHOR_ROWS:
@@ -221,11 +228,30 @@ def _reranked(runs: DataFrame, *more: str) -> DataFrame:
     return left.select("doc", "sub", "at", F.col("rank").alias("r"), done, *[c for c in more if c != "known"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
+def _doc(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+def ids_of_several(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """``doc, several`` of the ids that more than one row has, if few enough to be sent to every task; else None, and
+    all rows are taken for such: their digests are longer but tell the same texts apart."""
+    ids = docs.select(_doc().alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = scratch.save(ids.select("doc", F.lit(True).alias("several")), "several")
+    return found if fits_broadcast(found.count()) else None
+
+
+def _with_several(rows: DataFrame, several: DataFrame | None) -> DataFrame:
+    if several is None:
+        return rows.withColumn("several", F.lit(True))
+    joined = rows.join(F.broadcast(several), "doc", "left")
+    return joined.withColumn("several", F.coalesce("several", F.lit(False)))
+
+
+def _keyed(docs: DataFrame, several: DataFrame | None) -> DataFrame:
+    return _with_several(texts(docs).select(_doc().alias("doc"), "text"), several)
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def _packed(docs: DataFrame, several: DataFrame | None) -> DataFrame:
     """``doc, sub, packed`` with compressed texts, for the shuffles that bring texts and positions together."""
 
     def run(batches):
@@ -234,19 +260,19 @@ def _packed(docs: DataFrame) -> DataFrame:
             for part in text_chunks(batch, "text"):
                 raw = [x.as_py() for x in part.column("text").cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array([_sub(x) for x in raw], pa.int64()),
+                    [part.column("doc"), pa.array(_subs(raw, part.column("several")), pa.int64()),
                      pa.array([pack.compress(x) for x in raw], pa.binary())], ["doc", "sub", "packed"]
                 )
 
-    return _keyed(docs).mapInArrow(run, "doc long, sub long, packed binary")
+    return _keyed(docs, several).mapInArrow(run, "doc long, sub long, packed binary")
 
 
-def repeated_places(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+def repeated_places(docs: DataFrame, length: int, scratch: Scratch, several: DataFrame | None) -> DataFrame:
     """``doc, sub, places`` for the texts with bytes to remove: each place is a run of window starts, as one number."""
     if not 3 <= length < 1 << RUN_BITS:
         raise ValueError(f"length must be from 3 to {(1 << RUN_BITS) - 1}")
     spark, widths = docs.sparkSession, _widths(length)
-    found = _keyed(docs).mapInArrow(_anchor_rows(length), ANCHOR_SCHEMA)
+    found = _keyed(docs, several).mapInArrow(_anchor_rows(length), ANCHOR_SCHEMA)
     level = scratch.save(_reranked(found.withColumnRenamed("key", "r").withColumn("r2", F.lit(0)), "known"), "anchors")
     del found
     release(spark)
@@ -257,7 +283,7 @@ def repeated_places(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame
 
     covered = places(level, F.lit(0), F.lit(widths[0] - 1))
     zones = level.where("NOT done").groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "r")).alias("zones"))
-    runs = _packed(docs).join(zones, ["doc", "sub"]).mapInArrow(_first_runs(length), RUN_SCHEMA)
+    runs = _packed(docs, several).join(zones, ["doc", "sub"]).mapInArrow(_first_runs(length), RUN_SCHEMA)
     for i, width in enumerate(widths[1:], 1):
         level = scratch.save(_reranked(runs, "low", "high", "left", "bytes"), f"round-{i}")
         del runs
@@ -293,8 +319,9 @@ def removal_digests(docs: DataFrame, length: int = 100) -> DataFrame:
     same in both are copies of one of them. Texts shorter than ``length`` lose nothing. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
-    places = scratch.save(repeated_places(docs, length, scratch), "places")
-    scratch.drop(*[name for name in scratch.paths if name != "places"])
+    several = ids_of_several(docs, scratch)
+    places = scratch.save(repeated_places(docs, length, scratch, several), "places")
+    scratch.drop(*[name for name in scratch.paths if name not in ("places", "several")])
     release(docs.sparkSession)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
@@ -313,7 +340,7 @@ def removal_digests(docs: DataFrame, length: int = 100) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(out, [pa.int64()] * 4 + [pa.string()], strict=True)], names
             )
 
-    rows = _packed(docs).withColumn("copy", _copies()).join(places, ["doc", "sub"], "left")
+    rows = _packed(docs, several).withColumn("copy", _copies()).join(places, ["doc", "sub"], "left")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -323,8 +350,9 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     As in ``removal_digests``, but a character goes only if all its bytes do, so texts stay valid. A null text stays null.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
-    places = scratch.save(repeated_places(docs, length, scratch), "places")
-    scratch.drop(*[name for name in scratch.paths if name != "places"])
+    several = ids_of_several(docs, scratch)
+    places = scratch.save(repeated_places(docs, length, scratch, several), "places")
+    scratch.drop(*[name for name in scratch.paths if name not in ("places", "several")])
     release(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -345,9 +373,9 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
         return pd.Series([one(t, p, c) for t, p, c in zip(text, places, copy, strict=True)], dtype=object)
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    sub = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(F.struct("*").alias("row"), key.alias("doc"), sub.alias("sub")).withColumn("copy", _copies())
+    sub = F.when(F.col("several"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))).otherwise(F.lit(0))
+    rows = _with_several(docs.select(F.struct("*").alias("row"), _doc().alias("doc")), several)
+    rows = rows.select("row", "doc", sub.alias("sub")).withColumn("copy", _copies())
     joined = rows.join(places, ["doc", "sub"], "left")
     return joined.select("row", kept("row.text", "places", "copy").alias("kept")).select(
         *[F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
