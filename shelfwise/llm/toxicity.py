@@ -202,18 +202,20 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``, with all columns; the model is that of ``assess``."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    """The rows of ``docs`` whose text scores below ``threshold``, with all columns; the model is that of ``assess``.
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
+    Rows pass through the tasks as Arrow slices of a megabyte of text, and those that stay go out untouched.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values, constant = model.value
         dense = np.zeros(DIMENSIONS)
         dense[at] = values
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()).fill_null("")], ["text"])
-        parts = [[x.as_py() for x in p.column("text").cast(pa.binary())] for p in text_chunks(batch, "text")]
-        return pd.Series(np.concatenate([np.zeros(0), *(_scores(p, dense, constant) for p in parts)]))
+        for batch in batches:
+            place = batch.schema.get_field_index("text")
+            for part in text_chunks(batch, "text"):
+                raw = [x.as_py() or b"" for x in part.column(place).cast(pa.binary())]
+                yield part.filter(pa.array(_scores(raw, dense, constant) < threshold))
 
-    return docs.where(scored("text") < threshold)
+    return docs.mapInArrow(run, docs.schema)
