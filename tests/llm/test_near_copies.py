@@ -1,6 +1,6 @@
 import random
 
-from helpers import SCHEMA, documents
+from helpers import SCHEMA, clashing, documents
 
 import corpus_pipeline
 from shelfwise.llm import near_copies, simhash
@@ -55,3 +55,53 @@ def test_the_stage_keeps_one_of_planted_near_copies(spark):
     far = [(a, b) for i, a in enumerate(texts[:70]) for b in texts[:i] if jaccard(a, b) >= 0.8 and
            (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() > 2]
     assert far
+
+
+def template_family(count=600, planted_pairs=100):
+    """Pages of one template: 88 % of the shingles are everyone's, so pairs have 0.78; planted pairs share more."""
+    rng = random.Random(8)
+    common = [f"t{i}" for i in range(404)]
+    pages = []
+    for i in range(count):
+        own = [f"p{i}x{j}" for j in range(54)]
+        if i % 2 and i < 2 * planted_pairs:
+            own = pages[i - 1][-54:-43] + own[11:]
+        pages.append(common + own)
+    return [" ".join(p) for p in pages]
+
+
+def test_links_within_a_large_family_of_pages_are_found(spark):
+    texts = template_family()
+    assert jaccard(texts[0], texts[1]) >= 0.8 > jaccard(texts[0], texts[2]) > 0.76
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(documents(spark, texts)).collect()}
+    linked = sum(got[2 * i + 1] == got[2 * i + 2] for i in range(100))
+    assert linked >= 98
+    assert len(set(got.values())) == len(texts) - linked
+
+
+def test_pairs_of_crowded_buckets_hold_all_that_reach_the_similarity(spark):
+    rng = random.Random(4)
+    base = [f"t{i}" for i in range(120)]
+    texts = []
+    for i in range(70):
+        w = list(base[: rng.randint(70, 120)])
+        for j in rng.sample(range(len(w)), rng.randint(0, 9)):
+            w[j] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    docs = documents(spark, texts)
+    classes = spark.createDataFrame([(i + 1, [7]) for i in range(len(texts))], "node long, bands array<long>")
+    scratch = near_copies.Scratch(spark, "test")
+    got = {(r.a, r.b) for r in near_copies.crowded(classes, None, docs, scratch, 5, 0.8).collect()}
+    want = {(j + 1, i + 1) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8}
+    assert want and want <= got and len(got) < len(texts) * (len(texts) - 1) / 4
+
+
+def test_clashing_columns_very_long_texts_and_a_hot_head(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "MEMBERS", 7)
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
+    base = " ".join(f"v{i}" for i in range(200))
+    texts = [long, long + " tail", base, *[planted(rng, base, 1 + i % 3) for i in range(80)], None, ""]
+    docs = clashing(documents(spark, texts), "node", "class", "bands", "root", "head")
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert [got[i + 1] for i in range(len(texts))] == brute(texts)

@@ -1,4 +1,5 @@
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pyarrow.parquet as pq
 import pytest
@@ -28,10 +29,14 @@ def test_each_stage_acts_on_what_the_one_before_kept(spark, stages):
     scores = toxicity.assess(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     assert {r.doc_id for r in tox.collect()} == {r.doc_id for r in scores.collect() if not r.predicted}
 
-    groups = defaultdict(set)
-    for r in simhash.near_duplicates(tox).collect():
-        groups[r.component_id].add(r.doc_id)
-    assert sorted(r.doc_id for r in near.collect()) == sorted(min(g) for g in groups.values())
+    texts = {r.doc_id: r.text for r in tox.collect()}
+    sets = {i: frozenset(simhash.shingles((t or "").encode(), 5)) for i, t in texts.items()}
+    root = {i: i for i in sets}
+    close = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(len(sets)):
+        for a, b in close:
+            root[a] = root[b] = min(root[a], root[b])
+    assert sorted(r.doc_id for r in near.collect()) == sorted(set(root.values()))
 
     digests = {r.doc_id: r for r in suffix.removal_digests(near).collect()}
     before = {r.doc_id: r.text for r in near.collect()}
