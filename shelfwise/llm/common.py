@@ -21,6 +21,9 @@ from shelfwise.session import shared_root
 # A Python task looks at this many bytes of text at a time, so its memory follows the longest text only.
 CHUNK_BYTES = 1 << 20
 
+# Rows that Spark hands to a Python task at a time, unless the session sets a number of its own.
+BATCH_ROWS = 1000
+
 # The white space that separates words everywhere in this package.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -31,6 +34,9 @@ _shipped: dict[str, tempfile.TemporaryDirectory] = {}
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per application, wherever they have been started."""
     sc = spark.sparkContext
+    # Batches of whole documents: at the default of 10,000 rows one fills tens of megabytes on both sides of a task.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId not in _shipped:
         root = Path(shelfwise.__file__).parent
         # The driver's own copy stays as long as the process: Spark hands it to executors that start late.
