@@ -15,8 +15,9 @@ from shelfwise.llm.common import Scratch
 BLOCK_WORDS = 256
 MOST_REPEATS = 3
 SEED = 17
-# numpy draws from urns below this; larger ones are drawn by the normal law with the same mean and variance.
-EXACT_URN = 10**9
+SHARDS = 64
+# numpy draws from urns of fewer items; of a larger one, bundles of neighbouring blocks are the items.
+URN = 10**9
 
 
 def targets(sizes: list[int], weights: list[int], most: int = MOST_REPEATS) -> list[Fraction]:
@@ -32,23 +33,16 @@ def targets(sizes: list[int], weights: list[int], most: int = MOST_REPEATS) -> l
     return out
 
 
-def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < EXACT_URN:
-        return int(rng.hypergeometric(good, bad, n)) if n and good + bad else 0
-    total = good + bad
-    mean = n * good / total
-    spread = (mean * (bad / total) * ((total - n) / (total - 1))) ** 0.5
-    return int(min(max(round(rng.normal(mean, spread)), n - bad, 0), good, n))
-
-
-def shard_quotas(blocks: list[int], shards: int, seed: int = SEED) -> np.ndarray:
+def shard_quotas(blocks: list[int], shards: int, seed: int = SEED, urn: int = URN) -> np.ndarray:
     """Blocks of every source (columns) in every shard (rows), shards level to a block, all blocks dealt.
 
     The shards are halved again and again; a half gets its share of the node's blocks, and how many of them are of
-    which source is one multivariate hypergeometric draw, source after source.
+    which source is one multivariate hypergeometric draw, source after source. Sources of ``urn`` blocks or more
+    together are dealt in bundles of equal size, the last of a source in part, and shards are level to a bundle.
     """
+    bundle = -(-sum(blocks) // (urn - len(blocks) - 1)) or 1
     out = np.zeros((shards, len(blocks)), np.int64)
-    todo = [(0, shards, list(blocks))]
+    todo = [(0, shards, [-(-q // bundle) for q in blocks])]
     while todo:
         lo, hi, held = todo.pop()
         if hi - lo == 1:
@@ -60,10 +54,11 @@ def shard_quotas(blocks: list[int], shards: int, seed: int = SEED) -> np.ndarray
         left = []
         for q in held:
             rest -= q
-            left.append(_draw(rng, q, rest, n))
+            left.append(int(rng.hypergeometric(q, rest, n)) if n and q else 0)
             n -= left[-1]
         todo += [(lo, mid, left), (mid, hi, [q - a for q, a in zip(held, left, strict=True)])]
-    return out
+    ends = np.minimum(np.cumsum(out, axis=0) * bundle, np.array(blocks, np.int64))
+    return np.diff(ends, axis=0, prepend=0)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -149,8 +144,9 @@ def draws(rows: DataFrame, plan: DataFrame, scratch: Scratch, block_words: int =
 
 
 def with_shards(drawn: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
-    """Adds ``shard`` and ``order``: blocks of a source go to the shards by their place in the permutation, as many as
-    the quota tree gives; within a shard ``order`` is the local shuffle. ``drawn`` should be a written table."""
+    """The blocks that the shards draw, with ``shard`` and ``order``: each shard takes the next of a source's permuted
+    blocks, as many as its quota of the tree; within a shard ``order`` is the local shuffle. A block that no quota
+    reaches is not drawn. ``drawn`` should be a written table."""
     found = [(r.source, r.n) for r in drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()]
     found.sort(key=lambda x: (x[0] is None, x[0] or ""))
     quotas = shard_quotas([n for _, n in found], shards, seed)
@@ -159,21 +155,29 @@ def with_shards(drawn: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     shard = F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard")
     order = F.md5(F.concat_ws("|", F.lit("order"), "key")).alias("order")
     joined = drawn.join(bounds, F.col("source").eqNullSafe(F.col("_s")))
-    return joined.select(*drawn.columns, shard, order)
+    return joined.select(*drawn.columns, shard, order).where(F.col("shard") < shards)
+
+
+def _mixture(rows: DataFrame, plan: DataFrame, scratch: Scratch, block_words: int, shards: int) -> DataFrame:
+    """The mixture's blocks, drawn shard by shard."""
+    drawn = scratch.save(draws(rows, plan, scratch, block_words), "drawn")
+    scratch.drop("blocks")
+    return with_shards(drawn, shards)
 
 
-def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:
     """Per row of ``docs``: ``doc_id, source, size, source_size, target, taken`` in words.
 
     Sources in order of their names, null last, weigh 1, 2, 3 and so on in turn, and share all words by weight; a
     target stops at three times its source's size. Rows without words are never taken. A null text has no word. Rows
-    that repeat one another are taken each on their own; a null ``doc_id`` is an id like any other. Draws depend on
-    ids and texts alone, so runs agree. An empty table gives no rows.
+    that repeat one another are taken each on their own; a null ``doc_id`` is an id like any other. Texts of any length
+    are taken in blocks throughout. Draws depend on ids and texts alone, so runs agree. ``taken`` sums the blocks that
+    the shards have drawn. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.save(_rows(docs), "rows")
     plan = _plan(rows)
-    of_row = draws(rows, plan, scratch, block_words).groupBy(
+    of_row = _mixture(rows, plan, scratch, block_words, shards).groupBy(
         F.col("doc_id").alias("_d"), F.col("source").alias("_so"), F.col("digest").alias("_g"), F.col("copy").alias("_c")
     ).agg(F.sum("drawn").alias("taken"))
     same = (
@@ -187,44 +191,47 @@ def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return joined.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), taken)
 
 
-def mix_blocks(docs: DataFrame, shards: int = 64, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mix_blocks(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The drawn blocks with their places: ``shard, order, doc_id, source, pass, block, drawn``."""
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.save(_rows(docs), "rows")
-    drawn = scratch.save(draws(rows, _plan(rows), scratch, block_words), "drawn")
-    scratch.drop("blocks")
-    return with_shards(drawn, shards).select("shard", "order", "doc_id", "source", "pass", "block", "drawn")
+    mixture = _mixture(rows, _plan(rows), scratch, block_words, shards)
+    return mixture.select("shard", "order", "doc_id", "source", "pass", "block", "drawn")
 
 
-def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:
     """The mixture as documents: a row for each document and pass, with the columns of ``docs``.
 
     A document whose blocks are all drawn keeps its text as it is; otherwise the drawn words follow one another with
-    a space between. Documents of which nothing is drawn are left out.
+    a space between. Documents of which nothing is drawn are left out. A row belongs to the shard that draws its first
+    block; rows of a shard come together, in the order of its local shuffle. Awkward rows are as in ``mix_report``.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.save(_rows(docs), "rows")
-    drawn = draws(rows, _plan(rows), scratch, block_words)
+    drawn = _mixture(rows, _plan(rows), scratch, block_words, shards)
     part = F.sort_array(F.collect_list(F.struct("block", "drawn"))).alias("_parts")
     parts = drawn.groupBy(
         F.col("doc_id").alias("_d"), F.col("source").alias("_so"), F.col("digest").alias("_g"), F.col("copy").alias("_c"),
         "pass",
-    ).agg(part, F.sum("drawn").alias("_n"))
+    ).agg(part, F.sum("drawn").alias("_n"), F.min_by(F.struct("shard", "order"), "block").alias("_place"))
     parts = scratch.save(parts, "parts")
-    scratch.drop("blocks")
+    scratch.drop("drawn")
     text = F.coalesce("row.text", F.lit(""))
     digest = F.md5(F.coalesce("text", F.lit("")))
     key = _row_key(F.col("doc_id").cast("long"), F.col("source"), digest)
     numbered = docs.select(F.struct("*").alias("row"), key.alias("_key")).withColumn(
         "_copy", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
     )
-    parts = parts.select("_c", "_parts", "_n", _row_key(F.col("_d"), F.col("_so"), F.col("_g")).alias("_same"))
+    parts = parts.select("_c", "_parts", "_n", "_place", _row_key(F.col("_d"), F.col("_so"), F.col("_g")).alias("_same"))
     # The copy's number is no key of the join, so the texts stay where the numbering has dealt them.
     joined = numbered.join(parts, (F.col("_key") == F.col("_same")) & (F.col("_copy") - F.col("_c") == 0))
     pieces = once(words(text), lambda w: F.when(F.size(w) == F.col("_n"), text).otherwise(F.array_join(
         F.flatten(F.transform("_parts", lambda p: F.slice(w, p["block"] * block_words + 1, p["drawn"].cast("int")))), " "
     )))
-    return joined.select(*[pieces.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    kept = F.struct(*[pieces.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    made = joined.select(kept.alias("kept"), F.col("_place.shard").alias("shard"), F.col("_place.order").alias("order"))
+    # Ranges of the shards and, as the shards are of one size, of about as many rows.
+    return made.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order").select("kept.*")
 
 
 ORACLE = f"""

@@ -23,6 +23,17 @@ def test_quota_tree_deals_every_block():
     assert np.array_equal(got, mixing.shard_quotas(blocks, 13))
     big = mixing.shard_quotas([3 * 10**9, 10**9], 4)
     assert big.sum(axis=0).tolist() == [3 * 10**9, 10**9]
+    assert (big >= 0).all() and big.sum(axis=1).max() - big.sum(axis=1).min() <= 4 * 6
+
+
+def test_bundles_follow_the_same_law():
+    """Means and spreads of a first shard's quota, from single blocks and from bundles, against the hypergeometric law."""
+    for urn, bundle in ((10**9, 1), (1010, 4)):
+        got = np.array([mixing.shard_quotas([1200, 2800], 2, seed, urn)[0, 0] for seed in range(1500)]) / bundle
+        good, bad, n = 1200 // bundle, 2800 // bundle, 2000 // bundle
+        total = good + bad
+        mean, var = n * good / total, n * good / total * bad / total * (total - n) / (total - 1)
+        assert abs(got.mean() - mean) < 5 * (var / got.size) ** 0.5 and abs(got.var() / var - 1) < 0.2
 
 
 def corpus():
@@ -77,3 +88,33 @@ def test_repeated_rows_and_empty_tables(spark):
     assert sum(r[2] for r in got) == 11 and len(got) == 4
     assert mixing.mix_report(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mixed_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_what_is_taken_comes_out_of_the_tree(spark, monkeypatch):
+    """Blocks that the tree gives to no shard are not taken: by the report, by the documents, by the blocks."""
+    docs = documents(spark, corpus())
+    whole = {r.source: 0 for r in mixing.mix_report(docs).collect()}
+    tree = mixing.shard_quotas
+
+    def without_first(blocks, *more):
+        quotas = tree(blocks, *more).copy()
+        quotas[:, 0] = 0
+        return quotas
+
+    monkeypatch.setattr(mixing, "shard_quotas", without_first)
+    report = mixing.mix_report(docs).collect()
+    first = min(s for s in whole if s is not None)
+    assert sum(r.taken for r in report if r.source == first) == 0 < sum(r.taken for r in report)
+    assert first not in {r.source for r in mixing.mixed_documents(docs).collect()}
+
+
+def test_documents_come_in_the_order_of_their_shards(spark):
+    docs = documents(spark, corpus())
+    place = {}
+    for r in mixing.mix_blocks(docs, shards=8).collect():
+        key = (r.doc_id, r["pass"])
+        if key not in place or r.block < place[key][0]:
+            place[key] = (r.block, r.shard, r.order)
+    got = [r.doc_id for r in mixing.mixed_documents(docs, shards=8).collect()]
+    assert got == [d for d, _ in sorted(place, key=lambda k: place[k][1:])]
+    assert got != sorted(got)
