@@ -157,17 +157,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_tokens
     ids. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    cut = scratch.save(pieces(docs, tokenizer, capacity), "pieces")
+    # The number is written, so a piece stays in its group; by its values, rows that are the same would share one.
+    cut = scratch.save(pieces(docs, tokenizer, capacity).withColumn("nth", F.monotonically_increasing_id()), "pieces")
     total = cut.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64("nth"), F.lit(groups)))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         bins, offsets = best_fit_decreasing(group["length"].to_numpy(), capacity)
         first = group["group"][0].as_py() << 32
         group = group.append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets))
-        return group.drop_columns("group")
+        return group.drop_columns(["group", "nth"])
 
     return dealt.groupBy("group").applyInArrow(run, f"{PIECE_SCHEMA}, sequence_id long, offset long")
 

@@ -86,3 +86,14 @@ def test_empty_table_null_and_repeated_ids(spark):
     got = packing.pack(spark.createDataFrame(rows, SCHEMA), PATH).collect()
     assert len(got) == 6 and len({r.sequence_id for r in got}) == 1
     assert sorted(r.offset for r in got) == [0, 3, 6, 9, 12, 13]
+
+
+def test_rows_that_are_the_same_spread_over_the_groups(spark):
+    """A third of all rows without id and with one text: no group holds much more than its share."""
+    rows = [(None, "same words here", "en", "s", 1)] * 3000 + [(i, f"text {i}", "en", "s", 1) for i in range(6000)]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA), PATH, 64, group_tokens=2500).collect()
+    assert len(got) == len(rows)
+    groups = defaultdict(int)
+    for r in got:
+        groups[r.sequence_id >> 32] += 1
+    assert len(groups) > 8 and max(groups.values()) < 1.3 * len(rows) / len(groups)
