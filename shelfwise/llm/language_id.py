@@ -45,8 +45,8 @@ class Profiles:
         return out
 
 
-def _symbols(size: int = 1 << 16) -> np.ndarray:
-    """Symbol of every code point: a-z have their own, other letters share 37 by their code, all else is a gap."""
+def _symbols(size: int = 0x110000) -> np.ndarray:
+    """Symbol of every code point of all planes: a-z have their own, other letters share 37 by their code, all else is a gap."""
     chars = [chr(c) for c in range(size)]
     out = np.zeros(size, np.uint8)
     for c, ch in enumerate(chars):
@@ -72,8 +72,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
     sizes = np.array([c.size for c in codes], np.int64)
     flat = np.concatenate([np.zeros(0, "<u4"), *codes])
-    symbol = table[np.minimum(flat, table.size - 1)].astype(np.int32)
-    symbol[flat >= table.size] = BETWEEN
+    symbol = table[flat].astype(np.int32)
     text = np.repeat(np.arange(sizes.size), sizes)
     # A gap stands before and after every text, and a run of gaps is one.
     ends = np.cumsum(sizes + 2)
@@ -141,7 +140,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
 
     ``lang_pred`` is the language whose prototype has the largest cosine with the text's bundle, ties to the first by
     name; ``score`` is that cosine, 0 to 1. A text that is null or has no letter is ``und`` with score 0, and so is
-    every text when nothing was learnt. Repeated rows come out as often as they went in.
+    every text when nothing was learnt. Letters of all planes count. Texts of any length are bundled whole, some thousand
+    different trigrams at a time. Repeated rows come out as often as they went in. An empty table gives no rows.
     """
     names = sorted(prototypes)
     spark = docs.sparkSession
