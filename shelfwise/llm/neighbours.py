@@ -33,7 +33,7 @@ def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     taken = df.where(F.col(id_col).isNotNull() & v.isNotNull()).where(finite & F.exists(v, lambda x: x != 0))
-    vec = F.transform(v, lambda x: x.cast("float") + F.lit(0.0).cast("float"))  # no negative zero
+    vec = F.transform(v, lambda x: x.cast("double") + F.lit(0.0))  # no negative zero
     return taken.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"))
 
 
@@ -44,8 +44,9 @@ def _nodes(vectors: DataFrame, top: int) -> DataFrame:
     return kept.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+def _matrix(column: pa.ChunkedArray, dim: int, kind: type = np.float32) -> np.ndarray:
+    """Vectors as rows: in single precision for the graph and the search, in double for the scores that come out."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
 
 
 def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -81,7 +82,7 @@ def _similar(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-NODE_SCHEMA = "shard long, node int, dim int, vec array<float>, ids array<long>, near array<int>, sims array<float>, fresh array<boolean>"
+NODE_SCHEMA = "shard long, node int, dim int, vec array<double>, ids array<long>, near array<int>, sims array<float>, fresh array<boolean>"
 NODE_COLUMNS = ["shard", "node", "dim", "vec", "ids", "near", "sims", "fresh"]
 
 
@@ -250,7 +251,8 @@ def _search(top: int, degree: int, beam: int):
             found = greedy_search(x, _edges(near, sims, 2 * degree), q, beam)
             query, column = np.nonzero(found >= 0)
             node = found[query, column]
-            score = np.einsum("ij,ij->i", q[query].astype(np.float64), x[node].astype(np.float64))
+            exact, asked_exact = (_matrix(t["vec"], dim, np.float64) for t in (table, asked))
+            score = np.einsum("ij,ij->i", asked_exact[query], exact[node])
             lists = table["ids"].combine_chunks()
             ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
             sizes = (ends[1:] - ends[:-1])[node]

@@ -64,3 +64,13 @@ def test_awkward_rows(spark):
     got = as_lists(neighbours.self_search(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)))
     assert got == {0: [(3, 1.0), (1, 0.5)]}
     assert neighbours.self_search(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_double_vectors_are_scored_as_they_are(spark):
+    rows = [(i, [0.1 * i + 0.01, 0.17, -0.3 * (i % 7)]) for i in range(41)]
+    got = neighbours.self_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    by_id = dict(rows)
+    assert len(got) == 60
+    for r in got:
+        want = float(np.einsum("i,i", np.array(by_id[r.query_id]), np.array(by_id[r.vec_id])))
+        assert abs(r.score - want) <= 4e-16 * max(1.0, abs(want))
