@@ -11,9 +11,11 @@ from shelfwise.session import lookup_join
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-# A line is removed where it stands in more documents of its host than this, and than this share of them.
+# A line is removed where it stands in more documents of its host than this, and than this share of them; in more than
+# LINE_MOST it goes however large the host is.
 LINE_DOCS = 20
 LINE_SHARE = 0.01
+LINE_MOST = 200
 # A document is rejected if the lines left have fewer words than MIN_WORDS or than this share of all its words.
 KEPT_SHARE = 0.5
 NO_HOST = "\x00"
@@ -68,19 +70,21 @@ def _profile(text: Column) -> Column:
     return once(words(text), of)
 
 
-def line_verdicts(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+def line_verdicts(
+    docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_most: int = LINE_MOST
+) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``,
     and ``n_cut_lines, n_left_words``.
 
     The host is ``source``; no source is a host of its own. Lines are compared in lower case (A-Z) with single spaces.
-    A line in more than ``line_docs`` documents of its host and more than ``line_share`` of them is cut; the
-    document is rejected if too few words are left. A document counts a line once, however often it has it; rows
+    A line in more than ``line_docs`` documents of its host and more than ``line_share`` of them is cut, one in more than
+    both ``line_docs`` and ``line_most`` always; the document is rejected if too few words are left. A document counts a line once, however often it has it; rows
     that repeat one another count as documents of their own. Null and empty texts have no word and fail the base
     rule. Nothing depends on the order of rows. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = scratch.save(_rows(docs), "rows")
-    bad, n_bad, load = frequent_lines(rows, scratch, line_docs, line_share)
+    bad, n_bad, load = frequent_lines(rows, scratch, line_docs, line_share, line_most)
     lines = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.n")
     cut = lookup_join(lines, bad, ["host", "h"], "n_docs", n_bad, load)
     cut = cut.groupBy("row").agg(F.count(F.lit(1)).alias("n_cut_lines"), F.sum("n").alias("n_cut_words"))
@@ -103,7 +107,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(
-    rows: DataFrame, scratch: Scratch, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE
+    rows: DataFrame, scratch: Scratch, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_most: int = LINE_MOST
 ) -> tuple[DataFrame, int, int]:
     """``host, h, n_docs`` of the lines above the limits, their number, and the documents they stand in."""
     hashes = F.array_distinct(F.transform("lines", lambda x: x["h"]))
@@ -111,7 +115,7 @@ def frequent_lines(
         F.count(F.lit(1)).alias("n_docs")
     )
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    above = (F.col("n_docs") > line_docs) & (F.col("n_docs") > line_share * F.col("host_docs"))
+    above = (F.col("n_docs") > line_docs) & (F.col("n_docs") > F.least(line_share * F.col("host_docs"), F.lit(float(line_most))))
     bad = scratch.save(
         counts.where(F.col("n_docs") > line_docs).join(hosts, "host").where(above).drop("host_docs"), "bad"
     )
@@ -134,7 +138,7 @@ z AS (SELECT r, host, line, array_to_string(lw, ' ') AS normal, len(lw) AS n FRO
 e AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM z GROUP BY r),
 h AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
 f AS (SELECT host, normal FROM z JOIN h USING (host) GROUP BY host, normal, host_docs
-      HAVING count(DISTINCT r) > {LINE_DOCS} AND count(DISTINCT r) > {LINE_SHARE} * host_docs),
+      HAVING count(DISTINCT r) > {LINE_DOCS} AND count(DISTINCT r) > least({LINE_SHARE} * host_docs, {LINE_MOST})),
 c AS (SELECT r, count(*) AS n_lines, sum(n) AS n_words FROM z SEMI JOIN f USING (host, normal) GROUP BY r),
 g AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AS BIGINT) AS word_chars,

@@ -9,7 +9,7 @@ COLS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat
         "n_cut_lines", "n_left_words"]
 
 
-def brute(rows, line_docs, share):
+def brute(rows, line_docs, share, most=200):
     def normal(line):
         return b" ".join(line.encode().lower().split())
 
@@ -25,7 +25,7 @@ def brute(rows, line_docs, share):
         lines = [x for x in text.split("\n") if x.encode().split()]
         tri = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         covered = {j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
-        cut = [x for x in lines if (n := len(seen[host, normal(x)])) > line_docs and n > share * hosts[host]]
+        cut = [x for x in lines if (n := len(seen[host, normal(x)])) > line_docs and n > min(share * hosts[host], most)]
         left = len(w) - sum(len(x.encode().split()) for x in cut)
         failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
         out.append((doc_id, len(w), sum(len(x.decode()) for x in w), sum(text.count(c) for c in "#*$%&|<>"),
@@ -49,6 +49,9 @@ def test_equals_brute_force(spark):
     got = records(line_rules.line_verdicts(docs, 8, 0.2), *COLS)
     assert got == brute([(i, t, s) for i, (t, s, _) in enumerate(texts, 1)], 8, 0.2)
     assert any(r[8] for r in got) and any(r[7] for r in got)
+    few = records(line_rules.line_verdicts(docs, 3, 0.9, 6), *COLS)
+    assert few == brute([(i, t, s) for i, (t, s, _) in enumerate(texts, 1)], 3, 0.9, 6)
+    assert sum(r[8] for r in few) > sum(r[8] for r in records(line_rules.line_verdicts(docs, 3, 0.9), *COLS))
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark):
