@@ -152,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     chosen = _base(docs).where("NOT held_out").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = chosen.mapInArrow(run, "doc_id long, place long, label int, features array<int>")
     rows = rows.withColumn("part", (F.col("place") % PARTS).cast("int"))
-    rows = scratch.save(rows.repartition(PARTS, "part"), "features")
+    rows = scratch.save(rows.repartitionById(PARTS, "part"), "features")
     release(docs.sparkSession)
     z, n = _train(rows)
     scratch.drop("features")
