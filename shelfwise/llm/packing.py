@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import Scratch, text_chunks, texts
+from shelfwise.llm.common import Scratch, lean, text_chunks, texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]

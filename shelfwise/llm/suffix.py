@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import Scratch, release, text_chunks, texts
+from shelfwise.llm.common import Scratch, lean, release, text_chunks, texts
 from shelfwise.llm.hashing import BASE, Grams
 from shelfwise.session import fits_broadcast
 
@@ -264,7 +264,7 @@ def _packed(docs: DataFrame, several: DataFrame | None) -> DataFrame:
                      pa.array([pack.compress(x) for x in raw], pa.binary())], ["doc", "sub", "packed"]
                 )
 
-    return _keyed(docs, several).mapInArrow(run, "doc long, sub long, packed binary")
+    return _keyed(docs, several).mapInArrow(lean(run), "doc long, sub long, packed binary")
 
 
 def repeated_places(docs: DataFrame, length: int, scratch: Scratch, several: DataFrame | None) -> DataFrame:
@@ -272,7 +272,7 @@ def repeated_places(docs: DataFrame, length: int, scratch: Scratch, several: Dat
     if not 3 <= length < 1 << RUN_BITS:
         raise ValueError(f"length must be from 3 to {(1 << RUN_BITS) - 1}")
     spark, widths = docs.sparkSession, _widths(length)
-    found = _keyed(docs, several).mapInArrow(_anchor_rows(length), ANCHOR_SCHEMA)
+    found = _keyed(docs, several).mapInArrow(lean(_anchor_rows(length)), ANCHOR_SCHEMA)
     level = scratch.save(_reranked(found.withColumnRenamed("key", "r").withColumn("r2", F.lit(0)), "known"), "anchors")
     del found
     release(spark)
@@ -283,14 +283,14 @@ def repeated_places(docs: DataFrame, length: int, scratch: Scratch, several: Dat
 
     covered = places(level, F.lit(0), F.lit(widths[0] - 1))
     zones = level.where("NOT done").groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "r")).alias("zones"))
-    runs = _packed(docs, several).join(zones, ["doc", "sub"]).mapInArrow(_first_runs(length), RUN_SCHEMA)
+    runs = _packed(docs, several).join(zones, ["doc", "sub"]).mapInArrow(lean(_first_runs(length)), RUN_SCHEMA)
     for i, width in enumerate(widths[1:], 1):
         level = scratch.save(_reranked(runs, "low", "high", "left", "bytes"), f"round-{i}")
         del runs
         release(spark)
         covered = covered.union(places(level, F.col("low"), F.col("high")))
         if width > 1:
-            runs = level.where("NOT done").mapInArrow(_next_runs(width, widths[i + 1], length), RUN_SCHEMA)
+            runs = level.where("NOT done").mapInArrow(lean(_next_runs(width, widths[i + 1], length)), RUN_SCHEMA)
     return covered.groupBy("doc", "sub").agg(F.collect_list("place").alias("places"))
 
 
@@ -341,7 +341,7 @@ def removal_digests(docs: DataFrame, length: int = 100) -> DataFrame:
             )
 
     rows = _packed(docs, several).withColumn("copy", _copies()).join(places, ["doc", "sub"], "left")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:

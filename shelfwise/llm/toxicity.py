@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import Scratch, release, text_chunks
+from shelfwise.llm.common import Scratch, lean, release, text_chunks
 from shelfwise.llm.hashing import Words, mix
 
 DIMENSIONS = 1 << 20
@@ -103,7 +103,7 @@ def _train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     for _ in range(EPOCHS):
         state = spark.sparkContext.broadcast((z, n))
-        changes = rows.mapInArrow(_pass_over(state), "at int, dz double, dn double")
+        changes = rows.mapInArrow(lean(_pass_over(state)), "at int, dz double, dn double")
         table = changes.groupBy("at").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn")).toArrow()
         at, dz, dn = (table[c].to_numpy() for c in ("at", "dz", "dn"))
         total = max(1.0, dz[at < 0].sum())
@@ -150,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     # The sample's bound is what allows the broadcast.
     chosen = _base(docs).where("NOT held_out").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = chosen.mapInArrow(run, "doc_id long, place long, label int, features array<int>")
+    rows = chosen.mapInArrow(lean(run), "doc_id long, place long, label int, features array<int>")
     rows = rows.withColumn("part", (F.col("place") % PARTS).cast("int"))
     rows = scratch.save(rows.repartitionById(PARTS, "part"), "features")
     release(docs.sparkSession)
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
                     ["doc_id", "held_out", "score", "predicted"],
                 )
 
-    return _base(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return _base(docs).mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -218,4 +218,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
                 raw = [x.as_py() or b"" for x in part.column(place).cast(pa.binary())]
                 yield part.filter(pa.array(_scores(raw, dense, constant) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
