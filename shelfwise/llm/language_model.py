@@ -9,7 +9,7 @@ of an unknown one in each class sum to one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import Scratch, release, text_chunks
+from shelfwise.llm.common import Scratch, lean, release, text_chunks
 from shelfwise.llm.hashing import Words, mix
 
 SINGLES = 32  # classes of one token: the end and the most frequent words
@@ -29,7 +29,8 @@ UNSEEN = 0.5  # added to every class, so none is empty
 END = 1  # hash of the end of a text
 START = 2  # stands before the first token
 BATCH = 8192
-RATE, EASE = 1.0, 4.0
+ROUNDS = 5
+RATE, EASE = 0.5, 1.0
 # Words with at least this share of all training tokens are known to every task: there can be 2^20 of them.
 HEAD_SHARE = 2.0**-20
 
@@ -78,27 +79,44 @@ def _log_softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np
     return z
 
 
-class Learner:
-    """Gradient steps over batches of tokens; a row's step shrinks with the times that its feature has come."""
+def _softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = prior + weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]]
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+class Gradient:
+    """Sums over tokens, per row of the feature tables and class: how often the class came, and how often the weights
+    expect it. Their difference is the gradient of the log likelihood; no order of the tokens matters."""
 
-    def __init__(self, prior: np.ndarray):
-        self.prior = prior
-        self.weights = np.zeros((3 * TABLE, CLASSES), np.float32)
-        self.seen = np.zeros(3 * TABLE)
+    def __init__(self, prior: np.ndarray, weights: np.ndarray):
+        self.prior, self.weights = prior, weights
+        self.observed, self.expected = np.zeros((2, 3 * TABLE, CLASSES))
 
-    def learn(self, rows: np.ndarray, classes: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, classes: np.ndarray) -> None:
+        codes = rows.astype(np.int64) * CLASSES + classes[:, None]
+        self.observed += np.bincount(codes.ravel(), minlength=3 * TABLE * CLASSES).reshape(3 * TABLE, CLASSES)
         for a in range(0, classes.size, BATCH):
-            r, c = rows[a : a + BATCH], classes[a : a + BATCH]
-            error = np.exp(_log_softmax(self.weights, self.prior, r))
-            error[np.arange(c.size), c] -= 1
+            r = rows[a : a + BATCH]
+            p = _softmax(self.weights, self.prior, r)
             for kind in range(3):
                 order = np.argsort(r[:, kind], kind="stable")
                 row, first = np.unique(r[order, kind], return_index=True)
-                total = np.add.reduceat(error[order], first, axis=0)
-                n = np.diff(np.append(first, order.size))
-                self.seen[row] += n
-                step = RATE / (n + EASE) * np.sqrt(n / self.seen[row])
-                self.weights[row] -= step[:, None].astype(np.float32) * total
+                self.expected[row] += np.add.reduceat(p[order], first, axis=0)
+
+
+def step(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Weights after a gradient step with a rate for each weight.
+
+    The rate is that of iterative scaling: one over the logarithmic mean of both sums, so that a weight that stood alone
+    would come right at a ``RATE`` of one. ``EASE`` is added to both, so rare features move little.
+    """
+    o, e = observed + EASE, expected + EASE
+    near = np.abs(o - e) < 1e-6 * e
+    mean = np.where(near, e, (o - e) / np.where(near, 1.0, np.log(o / e)))
+    return (weights + RATE * (observed - expected) / mean).astype(np.float32)
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -202,34 +220,53 @@ def unigrams(vocab: DataFrame) -> Unigrams:
 
 
 def train(docs: DataFrame, known: Unigrams) -> np.ndarray:
-    """Weights of the feature tables after one pass over all texts that are learnt from.
+    """Weights of the feature tables after ``ROUNDS`` gradient steps, each over its own share of the learnt texts.
 
-    Every task takes gradient steps over its own texts; a row's weights are then averaged over the tasks by the times
-    each has seen its feature. Sums are made by Spark; the result has the size of the tables.
+    A round takes the texts whose hash falls to it. Its tasks add up the gradient at the broadcast weights, Spark sums
+    over the tasks, and all weights move together. The sums are the same however the table is split, so the model
+    depends on the rows alone. What reaches the driver in a round has the size of the feature tables.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    spark = docs.sparkSession
     columns = [f"w{i}" for i in range(CLASSES)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(shared.value.prior)
-        for batch in batches:
-            for part in text_chunks(batch, "text"):
-                t = Tokens.of(_raw(part))
-                learner.learn(t.features(), shared.value.classes(t))
-        row = np.flatnonzero(learner.seen)
-        scaled = learner.weights[row] * learner.seen[row, None]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(row.astype(np.int32)), pa.array(learner.seen[row]),
-             *(pa.array(scaled[:, i].astype(np.float32)) for i in range(CLASSES))], ["at", "seen", *columns]
-        )
-
-    schema = "at int, seen double, " + ", ".join(f"{c} float" for c in columns)
-    steps = _base(docs).where("NOT held_out").select("text").mapInArrow(run, schema)
-    table = steps.groupBy("at").agg(F.sum("seen").alias("seen"), *[F.sum(c).alias(c) for c in columns]).toArrow()
-    weights = np.zeros((3 * TABLE, CLASSES), np.float32)
-    if table.num_rows:
-        total = np.stack([table[c].to_numpy() for c in columns], axis=1)
-        weights[table["at"].to_numpy()] = total / table["seen"].to_numpy()[:, None]
+    schema = "at int, " + ", ".join(f"{c} float" for c in columns)
+    rows = 3 * TABLE
+    weights, prior = np.zeros((rows, CLASSES), np.float32), known.prior
+    learnt = _base(docs).where("NOT held_out").select("text")
+    unigrams = spark.sparkContext.broadcast(known)
+
+    def sums(weights) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for part in text_chunks(batch, "text"):
+                    total = total or Gradient(prior, weights.value)
+                    t = Tokens.of(_raw(part))
+                    total.add(t.features(), unigrams.value.classes(t))
+            if total is None:
+                return
+            both = np.concatenate([total.observed, total.expected])
+            at = np.flatnonzero(both.any(axis=1))
+            for a in range(0, at.size, BATCH):
+                some = at[a : a + BATCH]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), *(pa.array(both[some, i].astype(np.float32)) for i in range(CLASSES))],
+                    ["at", *columns],
+                )
+
+        return run
+
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(weights)
+        share = learnt.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn)
+        found = share.mapInArrow(lean(sums(shared)), schema)
+        table = found.groupBy("at").agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toArrow()
+        if table.num_rows:
+            both = np.zeros((2 * rows, CLASSES))
+            both[table["at"].to_numpy()] = np.stack([table[c].to_numpy() for c in columns], axis=1)
+            weights = step(weights, both[:rows], both[rows:])
+        shared.destroy()
+        del share, found, table
+        release(spark)
     return weights
 
 

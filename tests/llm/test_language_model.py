@@ -67,6 +67,35 @@ def test_probabilities_of_all_tokens_sum_to_one(spark):
     assert np.abs(weights).max() > 0.1
 
 
+def test_scores_do_not_depend_on_how_the_rows_are_split(spark):
+    docs = documents(spark, corpus()[:120] + ["the same again"] * 40)
+    seen = []
+    for n in (1, 8, 61):
+        seen.append({r.doc_id: r.score for r in lm.score_texts(docs.repartition(n)).collect()})
+    for other in seen[1:]:
+        assert all(math.isclose(other[i], s, rel_tol=1e-6) for i, s in seen[0].items())
+
+
+def test_a_gradient_equals_one_made_token_by_token():
+    rng = np.random.default_rng(5)
+    t = lm.Tokens.of([" ".join(f"v{i}" for i in rng.integers(0, 30, 400)).encode() for _ in range(3)])
+    rows, classes = t.features(), t.endings
+    weights = rng.normal(size=(3 * lm.TABLE, lm.CLASSES)).astype(np.float32)
+    prior = np.zeros(lm.CLASSES, np.float32)
+    got = lm.Gradient(prior, weights)
+    got.add(rows, classes)
+    observed, expected = np.zeros((2, 3 * lm.TABLE, lm.CLASSES))
+    for places, c in zip(rows, classes, strict=True):
+        z = np.exp(weights[places].astype(float).sum(axis=0))
+        for p in places:
+            observed[p, c] += 1
+            expected[p] += z / z.sum()
+    assert np.array_equal(got.observed, observed) and np.allclose(got.expected, expected, atol=1e-3)
+    moved = lm.step(weights, observed, expected)
+    up = (observed > expected + 0.1) & (moved <= weights)
+    assert not up.any() and np.array_equal(moved[~observed.any(axis=1)], weights[~observed.any(axis=1)])
+
+
 def test_nothing_learnt_null_ids_and_empty_tables(spark):
     i = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     got = lm.score_texts(spark.createDataFrame([(i, "a b", None, None, 1)] * 2, SCHEMA)).collect()
