@@ -28,7 +28,8 @@ DISCOUNT = 0.5
 UNSEEN = 0.5  # added to every class, so none is empty
 END = 1  # hash of the end of a text
 START = 2  # stands before the first token
-BATCH = 8192
+BATCH = 16384  # contexts scored at a time
+BLOCK = 512  # rows of the feature tables whose sums travel together
 ROUNDS = 5
 RATE, EASE = 0.5, 1.0
 # Words with at least this share of all training tokens are known to every task: there can be 2^20 of them.
@@ -72,19 +73,35 @@ class Tokens:
         return np.stack(rows, axis=1)
 
 
-def _log_softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = prior + weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+def _contexts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of ``features`` in some texts, the place of each token's among them, and how many have it."""
+    key = (rows[:, 1].astype(np.int64) * (3 * TABLE) + rows[:, 0]) * (3 * TABLE) + rows[:, 2]
+    _, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    return rows[first], inverse, n
 
 
-def _softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = prior + weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def _scores(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of every class's sum of weights, less the largest, and that largest."""
+    z = weights[rows[:, 0]]
+    z += weights[rows[:, 1]]
+    z += weights[rows[:, 2]]
+    z += prior
+    top = z.max(axis=1, keepdims=True)
+    z -= top
+    return np.exp(z, out=z), top[:, 0]
+
+
+def class_logs(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each token's class after its features."""
+    contexts, inverse, _ = _contexts(rows)
+    norm = np.empty(len(contexts))
+    for a in range(0, len(contexts), BATCH):
+        z, top = _scores(weights, prior, contexts[a : a + BATCH])
+        norm[a : a + BATCH] = np.log(z.sum(axis=1)) + top
+    own = prior[classes].astype(float)
+    for kind in range(3):
+        own += weights[rows[:, kind], classes]
+    return own - norm[inverse]
 
 
 class Gradient:
@@ -98,13 +115,53 @@ class Gradient:
     def add(self, rows: np.ndarray, classes: np.ndarray) -> None:
         codes = rows.astype(np.int64) * CLASSES + classes[:, None]
         self.observed += np.bincount(codes.ravel(), minlength=3 * TABLE * CLASSES).reshape(3 * TABLE, CLASSES)
-        for a in range(0, classes.size, BATCH):
-            r = rows[a : a + BATCH]
-            p = _softmax(self.weights, self.prior, r)
+        contexts, _, n = _contexts(rows)
+        every = np.arange(CLASSES)
+        for a in range(0, len(contexts), BATCH):
+            some = contexts[a : a + BATCH]
+            p, _ = _scores(self.weights, self.prior, some)
+            p *= (n[a : a + BATCH] / p.sum(axis=1)).astype(np.float32)[:, None]
+            p = p.ravel()
             for kind in range(3):
-                order = np.argsort(r[:, kind], kind="stable")
-                row, first = np.unique(r[order, kind], return_index=True)
-                self.expected[row] += np.add.reduceat(p[order], first, axis=0)
+                at = ((some[:, kind] - kind * TABLE).astype(np.int64)[:, None] * CLASSES + every).ravel()
+                sums = np.bincount(at, weights=p, minlength=TABLE * CLASSES)
+                self.expected[kind * TABLE : (kind + 1) * TABLE] += sums.reshape(TABLE, CLASSES)
+
+    def packed(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Both sums in blocks of ``BLOCK`` rows: number of the block, its rows that are not empty, and their sums."""
+        both = np.concatenate([self.observed, self.expected])
+        for block in range(len(both) // BLOCK):
+            part = both[block * BLOCK : (block + 1) * BLOCK]
+            at = np.flatnonzero(part.any(axis=1)).astype(np.int32)
+            if at.size:
+                yield block, at, part[at].astype(np.float32)
+
+
+SUMS_SCHEMA = "block int, at binary, sums binary"
+
+
+def _sums_batch(block: int, at: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int32()), pa.array([at.tobytes()]), pa.array([sums.tobytes()])], ["block", "at", "sums"]
+    )
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for block, at, sums in zip(*(batch.column(c) for c in ("block", "at", "sums")), strict=True):
+        rows = np.frombuffer(at.as_py(), np.int32)
+        yield block.as_py(), rows, np.frombuffer(sums.as_py(), np.float32).reshape(rows.size, CLASSES)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums per block over the tasks; a partition holds all of a block, one after another, and keeps its total only."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, at, sums in _unpacked(batch):
+            if block not in total:
+                total[block] = np.zeros((BLOCK, CLASSES))
+            total[block][at] += sums
+    for block, sums in total.items():
+        yield _sums_batch(block, np.arange(BLOCK, dtype=np.int32), sums.astype(np.float32))
 
 
 def step(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -227,8 +284,6 @@ def train(docs: DataFrame, known: Unigrams) -> np.ndarray:
     depends on the rows alone. What reaches the driver in a round has the size of the feature tables.
     """
     spark = docs.sparkSession
-    columns = [f"w{i}" for i in range(CLASSES)]
-    schema = "at int, " + ", ".join(f"{c} float" for c in columns)
     rows = 3 * TABLE
     weights, prior = np.zeros((rows, CLASSES), np.float32), known.prior
     learnt = _base(docs).where("NOT held_out").select("text")
@@ -242,27 +297,21 @@ def train(docs: DataFrame, known: Unigrams) -> np.ndarray:
                     total = total or Gradient(prior, weights.value)
                     t = Tokens.of(_raw(part))
                     total.add(t.features(), unigrams.value.classes(t))
-            if total is None:
-                return
-            both = np.concatenate([total.observed, total.expected])
-            at = np.flatnonzero(both.any(axis=1))
-            for a in range(0, at.size, BATCH):
-                some = at[a : a + BATCH]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), *(pa.array(both[some, i].astype(np.float32)) for i in range(CLASSES))],
-                    ["at", *columns],
-                )
+            for block in total.packed() if total else ():
+                yield _sums_batch(*block)
 
         return run
 
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(weights)
         share = learnt.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn)
-        found = share.mapInArrow(lean(sums(shared)), schema)
-        table = found.groupBy("at").agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toArrow()
+        found = share.mapInArrow(lean(sums(shared)), SUMS_SCHEMA).repartition("block").mapInArrow(_merged, SUMS_SCHEMA)
+        table = found.toArrow()
         if table.num_rows:
             both = np.zeros((2 * rows, CLASSES))
-            both[table["at"].to_numpy()] = np.stack([table[c].to_numpy() for c in columns], axis=1)
+            for batch in table.to_batches():
+                for block, at, sums_of in _unpacked(batch):
+                    both[block * BLOCK + at] += sums_of
             weights = step(weights, both[:rows], both[rows:])
         shared.destroy()
         del share, found, table
@@ -288,10 +337,7 @@ def _parts(docs: DataFrame, known: Unigrams, weights: np.ndarray) -> DataFrame:
                 raw = _raw(part)
                 t, m = Tokens.of(raw), len(raw)
                 classes, rows = known.classes(t), t.features()
-                logs = np.empty(classes.size)
-                for a in range(0, classes.size, BATCH):
-                    c = classes[a : a + BATCH]
-                    logs[a : a + BATCH] = _log_softmax(weights, prior, rows[a : a + BATCH])[np.arange(c.size), c]
+                logs = class_logs(weights, prior, rows, classes)
                 at = np.minimum(np.searchsorted(known.head, t.hashes), max(known.head.size - 1, 0))
                 hit = known.head[at] == t.hashes if known.head.size else np.zeros(classes.size, bool)
                 counts = known.head_counts[at[hit]]

@@ -62,8 +62,9 @@ def test_probabilities_of_all_tokens_sum_to_one(spark):
         else:
             assert seen in (0, 1)
     weights = lm.train(docs, known)
-    logs = lm._log_softmax(weights, known.prior, lm.Tokens.of([b"the v1 v2 of"]).features())
-    assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-5)
+    rows = lm.Tokens.of([b"the v1 v2 of"]).features()
+    logs = [lm.class_logs(weights, known.prior, rows, np.full(len(rows), k)) for k in range(lm.CLASSES)]
+    assert np.allclose(np.exp(logs).sum(axis=0), 1, atol=1e-5)
     assert np.abs(weights).max() > 0.1
 
 
@@ -96,6 +97,35 @@ def test_a_gradient_equals_one_made_token_by_token():
     assert not up.any() and np.array_equal(moved[~observed.any(axis=1)], weights[~observed.any(axis=1)])
 
 
+def test_sums_of_tasks_are_put_together_block_by_block():
+    rng = np.random.default_rng(6)
+    weights, prior = np.zeros((3 * lm.TABLE, lm.CLASSES), np.float32), np.zeros(lm.CLASSES, np.float32)
+    whole, batches = lm.Gradient(prior, weights), []
+    for _ in range(3):
+        t = lm.Tokens.of([" ".join(f"v{i}" for i in rng.integers(0, 30, 200)).encode()])
+        part = lm.Gradient(prior, weights)
+        for total in (part, whole):
+            total.add(t.features(), t.endings)
+        batches += [lm._sums_batch(*x) for x in part.packed()]
+    got = np.zeros((6 * lm.TABLE, lm.CLASSES))
+    for batch in lm._merged(iter(batches)):
+        for block, at, sums in lm._unpacked(batch):
+            got[block * lm.BLOCK + at] += sums
+    assert np.allclose(got, np.concatenate([whole.observed, whole.expected]), atol=1e-4)
+    assert list(lm._merged(iter([]))) == []
+
+
+def test_class_logs_equal_a_plain_softmax():
+    rng = np.random.default_rng(7)
+    t = lm.Tokens.of([" ".join(f"v{i}" for i in rng.integers(0, 9, 300)).encode(), b""])
+    weights = rng.normal(size=(3 * lm.TABLE, lm.CLASSES)).astype(np.float32)
+    prior = rng.normal(size=lm.CLASSES).astype(np.float32)
+    got = lm.class_logs(weights, prior, t.features(), t.endings)
+    for places, c, log in zip(t.features(), t.endings, got, strict=True):
+        z = prior.astype(float) + weights[places].astype(float).sum(axis=0)
+        assert abs(z[c] - np.log(np.exp(z).sum()) - log) < 1e-4
+
+
 def test_nothing_learnt_null_ids_and_empty_tables(spark):
     i = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     got = lm.score_texts(spark.createDataFrame([(i, "a b", None, None, 1)] * 2, SCHEMA)).collect()
