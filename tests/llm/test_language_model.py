@@ -126,6 +126,58 @@ def test_class_logs_equal_a_plain_softmax():
         assert abs(z[c] - np.log(np.exp(z).sum()) - log) < 1e-4
 
 
+def plain_weights(known, shares):
+    """The rounds of training, token by token and class by class."""
+    weights = {}
+
+    def chances(places):
+        z = [float(known.prior[c]) + sum(weights.get((p, c), 0.0) for p in places) for c in range(lm.CLASSES)]
+        total = sum(map(math.exp, z))
+        return [math.exp(x) / total for x in z]
+
+    for share in shares:
+        observed, expected = Counter(), Counter()
+        for text in share:
+            t = lm.Tokens.of([text.encode()])
+            for places, c in zip(t.features().tolist(), known.classes(t).tolist(), strict=True):
+                p = chances(places)
+                for place in places:
+                    observed[place, c] += 1
+                    for k in range(lm.CLASSES):
+                        expected[place, k] += p[k]
+        for key, e in expected.items():
+            o, e = observed[key] + lm.EASE, e + lm.EASE
+            mean = e if abs(o - e) < 1e-6 * e else (o - e) / math.log(o / e)
+            weights[key] = weights.get(key, 0.0) + lm.RATE * (o - e) / mean
+    return chances
+
+
+def test_scores_equal_a_model_trained_token_by_token(spark):
+    texts = [x[:200] for x in corpus()[:60]] + ["never heard", ""]
+    docs = documents(spark, texts)
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(1, len(texts) + 1)]
+    learnt = [x for x, h in zip(texts, held, strict=True) if not h]
+    round_of = {r.text: r.r for r in docs.selectExpr("text", f"pmod(xxhash64(text), {lm.ROUNDS}) AS r").collect()}
+    known = lm.unigrams(Scratch(spark, "t").save(lm.vocabulary(docs), "vocabulary"))
+    chances = plain_weights(known, [[x for x in learnt if round_of[x] == r] for r in range(lm.ROUNDS)])
+    counts = Counter(w for x in learnt for w in tokens(x))
+    kind = {w: int(known.classes(lm.Tokens.of([b"" if w is None else w]))[0]) for x in texts for w in tokens(x)}
+    size, types = Counter(), Counter()
+    for w, c in counts.items():
+        size[kind[w]] += c
+        types[kind[w]] += 1
+    got = {r.doc_id: r.score for r in lm.score_texts(docs).collect()}
+    for i, x in enumerate(texts, 1):
+        want = 0.0
+        for places, w in zip(lm.Tokens.of([x.encode()]).features().tolist(), tokens(x), strict=True):
+            k = kind[w]
+            want += math.log10(chances(places)[k])
+            if k >= lm.SINGLES:
+                own = max(counts[w] - lm.DISCOUNT, 0.5) if counts[w] else lm.DISCOUNT * types[k] + lm.UNSEEN
+                want += math.log10(own / (size[k] + lm.UNSEEN))
+        assert math.isclose(got[i], want, rel_tol=1e-4)
+
+
 def test_nothing_learnt_null_ids_and_empty_tables(spark):
     i = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     got = lm.score_texts(spark.createDataFrame([(i, "a b", None, None, 1)] * 2, SCHEMA)).collect()
