@@ -14,10 +14,10 @@ from shelfwise.llm.hashing import Words, mix
 
 DIMENSIONS = 1 << 20
 # At most about so many labelled rows are learnt from: those with the smallest hashes of their ids.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 24_000
 # The sample is learnt in so many parts side by side, whatever the cluster, and the parts are averaged after each epoch.
 PARTS = 4
-EPOCHS = 6
+EPOCHS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 BIAS = DIMENSIONS  # place of the constant feature
 THRESHOLD = 0.7

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -76,3 +77,52 @@ def test_nothing_to_learn_from_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a", None, None, 1)] * 2 + [(7, None, None, None, 1)], SCHEMA)
     assert [(r.score, r.predicted) for r in toxicity.assess(docs, none).collect()] == [(0.5, 0)] * 3
     assert toxicity.assess(spark.createDataFrame([], SCHEMA), none).count() == 0
+
+
+def plain_ftrl(parts):
+    """The learner coordinate by coordinate: every part goes on from the mean of all, weighed by their rows."""
+    z, n = {}, {}
+    total = sum(map(len, parts))
+
+    def weight(z, n, i):
+        short = 0.0 if i == toxicity.BIAS else toxicity.L1
+        flat = 0.0 if i == toxicity.BIAS else toxicity.L2
+        if abs(z) <= short:
+            return 0.0
+        return -(z - math.copysign(short, z)) / ((toxicity.BETA + math.sqrt(n)) / toxicity.ALPHA + flat)
+
+    for _ in range(toxicity.EPOCHS):
+        dz, dn = {}, {}
+        for part in parts:
+            zp, np_ = dict(z), dict(n)
+            for places, label in part:
+                every = [*places, toxicity.BIAS]
+                w = {i: weight(zp.get(i, 0.0), np_.get(i, 0.0), i) for i in every}
+                g = 1 / (1 + math.exp(-sum(w.values()))) - label
+                for i in every:
+                    before = np_.get(i, 0.0)
+                    np_[i] = before + g * g
+                    zp[i] = zp.get(i, 0.0) + g - (math.sqrt(np_[i]) - math.sqrt(before)) / toxicity.ALPHA * w[i]
+            for i in np_:
+                dz[i] = dz.get(i, 0.0) + (zp[i] - z.get(i, 0.0)) * len(part) / total
+                dn[i] = dn.get(i, 0.0) + (np_[i] - n.get(i, 0.0)) * len(part) / total
+        for i in dn:
+            z[i], n[i] = z.get(i, 0.0) + dz[i], n.get(i, 0.0) + dn[i]
+    return {i: w for i in n if (w := weight(z[i], n[i], i))}
+
+
+def test_weights_equal_those_learnt_coordinate_by_coordinate(spark):
+    texts, labels = corpus(spark)
+    docs = documents(spark, texts)
+    truth = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and r.doc_id and r.doc_id <= len(texts)}
+    places = {r.doc_id: r.p for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {1 << 30}) AS p").collect()}
+    parts = [[] for _ in range(toxicity.PARTS)]
+    for i in sorted(truth, key=places.get):
+        if not held(i):
+            found, _ = toxicity.features([(texts[i - 1] or "").encode()])
+            parts[places[i] % toxicity.PARTS].append((sorted(set(found.tolist())), truth[i]))
+    want = plain_ftrl(parts)
+    at, w, constant = toxicity.learn(docs, labels)
+    got = dict(zip(at.tolist(), w.tolist(), strict=True)) | {toxicity.BIAS: constant}
+    assert len(got) > 3 and got.keys() == want.keys()
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-6, abs_tol=1e-9) for i in want)
