@@ -31,6 +31,8 @@ _MIN_CELL_PAIRS = 1 << 20
 # A task of more pairs is cut, so that a lost executor costs minutes; only beyond it do slices follow the queries.
 _MAX_CELL_PAIRS = 1 << 40
 _CELLS_PER_CORE = 3
+# A starting cluster that still reports few cores is planned for as many as this.
+_LEAST_CORES = 12
 _PARTITION_BYTES = 128 << 20
 # Vectors that travel in one row.
 _PACK_ROWS = 1024
@@ -72,8 +74,9 @@ def block_top_k(
     Candidates are packed, written once and hashed into runs that fit a task's memory, queries into slices. A cell is one
     slice against one run: its task reads the run and streams the slice past it in blocks, keeping k rows per query of
     a block, so no pair is ever written out and memory is bounded by run and block, whatever the size of a group. A run
-    is read once per slice and a query sent once per run; the number of slices follows the cores, not the queries,
-    until a cell would hold ``_MAX_CELL_PAIRS``. Large groups are cut into many cells by their work.
+    is read once per slice and a query sent once per run; the number of slices follows the cores, not the queries and
+    not the shuffle partitions, which are set by the input's size, until a cell would hold ``_MAX_CELL_PAIRS``. Large
+    groups are cut into many cells by their work.
 
     Result: ``(qid, qlabel, cid, clabel, score, rank)``; ``score`` is NULL where a vector is missing.
     """
@@ -166,6 +169,11 @@ def _dimension(vectors: DataFrame) -> int:
     return first["d"] if first else 1
 
 
+def _cores(spark: SparkSession) -> int:
+    """Cores that cells are cut for. Candidates are copied for them, so shuffle partitions count up to a bound only."""
+    return max(spark.sparkContext.defaultParallelism, min(parallelism(spark), _LEAST_CORES))
+
+
 @dataclass(frozen=True)
 class _Limits:
     """Largest query block, longest candidate run and intended pairs of a cell."""
@@ -179,7 +187,7 @@ class _Limits:
         return cls(
             max(1, min(_MAX_QUERIES, _MAX_STATE_BYTES // (24 * k + 8 * dim))),
             max(_BLOCK, _MAX_CELL_BYTES // (4 * dim + 32)),
-            max(total_pairs / (_CELLS_PER_CORE * parallelism(spark)), _MIN_CELL_PAIRS),
+            max(total_pairs / (_CELLS_PER_CORE * _cores(spark)), _MIN_CELL_PAIRS),
         )
 
     def grid(self, nq, nv, ceil, largest, smallest):

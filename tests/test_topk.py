@@ -164,6 +164,26 @@ def test_slices_follow_the_cores_and_not_the_queries(spark):
     assert 10**18 / slices / runs > topk._MAX_CELL_PAIRS / 2
 
 
+def test_copies_do_not_follow_the_shuffle_partitions(spark, monkeypatch):
+    """Partitions are set by the input's size: slices that follow them copy the square of the input."""
+    monkeypatch.setattr(topk, "_MIN_CELL_PAIRS", 100)
+    v = spark.createDataFrame(as_rows(dict(enumerate(vectors(2, 300)))), PLAIN)
+    q = spark.createDataFrame(as_rows(dict(enumerate(vectors(1, 30_000, d=2, missing=0.1)))), PLAIN)
+    q = q.withColumn("vector", F.concat("vector", "vector"))
+    cells, most = [], topk._CELLS_PER_CORE * max(spark.sparkContext.defaultParallelism, topk._LEAST_CORES)
+    set_before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (12, 600):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            cells.append(block_top_k(q, v, 3).rdd.getNumPartitions())
+            limits = topk._Limits.of(spark, 540_000 * 615_000, 64, 100)
+            slices, _, runs, _ = limits.grid(540_000, 615_000, math.ceil, max, min)
+            assert slices * runs <= most
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", set_before)
+    assert max(cells) <= most
+
+
 def test_partitions_do_not_grow_with_the_query_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "_MIN_CELL_PAIRS", 2000)
     monkeypatch.setattr(topk, "_MIN_QUERIES", 16)
