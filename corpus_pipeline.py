@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences, in five stages that each work on what the one before has kept.
 
 1. toxicity: documents that the classifier of operator 6 rejects go.
-2. near_duplicates: of documents that links of 0.8 or more of their five-word shingles join, that with the smallest id
-   stays; operator 7 answers another question (three words, two bits of a fingerprint).
+2. near_duplicates: of documents that operator 7's links (fingerprints within two bits) or links of 0.8 or more of their
+   five-word shingles join, that with the smallest id stays.
 3. repeated_passages: passages of 100 bytes that occurred before are taken out of the texts (operator 8); no row goes.
 4. mixing: the documents of the mixture, sources weighed against each other (operator 5); over-drawn sources repeat
    documents, under-drawn ones lose some, and one document of a source may be drawn in part.
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_groups(docs, near_copies.near_copies)
+    return simhash.first_of_groups(docs, near_copies.near_groups)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import Scratch, components, lean, text_chunks, texts
-from shelfwise.llm.simhash import SEED, shingles
+from shelfwise.llm.simhash import SEED, near_duplicates, shingles
 from shelfwise.session import lookup_join
 
 WORDS = 5
@@ -255,3 +255,24 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY)
     return lookup_join(rows.select("doc_id", "class"), named, ["class"], "n", size["n"], size["total"]).select(
         "doc_id", "component_id"
     )
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` for every row of ``docs``, whose ``doc_id`` must be there and unique.
+
+    Rows link as in operator 7 (``simhash.near_duplicates``: fingerprints within two bits) or as ``near_copies``;
+    ``component_id`` is the smallest ``doc_id`` that links of either kind lead to. Both name a component by a row of
+    it, so a row ties its two components together, and only components are linked, however many rows they have.
+    """
+    scratch = Scratch(docs.sparkSession, "near-groups")
+    prints = near_duplicates(docs).select("doc_id", F.col("component_id").alias("print_id"))
+    tied = scratch.save(near_copies(docs).join(prints, "doc_id"), "tied")
+    ties = tied.select(F.col("component_id").alias("a"), F.col("print_id").alias("b")).where("a <> b").distinct()
+    roots = components(ties, scratch)
+    named = tied.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).join(
+        roots.withColumnRenamed("node", "component_id"), "component_id", "left"
+    )
+    named = scratch.save(named.select("component_id", F.coalesce("root", "component_id").alias("root"), "n"), "named")
+    size = named.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    out = lookup_join(tied.select("doc_id", "component_id"), named, ["component_id"], "n", size["n"], size["total"])
+    return out.select("doc_id", F.col("root").alias("component_id"))

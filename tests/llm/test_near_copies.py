@@ -105,3 +105,20 @@ def test_clashing_columns_very_long_texts_and_a_hot_head(spark, monkeypatch):
     docs = clashing(documents(spark, texts), "node", "class", "bands", "root", "head")
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
     assert [got[i + 1] for i in range(len(texts))] == brute(texts)
+
+
+def test_the_stage_follows_the_links_of_operator_7_and_of_near_copies(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    refrain = "alpha beta gamma " * 200
+    base, tail, other = words(300), words(40), words(300)
+    # 1 and 2 by fingerprints alone, 2 and 3 by shingles alone, 4 and 5 by shingles, 6 by nothing.
+    texts = [refrain + words(40), refrain + tail, "alpha beta gamma " * 3 + tail, base, planted(rng, base, 3), other]
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 and jaccard(texts[0], texts[1]) < 0.5
+    assert (prints[1] ^ prints[2]).bit_count() > 2 and jaccard(texts[1], texts[2]) >= 0.8
+    got = {r.doc_id: r.component_id for r in near_copies.near_groups(documents(spark, texts)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, texts * 2), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6]
+    assert near_copies.near_groups(documents(spark, ["a"]).limit(0)).count() == 0
