@@ -13,9 +13,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import Scratch, components, lean, text_chunks, texts
+from shelfwise.llm.common import Scratch, components, lean, release, text_chunks, texts
 from shelfwise.llm.simhash import SEED, near_duplicates, shingles
-from shelfwise.session import lookup_join
+from shelfwise.session import lookup_join, spread_join
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -68,24 +68,28 @@ def _packed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in text_chunks(batch, "text"):
                 packed = pa.array([pack.compress(x.as_py()) for x in part.column("text").cast(pa.binary())], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("node"), packed], ["node", "packed"])
+                columns = [part.column("node"), packed, part.column("load")]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "packed", "load"])
 
-    return docs.mapInArrow(lean(run), "node long, packed binary")
+    return docs.select("node", "text", "load").mapInArrow(lean(run), "node long, packed binary, load long")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, scratch: Scratch, words: int, least: float) -> DataFrame:
     """Those of the written ``pairs (a, b)`` whose shingle sets have a Jaccard similarity of ``least`` or more.
 
     Of a pair the text with more pairs is the head. Heads are sent once to each group of ``MEMBERS`` of their pairs, and a
-    pair's row holds its other text alone; a task keeps one head's shingles at a time.
+    pair's row holds its other text alone; a task keeps one head's shingles at a time. Texts go from task to task: were
+    they broadcast, all of them would pass through the driver.
     """
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    load = scratch.save(ends.groupBy("node").agg(F.count(F.lit(1)).alias("load")), "load")
-    total, nodes = 2 * pairs.count(), load.count()
+    load, seen = scratch.counted(
+        ends.groupBy("node").agg(F.count(F.lit(1)).alias("load")), "load",
+        n=F.count(F.lit(1)), total=F.coalesce(F.sum("load"), F.lit(0)),
+    )
+    total, nodes = seen["total"], seen["n"]
     held = texts(docs).withColumnRenamed("doc_id", "node")
     one_each = load.withColumn("one", F.lit(1))
-    wanted = scratch.save(_packed(lookup_join(held, one_each, ["node"], "one", nodes, nodes).select("node", "text")), "wanted")
-    size = (wanted.agg(F.sum(F.length("packed"))).first()[0] or 0) // max(nodes, 1) + 64
+    wanted = scratch.save(_packed(lookup_join(held, one_each, ["node"], "one", nodes, nodes)), "wanted")
 
     def loads(c: str) -> DataFrame:
         return load.select(F.col("node").alias(c), F.col("load").alias(f"{c}_load"), "load")
@@ -98,9 +102,7 @@ def similar(pairs: DataFrame, docs: DataFrame, scratch: Scratch, words: int, lea
         F.when(swap, F.col("b")).otherwise(F.col("a")).alias("head"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("node"),
         F.pmod(F.xxhash64("a", "b"), salts).alias("salt"),
     ), "both")
-    text_of = lambda rows: lookup_join(
-        rows, wanted.join(load, "node").select("node", "packed", "load"), ["node"], "load", nodes, total, size
-    )
+    text_of = lambda rows: spread_join(rows, wanted, ["node"], "load", total)
     heads = both.select(F.col("head").alias("node"), "salt").distinct()
     rows = text_of(heads).select(F.col("node").alias("head"), "salt", F.lit(None).cast("long").alias("node"), "packed").unionByName(
         text_of(both).select("head", "salt", "node", "packed")
@@ -126,25 +128,30 @@ def similar(pairs: DataFrame, docs: DataFrame, scratch: Scratch, words: int, lea
     return dealt.select("head", "node", "packed").mapInArrow(lean(run), "a long, b long")
 
 
-def _members(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``node, root, key``: every class in each of its buckets, with the class its links lead to."""
-    root: Column = F.lit(None).cast("long")
-    if roots is not None:
-        classes = classes.join(roots, "node", "left")
-        root = F.col("root")
-    return classes.select("node", F.coalesce(root, "node").alias("root"), F.explode("bands").alias("key"))
+def _rooted(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``classes`` with ``root``, the class that the links of ``node`` lead to, or itself."""
+    if roots is None:
+        return classes.withColumn("root", F.col("node"))
+    return classes.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _members(rooted: DataFrame) -> DataFrame:
+    """``node, root, key``: every class in each of its buckets."""
+    return rooted.select("node", "root", F.explode("bands").alias("key"))
 
 
-def _candidates(classes: DataFrame, roots: DataFrame | None, step: int, scratch: Scratch) -> DataFrame:
+def _candidates(rooted: DataFrame, step: int, scratch: Scratch) -> DataFrame:
     """Pairs of one bucket that no link joins yet: all in small buckets (after the first step), else with one class."""
-    members = _members(classes, roots)
+    members = _members(rooted)
     order = F.col("node") if step == 0 else F.xxhash64("node", "key", F.lit(step))
     buckets = members.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
         F.min(F.struct(order.alias("at"), F.col("node"), F.col("root"))).alias("first"),
     ).where("low < high").select("key", "n", F.col("first.node").alias("a"), F.col("first.root").alias("a_root"))
-    buckets = scratch.save(buckets.withColumn("load", F.col("n")), f"buckets-{step}")
-    size = buckets.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    buckets, size = scratch.counted(
+        buckets.withColumn("load", F.col("n")), f"buckets-{step}",
+        n=F.count(F.lit(1)), total=F.coalesce(F.sum("n"), F.lit(0)),
+    )
     met = lookup_join(members, buckets, ["key"], "load", size["n"], size["total"])
     pairs = met.select("a", F.col("node").alias("b"), "a_root", F.col("root").alias("b_root"))
     if step:
@@ -175,23 +182,28 @@ def _shingles(rows: DataFrame, words: int) -> DataFrame:
 def crowded(classes: DataFrame, roots: DataFrame | None, docs: DataFrame, scratch: Scratch, words: int, least: float) -> DataFrame:
     """Pairs that may reach ``least`` among the classes of large buckets that links do not join yet, none left out.
 
+    ``classes`` has ``node, bands`` and either ``root`` or, beside it, ``roots (node, root)`` of the links so far.
     The shingles of a class are put in order of their number among these classes, the rare ones first. Two sets that
     reach ``least`` share a shingle among the first ``size - ceil(least * size) + 1`` of the larger and the first
     ``size - ceil(2 * least / (1 + least) * size) + 1`` of the smaller one, with enough shingles from there on in both.
     What a template gives all of its pages stands at the end and so pairs nothing.
     """
-    members = _members(classes, roots)
+    members = _members(classes if "root" in classes.columns else _rooted(classes, roots))
     keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    keys = scratch.save(keys.where(f"n > {SMALL} AND low < high").select("key", "n"), "crowded")
-    size = keys.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    keys, size = scratch.counted(
+        keys.where(f"n > {SMALL} AND low < high").select("key", "n"), "crowded",
+        n=F.count(F.lit(1)), total=F.coalesce(F.sum("n"), F.lit(0)),
+    )
     nodes = lookup_join(members, keys, ["key"], "n", size["n"], size["total"]).select("node", "root").distinct()
-    nodes = scratch.save(nodes.withColumn("one", F.lit(1)), "crowd")
-    count = nodes.count()
+    nodes, crowd = scratch.counted(nodes.withColumn("one", F.lit(1)), "crowd", n=F.count(F.lit(1)))
+    count = crowd["n"]
     held = lookup_join(texts(docs).withColumnRenamed("doc_id", "node"), nodes, ["node"], "one", count, count)
     rows = scratch.save(_shingles(held, words), "shingles")
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("low"), F.max("root").alias("high"))
-    often = scratch.save(often.withColumn("load", F.col("often")), "often")
-    size = often.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("load"), F.lit(0)).alias("total")).first()
+    often, size = scratch.counted(
+        often.withColumn("load", F.col("often")), "often",
+        n=F.count(F.lit(1)), total=F.coalesce(F.sum("load"), F.lit(0)),
+    )
     counted = lookup_join(rows, often, ["h"], "load", size["n"], size["total"])
     at = (F.row_number().over(Window.partitionBy("node").orderBy("often", "h")) - 1).alias("at")
     placed = counted.select("node", "root", "size", "h", "low", "high", at).where("low < high")
@@ -226,32 +238,30 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY)
     rows = scratch.save(_signed(docs, words), "rows")
     first = F.min(F.struct("doc_id", "bands")).alias("first")
     classes = rows.groupBy("class").agg(first, F.count(F.lit(1)).alias("n"))
-    classes = scratch.save(classes.select("class", F.col("first.doc_id").alias("node"), "first.bands", "n"), "classes")
-    banded = classes.select("node", "bands")
-    roots, tried, found = None, [], []
+    classes = _rooted(classes.select("class", F.col("first.doc_id").alias("node"), "first.bands", "n"), None)
+    classes, size = scratch.counted(classes, "classes", n=F.count(F.lit(1)), total=F.coalesce(F.sum("n"), F.lit(0)))
+    tried, found = [], []
     for step in range(3):
+        # What a step leaves on the driver (plans, broadcast tables) goes before the next.
+        release(docs.sparkSession)
         if step < 2:
-            pairs = _candidates(banded, roots, step, scratch)
+            pairs = _candidates(classes, step, scratch)
         else:
-            pairs = crowded(banded, roots, docs, scratch, words, least)
+            pairs = crowded(classes, None, docs, scratch, words, least)
         if tried:
             pairs = pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs-{step}")
-        if pairs.isEmpty():
+        pairs, seen = scratch.counted(pairs, f"pairs-{step}", n=F.count(F.lit(1)))
+        if not seen["n"]:
             continue
         tried.append(pairs)
-        linked = scratch.save(similar(pairs, docs, scratch, words, least), f"linked-{step}")
+        linked, seen = scratch.counted(similar(pairs, docs, scratch, words, least), f"linked-{step}", n=F.count(F.lit(1)))
         scratch.drop("load", "wanted", "both")
-        if not linked.isEmpty():
+        if seen["n"]:
             found.append(linked)
             roots = components(reduce(DataFrame.union, found), scratch)
+            classes = scratch.save(_rooted(classes, roots), f"classes-{step}")
     scratch.drop(*[n for n in ("shingles", "often", "probes") if n in scratch.paths])
-    if roots is not None:
-        classes = classes.join(roots, "node", "left")
-    else:
-        classes = classes.withColumn("root", F.lit(None).cast("long"))
-    named = scratch.save(classes.select("class", F.coalesce("root", "node").alias("component_id"), "n"), "named")
-    size = named.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    named = classes.select("class", F.col("root").alias("component_id"), "n")
     return lookup_join(rows.select("doc_id", "class"), named, ["class"], "n", size["n"], size["total"]).select(
         "doc_id", "component_id"
     )
@@ -266,13 +276,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "near-groups")
     prints = near_duplicates(docs).select("doc_id", F.col("component_id").alias("print_id"))
+    release(docs.sparkSession)
     tied = scratch.save(near_copies(docs).join(prints, "doc_id"), "tied")
     ties = tied.select(F.col("component_id").alias("a"), F.col("print_id").alias("b")).where("a <> b").distinct()
     roots = components(ties, scratch)
     named = tied.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).join(
         roots.withColumnRenamed("node", "component_id"), "component_id", "left"
     )
-    named = scratch.save(named.select("component_id", F.coalesce("root", "component_id").alias("root"), "n"), "named")
-    size = named.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    named, size = scratch.counted(
+        named.select("component_id", F.coalesce("root", "component_id").alias("root"), "n"), "named",
+        n=F.count(F.lit(1)), total=F.coalesce(F.sum("n"), F.lit(0)),
+    )
     out = lookup_join(tied.select("doc_id", "component_id"), named, ["component_id"], "n", size["n"], size["total"])
     return out.select("doc_id", F.col("root").alias("component_id"))

@@ -96,8 +96,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
     roots = components(links(classes.select("fp"), max_bits), scratch).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = scratch.save(rooted.join(least, "root").select("fp", "component_id", "n"), "named")
-    size = named.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    named, size = scratch.counted(
+        rooted.join(least, "root").select("fp", "component_id", "n"), "named",
+        n=F.count(F.lit(1)), total=F.coalesce(F.sum("n"), F.lit(0)),
+    )
     out = lookup_join(rows, named, ["fp"], "n", size["n"], size["total"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -116,8 +118,8 @@ def first_of_groups(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame])
     ids = rows.select("_row", F.col("row.doc_id").cast("long").alias("id"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("least")
     first = ids.join(groups, "_row").groupBy("component_id").agg(least).select("least._row")
-    gone = scratch.save(rows.select("_row").join(first, "_row", "left_anti"), "gone")
-    if fits_broadcast(gone.count()):
+    gone, size = scratch.counted(rows.select("_row").join(first, "_row", "left_anti"), "gone", n=F.count(F.lit(1)))
+    if fits_broadcast(size["n"]):
         gone = F.broadcast(gone)
     return rows.join(gone, "_row", "left_anti").select("row.*")
 

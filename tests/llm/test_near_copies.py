@@ -1,9 +1,12 @@
 import random
+import re
 
+import pytest
 from helpers import SCHEMA, clashing, documents
 
 import corpus_pipeline
 from shelfwise.llm import near_copies, simhash
+from shelfwise.llm.common import Scratch, components
 
 
 def planted(rng, base, edits):
@@ -122,3 +125,49 @@ def test_the_stage_follows_the_links_of_operator_7_and_of_near_copies(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, texts * 2), "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6]
     assert near_copies.near_groups(documents(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_compared_texts_are_not_broadcast_through_the_driver(spark):
+    texts = corpus()[:60]
+    pairs = spark.createDataFrame([(i + 1, 31 + i) for i in range(20)], "a long, b long")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = near_copies.similar(pairs, documents(spark, texts), Scratch(spark, "test"), 5, 0.8)
+        plan = near._jdf.queryExecution().executedPlan().toString().split("\n")
+        got = {frozenset(r) for r in near.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    want = {frozenset((i + 1, 31 + i)) for i in range(20) if jaccard(texts[i], texts[30 + i]) >= 0.8}
+    assert want and got == want
+    depth = [m.start() if (m := re.search("[A-Za-z]", line)) else 0 for line in plan]
+    for i, line in enumerate(plan):
+        if line[depth[i] :].startswith("BroadcastExchange"):
+            below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            assert not any("packed" in x for x in plan[i:below])
+
+
+def test_figures_of_tables_are_taken_as_they_are_written(spark, monkeypatch):
+    texts = corpus()
+    docs = documents(spark, texts)
+
+    def refuse(*_, **__):
+        pytest.fail("a query of its own for figures of a written table")
+
+    with monkeypatch.context() as patch:
+        for name in ("first", "count", "isEmpty"):
+            patch.setattr(type(docs), name, refuse)
+        grouped = near_copies.near_groups(docs)
+    got = {r.doc_id: r.component_id for r in grouped.collect()}
+    assert [got[i + 1] for i in range(len(texts))] == brute(texts)
+
+
+def test_stars_around_their_smallest_nodes_settle_in_one_round(spark, monkeypatch):
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: saved.append(name) or save(self, df, name))
+    stars = spark.createDataFrame([(1, 2), (3, 1), (1, 4), (9, 8)], "a long, b long")
+    assert {tuple(r) for r in components(stars, Scratch(spark, "t")).collect()} == {
+        (1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)
+    }
+    assert saved == ["links", "edges-0"]
+    assert components(stars.limit(0), Scratch(spark, "t")).count() == 0
