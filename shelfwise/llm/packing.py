@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
-import struct
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +22,17 @@ END_ID = 0
 # a group leaves at most a few sequences in some 8,000 less than full.
 GROUP_TOKENS = 1 << 24
 # Words whose ids a task remembers; the older half is forgotten when it is full.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+# Words are looked up once for so many bytes of text.
+CHUNK_BYTES = 4 << 20
 
 
 class WordIds(dict):
-    """Ids of words, as little-endian bytes, worked out when a word is first asked for.
+    """Ids of words, as bytes of 32-bit integers, worked out when a word is first asked for.
 
     The tokenizer never joins symbols over white space, so the ids of a text are those of its words in turn. It also
     parts letters from the marks after them and puts letters in lower case, so a word of plain letters is looked up in
-    lower case and without the marks at its end.
+    lower case and without the marks at its end. Of the texts of a chunk each such word is looked up a single time.
     """
 
     MARKS = ".,;:!?&$|"
@@ -46,33 +50,55 @@ class WordIds(dict):
             c: "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c)))
             for c in range(ord(self.PLAIN)) if chr(c).isalpha()
         }
-        self.old: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            text = word.decode()
-            letters = text.rstrip(self.MARKS)
-            if not letters.isalpha() or max(letters) >= self.PLAIN:
-                ids = _packed_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            elif (lower := letters.lower()) == text:
-                ids = _packed_ids([t.id for t in self.model.tokenize(text.translate(self.symbols))])
-            else:
-                ids = self[lower.encode()]
-                if letters != text:
-                    ids += self[text[len(letters) :].encode()]
-        self[word] = ids
-        return ids
+        self.letters = "".join(map(chr, self.symbols))
+        self.plain = f"^[{self.letters}]+[{re.escape(self.MARKS)}]*$"
+        self.old: dict[str, bytes] = {}
 
-    def of(self, raw: bytes) -> bytes:
+    def _lists(self, *words: pa.StringArray) -> pa.ListArray:
+        """The ids of each of ``words``."""
         if len(self) > CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-        return b"".join(map(self.__getitem__, raw.split()))
-
+        keys = [w for part in words for w in part.to_numpy(zero_copy_only=False)]
+        ids = list(map(self.get, keys))
+        old, tokenize = self.old.get, self.model.tokenize
+        for i, known in enumerate(ids):
+            if known is None:
+                word = keys[i]
+                known = old(word)
+                if known is None:
+                    if word.isascii() and word.isalpha():
+                        new = [t.id for t in tokenize(word)]
+                    elif word.isalpha() and max(word) < self.PLAIN:
+                        new = [t.id for t in tokenize(word.translate(self.symbols))]
+                    else:
+                        new = self.tokenizer.encode(word, add_special_tokens=False).ids
+                    known = array("I", new).tobytes()
+                ids[i] = self[word] = known
+        ends = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, ids), np.int32, len(ids)) // 4, out=ends[1:])
+        return pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), np.uint32))
+
+    def of_texts(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts`` in a row, and the place at which each text's begin, and the last one's end."""
+        split = pa.compute.ascii_split_whitespace(texts)
+        said = split.values.dictionary_encode()
+        words = said.dictionary
+        plain = pa.compute.match_substring_regex(words, self.plain)
+        lower = pa.compute.utf8_lower(pa.compute.utf8_rtrim(words, self.MARKS))
+        stems = pa.compute.if_else(plain, lower, words).dictionary_encode()
+        marks = pa.compute.if_else(plain, pa.compute.utf8_ltrim(words, self.letters), "").dictionary_encode()
+        # A word is its stem and the marks after it.
+        parts = np.empty(2 * len(words), np.int32)
+        parts[::2] = stems.indices
+        parts[1::2] = marks.indices.to_numpy() + len(stems.dictionary)
+        found = self._lists(stems.dictionary, marks.dictionary).take(pa.array(parts))
+        words = pa.ListArray.from_arrays(pa.array(found.offsets.to_numpy()[::2]), found.values)
+        found = words.take(said.indices)
+        return found.values.to_numpy(), found.offsets.to_numpy()[split.offsets.to_numpy()]
 
-def _packed_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    def of(self, raw: bytes) -> bytes:
+        return self.of_texts(pa.array([raw.decode()]))[0].astype("<u4").tobytes()
 
 
 _loaded: dict[str, WordIds] = {}
@@ -85,10 +111,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         ids_of = _loaded.get(tokenizer) or _loaded.setdefault(tokenizer, WordIds(tokenizer))
         end, wide = np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for part in text_chunks(batch, "text"):
+            for part in text_chunks(batch, "text", CHUNK_BYTES):
                 rows = []
-                for doc, raw in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()), strict=True):
-                    ids = ids_of.of(raw.as_py()) + end
+                flat, starts = ids_of.of_texts(part.column("text"))
+                for doc, a, b in zip(part.column("doc_id").to_pylist(), starts[:-1], starts[1:], strict=True):
+                    ids = flat[a:b].astype("<u4").tobytes() + end
                     for i, at in enumerate(range(0, len(ids), wide)):
                         cut = ids[at : at + wide]
                         rows.append((doc, i, at // 4, len(cut) // 4, zlib.crc32(cut)))

@@ -1,9 +1,10 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from helpers import SCHEMA, clashing, documents
 from tokenizers import Tokenizer
 
@@ -23,6 +24,27 @@ def test_words_alone_have_the_ids_that_they_have_in_a_text():
         assert np.frombuffer(ids.of(w.encode()), "<u4").tolist() == want, w
 
 
+def test_a_chunk_asks_for_each_word_once(monkeypatch):
+    """Copies of a word, capitals and marks at its end cost no further look-up, and ids that were forgotten come again."""
+    asked = Counter()
+
+    class Counted(packing.WordIds):
+        def get(self, word, *other):
+            asked[word] += 1
+            return super().get(word, *other)
+
+    tok, ids = Tokenizer.from_file(PATH), Counted(PATH)
+    texts = ["The cat, the CAT; naïve. Naïve x1 THE\x0bcat", "", " \t\n", "a\xa0b  the. ... İ K Σ", "the" * 900] * 200
+    for words in (packing.CACHE_WORDS, 3, 3):
+        monkeypatch.setattr(packing, "CACHE_WORDS", words)
+        asked.clear()
+        flat, starts = ids.of_texts(pa.array(texts))
+        assert max(n for w, n in asked.items() if w) == 1
+        assert asked["cat"] and not asked["CAT;"] and not asked["CAT"]
+        for t, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+            assert flat[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def check(spark, texts, capacity, **kw):
     """Every id of every text is placed once, sequences are gapless; returns the number of sequences."""
     docs = clashing(documents(spark, texts), "piece", "group", "length", "offset")
