@@ -15,11 +15,12 @@ further columns may have any name: see the operators for what each does then.
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm import mixing, near_copies, packing, simhash, suffix, toxicity
-from shelfwise.llm.common import table
+from shelfwise.llm.common import release, table
 from shelfwise.llm.queries import tokenizer_path
 from shelfwise.session import shared_root
 
@@ -44,12 +45,26 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, tokenizer_path())
 
 
+def _released(stage):
+    """``stage``, begun when what the one before left in the executors' memory has been given up."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("repeated_passages", drop_repeated_passages),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
+    (name, _released(stage))
+    for name, stage in (
+        ("toxicity", drop_toxic),
+        ("near_duplicates", drop_near_duplicates),
+        ("repeated_passages", drop_repeated_passages),
+        ("mixing", mix_sources),
+        ("packing", pack_sequences),
+    )
 ]
 
 

@@ -355,8 +355,8 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     scratch.drop(*[name for name in scratch.paths if name not in ("places", "several")])
     release(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def kept(text, places, copy):
+    @F.arrow_udf("string")
+    def kept(text: pa.Array, places: pa.Array, copy: pa.Array) -> pa.Array:
         def one(t, p, c):
             if t is None:
                 return None
@@ -369,9 +369,9 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             sizes = np.diff(np.append(heads, raw.size))
             return raw[~np.repeat(whole, sizes)].tobytes().decode()
 
-        import pandas as pd
-
-        return pd.Series([one(t, p, c) for t, p, c in zip(text, places, copy, strict=True)], dtype=object)
+        rows = zip(text, places, copy, strict=True)
+        made = (one(t.as_py(), p.values.to_numpy() if p.is_valid else None, c.as_py()) for t, p, c in rows)
+        return pa.array(made, pa.string())
 
     sub = F.when(F.col("several"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))).otherwise(F.lit(0))
     rows = _with_several(docs.select(F.struct("*").alias("row"), _doc().alias("doc")), several)
