@@ -6,7 +6,7 @@ import pytest
 from helpers import SCHEMA
 
 import corpus_pipeline
-from shelfwise.llm import mixing, packing, simhash, suffix, toxicity
+from shelfwise.llm import common, mixing, packing, simhash, suffix, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +84,36 @@ def test_awkward_documents_pass_all_stages(spark):
 
 def test_documents_are_read_whole():
     assert pq.read_table(f"{SF}/documents.parquet").num_rows == 200
+
+
+def test_executors_collect_between_stages(spark, monkeypatch):
+    """What a step leaves in the heap of an executor is given up before the next stage, not on the driver alone."""
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    def jobs(group):
+        spark.sparkContext.setJobGroup(group, "")
+        common.release(spark)
+        tracker = spark.sparkContext.statusTracker()
+        return [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+
+    assert jobs("the driver is the executor") == []
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    before = collections()
+    assert jobs("a cluster") == [spark.sparkContext.defaultParallelism]
+    assert collections() >= before + 3  # two of the driver's and at least one from the tasks
+    monkeypatch.undo()
+    spark.sparkContext._jsc.clearJobGroup()
+
+    class Released(Exception):
+        pass
+
+    def released(session):
+        raise Released
+
+    monkeypatch.setattr(corpus_pipeline, "release", released)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Released):
+            stage(spark, None, SF)
