@@ -224,7 +224,9 @@ def crowded(classes: DataFrame, roots: DataFrame | None, docs: DataFrame, scratc
     return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+def near_copies(
+    docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, scratch: Scratch | None = None
+) -> DataFrame:
     """``doc_id, component_id`` for every row of ``docs``, whose ``doc_id`` must be there and unique.
 
     Rows link if the sets of their shingles of ``words`` words have a Jaccard similarity of ``least`` or more, or are
@@ -232,9 +234,9 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY)
     Texts of any length count whole. Candidates share a band of least hashes. Of each bucket the classes are compared
     with one of its classes first, so a family of copies costs a comparison a member; those that are not linked by then
     are all compared with each other in small buckets, and in large ones where their shingles allow it, see
-    ``crowded``. An empty table gives no rows.
+    ``crowded``. An empty table gives no rows. The result reads tables of ``scratch``.
     """
-    scratch = Scratch(docs.sparkSession, "near-copies")
+    scratch = scratch or Scratch(docs.sparkSession, "near-copies")
     rows = scratch.save(_signed(docs, words), "rows")
     first = F.min(F.struct("doc_id", "bands")).alias("first")
     classes = rows.groupBy("class").agg(first, F.count(F.lit(1)).alias("n"))
@@ -274,10 +276,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest ``doc_id`` that links of either kind lead to. Both name a component by a row of
     it, so a row ties its two components together, and only components are linked, however many rows they have.
     """
-    scratch = Scratch(docs.sparkSession, "near-groups")
-    prints = near_duplicates(docs).select("doc_id", F.col("component_id").alias("print_id"))
+    scratch, *parts = (Scratch(docs.sparkSession, name) for name in ("near-groups", "simhash", "near-copies"))
+    prints = near_duplicates(docs, scratch=parts[0]).select("doc_id", F.col("component_id").alias("print_id"))
     release(docs.sparkSession)
-    tied = scratch.save(near_copies(docs).join(prints, "doc_id"), "tied")
+    tied = scratch.save(near_copies(docs, scratch=parts[1]).join(prints, "doc_id"), "tied")
+    for part in parts:
+        part.clear()
     ties = tied.select(F.col("component_id").alias("a"), F.col("print_id").alias("b")).where("a <> b").distinct()
     roots = components(ties, scratch)
     named = tied.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).join(

@@ -75,20 +75,22 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
                              for i, m in enumerate(signed)]))
     postings = distinct.select("fp", at.alias("p")).select("fp", "p.at", "p.key")
     a, b = postings.withColumnRenamed("fp", "a"), postings.withColumnRenamed("fp", "b")
-    pairs = a.join(b, ["at", "key"]).where("a < b").where(_shared_bytes(F.col("a"), F.col("b")) >= need)
+    # Spark takes the postings for as small as the table they are made from; unless told, it sends them all to the driver.
+    pairs = a.join(b.hint("merge"), ["at", "key"]).where("a < b").where(_shared_bytes(F.col("a"), F.col("b")) >= need)
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
     Documents link when their fingerprints differ in at most ``max_bits`` bits; ``component_id`` is the smallest
     ``doc_id`` that links lead to. Rows with equal fingerprints are one class and are never paired with each other,
     so a class with a third of all rows costs as much as a single document. Texts that are null, empty or have no word
     have the fingerprint 0 and link like any other. Repeated rows come out as often as they went in. A null
-    ``doc_id`` keeps its row; its class takes the smallest of the other ids, or null. An empty table gives no rows.
+    ``doc_id`` keeps its row; its class takes the smallest of the other ids, or null. An empty table gives no rows. The result
+    reads tables of ``scratch``.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
+    scratch = scratch or Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, words), "fingerprints")
     classes = scratch.save(
         rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "classes"

@@ -1,6 +1,8 @@
 import random
 import re
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from helpers import SCHEMA, clashing, documents
 
@@ -171,3 +173,46 @@ def test_stars_around_their_smallest_nodes_settle_in_one_round(spark, monkeypatc
     }
     assert saved == ["links", "edges-0"]
     assert components(stars.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_rounds_of_components_take_tasks_by_links_and_cores(spark, monkeypatch):
+    """However many shuffle partitions are set, and with no coalescing by Spark, few links take few tasks."""
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: saved.append(name) or save(self, df, name))
+    links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 8], "a long, b long")
+    conf = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    sc = spark.sparkContext
+    sc.setJobGroup("rounds of components", "")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {tuple(r) for r in components(links, Scratch(spark, "t")).collect()}
+    finally:
+        sc._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {(i, 8 * ((i - 1) // 8) + 1) for i in range(1, 41)}
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("rounds of components") for s in tracker.getJobInfo(j).stageIds}
+    ran = [i.numCompletedTasks for s in sorted(stages) if (i := tracker.getStageInfo(s)) and i.numCompletedTasks]
+    # The links themselves, the result as it is read, and of a round the two small tables that Spark may broadcast.
+    assert sum(n >= 211 for n in ran) <= 2 + 2 * (len(saved) - 1), ran
+
+
+def test_tables_of_finished_steps_go_and_the_others_are_small(spark):
+    texts = corpus()
+    root = Path(Scratch(spark, "t").root.removeprefix("file:")).parent
+    before = set(root.iterdir()) if root.exists() else set()
+    grouped = near_copies.near_groups(documents(spark, texts))
+    left = {p.name.rsplit("-", 1)[0] for p in set(root.iterdir()) - before}
+    assert left == {"near-groups"}
+    got = {r.doc_id: r.component_id for r in grouped.collect()}
+    assert [got[i + 1] for i in range(len(texts))] == brute(texts)
+
+    scratch = Scratch(spark, "t")
+    scratch.save(documents(spark, texts), "texts")
+    files = list(Path(scratch.root.removeprefix("file:")).rglob("*.parquet"))
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(1).compression for f in files} == {"ZSTD"}
+    scratch.clear()
+    assert not scratch.paths and not Path(scratch.root.removeprefix("file:")).exists()

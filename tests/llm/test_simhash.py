@@ -77,3 +77,15 @@ def test_rows_that_share_an_id_or_have_none_stay(spark):
     rows += [(3, texts[0], "en", "s", 1), (None, texts[9], "en", "s", 1), (7, texts[5], "en", "s", 1)]
     kept = records(simhash.keep_one(spark.createDataFrame(rows, SCHEMA)), "doc_id", "text")
     assert kept == sorted([(3, texts[0]), *((r[0], r[1]) for r in rows[1:12])], key=repr)
+
+
+def test_postings_do_not_pass_through_the_driver(spark, tmp_path):
+    """A small table of fingerprints has many times its rows in postings, and Spark's estimate does not show it."""
+    rng = random.Random(6)
+    prints = [rng.getrandbits(64) - (1 << 63) for _ in range(300)]
+    prints += [p ^ 5 for p in prints[:40]]
+    spark.createDataFrame([(p,) for p in prints], "fp long").write.parquet(f"{tmp_path}/prints")
+    links = simhash.links(spark.read.parquet(f"{tmp_path}/prints"))
+    got = {frozenset(r) for r in links.collect()}
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    assert got == {frozenset((p, p ^ 5)) for p in prints[:40]}
